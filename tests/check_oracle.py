@@ -76,7 +76,8 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-                                                  "spark.ui.enabled": "false"})
+                                                  "spark.ui.enabled": "false",
+                                                  "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     q, o = queries(), oracle_sql()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.timeseries import asof_backward
 from tidemark.sources.lens_columns import (
-    EVENT_SIGNAL, NO_TRADE_MOD, PORTFOLIO_MOD, REGION_OF, TIER_OF_SUPPLIER, UNIVERSE, sql_case,
+    EVENT_SIGNAL, NO_TRADE_MOD, PORTFOLIO_MOD, REGION_OF, REVIEW, TIER_OF_SUPPLIER, UNIVERSE, WATERFALL, sql_case,
 )
 
 
@@ -91,7 +91,7 @@ def priced(sig: DataFrame, px: DataFrame) -> DataFrame:
 def log(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     return e.selectExpr(
-        "user_id AS ticker", "ts", "cast(ts AS date) AS date",
+        "user_id AS ticker", "cast(ts AS timestamp) AS ts", "cast(ts AS date) AS date",
         f"{sql_case('event_type', EVENT_SIGNAL, quote=True)} AS signal", "value",
         "cast(get_json_object(props, '$.k') AS bigint) AS score", "event_id")
 
@@ -140,3 +140,23 @@ def census(spark, sf) -> DataFrame:
 def panel(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("label").alias("date"), F.col("vec_id").alias("name"), "embedding")
+
+
+def market(spark, sf) -> DataFrame:
+    """One row per trading day: index level and two volatility gauges."""
+    def gauge(c: str, k: float) -> Column:
+        return 10 + k * (F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count("*"))
+
+    return (table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"))
+            .agg(_close().alias("spy"), gauge("l_discount", 400).alias("vix"), gauge("l_tax", 500).alias("vix3m")))
+
+
+def reviews(spark, sf) -> DataFrame:
+    """Review rows with a map of modifier points."""
+    r = signals(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in REVIEW])
+    pairs = [x for n, e in WATERFALL for x in (F.lit(n), F.expr(f"cast({e} as bigint)"))]
+    return r.withColumn("waterfall", F.create_map(*pairs))
+
+
+def waterfall(spark, sf) -> DataFrame:
+    return reviews(spark, sf).select("ticker", "date", "okey", F.explode("waterfall").alias("name", "points"))

@@ -71,3 +71,36 @@ UNIVERSE: list[tuple[str, str]] = [
     ("days_to_earnings", "CASE WHEN p_partkey % 6 <> 0 THEN p_partkey * 103 % 60 - 10 END"),
     ("held", "p_partkey % 13 = 0"),
 ]
+
+
+# Review rows: one per signal, with the views of each reviewer (fixed values: the view names).
+_cyc = lambda expr, names: sql_case(expr, names)
+REVIEW: list[tuple[str, str]] = [
+    ("ticker", "ticker"), ("date", "date"), ("signal", "signal"), ("conviction", "conviction"), ("okey", "okey"),
+    ("action", sql_case("okey % 5", ["BUY", "ADD", "HOLD", "TRIM", "SELL"])),
+    ("fund_view", sql_case("okey % 3", ["BUY", "HOLD", "SELL"])),
+    ("fund_score", "cast(okey * 7 % 101 as double)"),
+    ("tech_signal", sql_case("okey % 7", ["ENTER_NOW", "WAIT_FOR_PULLBACK", "HOLD", "AVOID", "EXIT_SOON",
+                                          "ACCUMULATE", "HOLD"])),
+    ("tech_momentum", "okey * 11 % 121 - 60"),
+    ("rsi", "cast(okey * 13 % 81 + 10 as double)"),
+    ("macro_fit", sql_case("okey % 11 % 3", ["FAVORABLE", "NEUTRAL", "UNFAVORABLE"])),
+    ("census_view", sql_case("okey % 13 % 3", ["ALIGNED", "NEUTRAL", "DIVERGENT"])),
+    ("news_impact", sql_case("okey % 17 % 5", ["HIGH_POSITIVE", "LOW_POSITIVE", "NEUTRAL", "LOW_NEGATIVE",
+                                               "HIGH_NEGATIVE"])),
+    ("risk_warning", "okey % 19 < 4"),
+    ("exret", "cast(okey * 17 % 60 - 10 as double)"),
+    ("bull_pct", "cast(okey * 23 % 101 as double)"),
+    ("excess_exret", "cast(okey * 29 % 40 - 15 as double)"),
+    ("beta", "cast(okey * 31 % 30 as double) / 10"),
+    ("buy_pct", "cast(okey * 37 % 71 + 30 as double)"),
+    ("w52", "cast(okey * 41 % 86 + 15 as double)"),
+    ("am", "cast(okey * 43 % 25 - 12 as double)"),
+    ("sentiment", sql_case("okey % 23 % 3", ["NET_BUYING", "NEUTRAL", "NET_SELLING"])),
+    ("regime", sql_case("okey % 29 % 3", ["RISK_ON", "CAUTIOUS", "RISK_OFF"])),
+]
+# Modifier points per review row: name, value expression (0 = not active).
+WATERFALL: list[tuple[str, str]] = [
+    ("rsi_oversold", "okey % 9 - 4"), ("census_bonus", "okey % 4 * 2"), ("news_penalty", "-(okey % 5)"),
+    ("~sector_lag", "okey % 6 - 3"), ("high_beta", "-(okey % 3) * 2"), ("quality", "okey % 8 - 2"),
+]

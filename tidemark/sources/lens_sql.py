@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.sources.lens_columns import (
-    EVENT_SIGNAL, PORTFOLIO_MOD, NO_TRADE_MOD, REGION_OF, TIER_OF_SUPPLIER, UNIVERSE, sql_case,
+    EVENT_SIGNAL, NO_TRADE_MOD, PORTFOLIO_MOD, REGION_OF, REVIEW, TIER_OF_SUPPLIER, UNIVERSE, WATERFALL, sql_case,
 )
 
 _close = ("cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / "
@@ -85,6 +85,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE s.asof_close > 0"""),
     "fwd_dims": (("fwd", "dims"), """
         SELECT f.*, d.tier, d.region, d.sector FROM fwd f JOIN dims d ON d.ticker = f.ticker"""),
+    "market": ((), f"""
+        SELECT cast(l_shipdate AS date) AS date, {_close} AS spy,
+               10 + 400 * (cast(sum(cast(l_discount as decimal(18,2))) as double) / count(*)) AS vix,
+               10 + 500 * (cast(sum(cast(l_tax as decimal(18,2))) as double) / count(*)) AS vix3m
+        FROM lineitem GROUP BY 1"""),
+    "reviews": (("signals",), "SELECT " + ", ".join(f"{e} AS {n}" for n, e in REVIEW) + " FROM signals"),
+    "waterfall": (("reviews",), " UNION ALL ".join(
+        f"SELECT ticker, date, okey, '{n}' AS name, cast({e} as bigint) AS points FROM reviews" for n, e in WATERFALL)),
     "panel": ((), """
         SELECT label AS date, vec_id AS name, embedding FROM embeddings"""),
 }
