@@ -86,6 +86,7 @@ def main():
     for n in names:
         try:
             t = time.time()
+            print(f"... {n}", file=sys.stderr, flush=True)
             s = q[n](spark, sf).toPandas()
             ts = time.time() - t
             if n not in o:

@@ -11,6 +11,7 @@ from tidemark.operators import regime
 from tidemark.operators.ranks import _safe_join, medians, moments_corr, percentiles, quantile_bins, spearman, with_group, with_rank
 from tidemark.plans.timeseries_queries import REGIME_SQL, fwd, r6
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources import lens
 
 
@@ -43,7 +44,8 @@ SELECT horizon, signal, tier, region, n, round(CASE WHEN cb >= ch AND cb >= cs T
  round(CASE WHEN cb >= ch AND cb >= cs THEN ab WHEN ch >= cs THEN ah ELSE as_ END, 6) AS alpha_hit_rate,
  round(mean_return, 6) AS mean_return, round(median_return, 6) AS median_return, round(avg_alpha, 6) AS avg_alpha, round(net_alpha, 6) AS net_alpha, n < 30 AS low_sample FROM g""")
 def grouping_report(spark, sf):
-    return rnd(oc.grouping_report(fwd_dims(spark, sf)))
+    f = fwd_dims(spark, sf).select("horizon", "signal", "tier", "region", "ret", "alpha")
+    return rnd(oc.grouping_report(written(f, "outcomes")))
 
 
 @query("a01_a02_a05_scorecard", ctes=("fwd_dims",), sql="""
@@ -92,7 +94,7 @@ SELECT signal, tier, region, count(*) AS n, round(avg(CASE WHEN (signal='B' AND
  round(avg(ret), 6) AS mean_return, round(median(ret), 6) AS median_return, round(avg(alpha), 6) AS mean_excess
 FROM fwd_dims WHERE horizon = 90 GROUP BY GROUPING SETS ((), (signal), (tier), (region))""")
 def validation_summary(spark, sf):
-    f = fwd_dims(spark, sf, [90])
+    f = written(fwd_dims(spark, sf, [90]).select("signal", "tier", "region", "ret", "alpha"), "outcomes")
     c = [F.col(x) for x in ("signal", "tier", "region")]
     hit = F.when(F.col("signal") == "B", F.col("ret") > 0).when(F.col("signal") == "S", F.col("ret") < 0).otherwise(F.abs("ret") < 10)
     g = f.groupingSets([[], [c[0]], [c[1]], [c[2]]], *c).agg(F.count("*").alias("n"), oc.rate(hit).alias("hit_rate"), F.avg("ret").alias("mean_return"), F.avg("alpha").alias("mean_excess"))
@@ -185,7 +187,7 @@ SELECT name, count(*) AS n, round(avg(ret), 6) AS mean_return, round(median(ret)
 def baselines(spark, sf):
     """The top quintiles are cut by an exact global position (value, then ticker and day), found
     from the counts of each distinct value: only the one value at the cut is ordered row by row."""
-    rv = reviewed(spark, sf).select("ticker", "date", "signal", "ret", "w52", "exret")
+    rv = written(reviewed(spark, sf).select("ticker", "date", "signal", "ret", "w52", "exret"), "reviewed")
     base = rv.select(F.explode(F.array(F.lit("Full universe"), oc.lookup(F.col("signal"), {"B": "BUY signals", "S": "SELL signals", "H": "HOLD signals"}))).alias("name"), "ret")
     top = lambda c, n: top_fraction(rv, c, 5).select(F.lit(n).alias("name"), "ret")
     u = base.unionByName(top("w52", "Top-Q momentum")).unionByName(top("exret", "Top-Q value"))
@@ -232,7 +234,7 @@ SELECT action, count(*) AS n, round(avg(CASE WHEN (action IN ('BUY','ADD') AND r
  round(avg(CASE WHEN ret > 0 THEN 100.0 ELSE 0 END), 6) AS positive_pct, round(avg(alpha) / stddev_pop(alpha) * sqrt(365.0 / 30), 6) AS information_ratio, round(max(spearman), 6) AS spearman, round(max(upper_median), 6) AS upper_median
 FROM rv JOIN s USING (action) JOIN m USING (action) GROUP BY 1""")
 def action_perf(spark, sf):
-    return rnd(oc.action_performance(reviewed(spark, sf).select("action", "conviction", "ret", "alpha")))
+    return rnd(oc.action_performance(written(reviewed(spark, sf).select("action", "conviction", "ret", "alpha"), "reviewed")))
 
 
 @query("a29_parameter_sweep", ctes=REV, sql=REV_SQL + """
@@ -527,7 +529,7 @@ def cells(spark, sf):
     r = reviewed(spark, sf).where("alpha is not null").join(lens.dims(spark, sf).select("ticker", "tier"), "ticker")
     band = F.when(F.col("buy_pct") >= 80, "HIGH").when(F.col("buy_pct") >= 60, "MID").otherwise("LOW")
     keys = ["signal", "tier", "regime", "band"]
-    r = r.withColumn("band", band).select(*keys, "conviction", "alpha")
+    r = written(r.withColumn("band", band).select(*keys, "conviction", "alpha"), "cells")
     rho = spearman(r, keys, "conviction", "alpha").drop("n")
     g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("alpha").alias("mean_alpha")).join(rho, keys)
     return rnd(g.select(*keys, "n", F.col("rho").alias("spearman"), "mean_alpha", F.when(F.col("n") < 3, "INSUFFICIENT").when(F.col("n") >= 5, "EVIDENCE").otherwise("LOW_N").alias("verdict"),
