@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
 from tidemark.functions import tails
 from tidemark.operators.ranks import spearman, value_counts, with_group
@@ -46,7 +47,7 @@ def ols(rows: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     cen = means.select(*keys, *[F.col(f"_m_{c}") for c in [y, *xs]], *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [y, *xs]])
     g = gram(cen, keys + [f"_m_{c}" for c in [y, *xs]], y, xs)
     k = len(xs)
-    schema = g.select(*keys).schema.add("n", "long").add("coef", "array<double>").add("se", "array<double>").add("r2", "double").add("rss", "double")
+    schema = g.select(*keys).schema.add("n", LongType()).add("coef", ArrayType(DoubleType())).add("se", ArrayType(DoubleType())).add("r2", DoubleType()).add("rss", DoubleType())
 
     def solve(batches):
         for pdf in batches:
@@ -149,10 +150,12 @@ def fold_sides(rows: DataFrame, fold_table: DataFrame, date: str = "date") -> Da
 EULER_GAMMA = 0.5772156649015329  # fixed value
 
 
-def psr(sr: Column, bench: Column, n: Column, skew: Column, kurt: Column) -> Column:
-    """Probability that the true ratio exceeds ``bench``; kurtosis is not in excess form."""
+def psr_z(sr: Column, bench: Column, n: Column, skew: Column, kurt: Column) -> Column:
+    """Argument of the normal cdf for the probability that the true ratio exceeds ``bench``
+    (kurtosis not in excess form). Keep it as a column of its own before taking ``norm_cdf``:
+    the cdf mentions its argument many times."""
     den = F.sqrt(F.greatest(1.0 - skew * sr + (kurt - 1.0) / 4.0 * sr * sr, F.lit(1e-12)))
-    return tails.norm_cdf((sr - bench) * F.sqrt(F.greatest(n - 1, F.lit(1)).cast("double")) / den)
+    return (sr - bench) * F.sqrt(F.greatest(n - 1, F.lit(1)).cast("double")) / den
 
 
 def expected_max_sharpe(n_trials: Column, var_sr: Column) -> Column:
@@ -210,7 +213,7 @@ def bootstrap_sums(rows: DataFrame, keys: list[str], row_id: str, value: str, n_
     and hands on only its totals, so the shuffle carries batches x groups x replicates, not
     rows x replicates.
     """
-    schema = rows.select(*keys).schema.add("rep", "int").add("w", "double").add("s", "double")
+    schema = rows.select(*keys).schema.add("rep", IntegerType()).add("w", DoubleType()).add("s", DoubleType())
 
     def draw(batches):
         rep = _mix(np.arange(n_boot, dtype=np.uint64) + np.uint64(seed * 1_000_003))

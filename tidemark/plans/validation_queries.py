@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math as _math
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ def fpanel(spark, sf, n=6):
     return p.select("date", "name", *[F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(n)], F.col("embedding")[63].cast("double").alias("fwd"))
 
 
+_ND = NormalDist()
 PANEL = ("panel",)
 P_SQL = "p AS (SELECT date, name, " + ", ".join(f"embedding[{i}]::double AS f{i}" for i in range(1, 7)) + ", embedding[64]::double AS fwd FROM panel)"
 PCT = "quantile_cont({c}, {q}) OVER (PARTITION BY date)"
@@ -360,7 +364,7 @@ def v12_p(spark, sf):
 
 @query("v13_optimal_threshold", ctes=("reviews", "fwd", "dims"), sql=REV_SQL + """,
 x AS (SELECT d.region, d.tier, rv.exret AS x, rv.alpha FROM rv JOIN dims d ON d.ticker = rv.ticker WHERE signal = 'B' AND alpha IS NOT NULL),
-c AS (SELECT region, tier, q.q, quantile_cont(x, q.q) AS cut, count(*) AS nn FROM x, (VALUES (0.1),(0.2),(0.3),(0.4),(0.5),(0.6),(0.7),(0.8),(0.9)) q(q) GROUP BY 1, 2, 3),
+c AS (""" + " UNION ALL ".join(f"SELECT region, tier, {i} / 10.0 AS q, quantile_cont(x, {i / 10}) AS cut, count(*) AS nn FROM x GROUP BY 1, 2" for i in range(1, 10)) + """),
 g AS (SELECT c.region, c.tier, c.q, c.cut, count(*) AS n, count(*) FILTER (alpha > 0) AS hits, count(*) FILTER (alpha > 0) * 100.0 / count(*) AS hr FROM c JOIN x ON x.region = c.region AND x.tier = c.tier AND x.x >= c.cut WHERE nn >= 50 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 30),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region, tier ORDER BY hr DESC, q) AS rn FROM g) WHERE rn = 1)
 SELECT region, tier, round(cut, 6) AS best_cut, n, hits, round(hr, 6) AS hit_rate, round(list_sum(list_transform(range(hits, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 6) AS p_value FROM b""")
@@ -449,7 +453,7 @@ CDF_SQL = ("CASE WHEN abs({z}) > 8 THEN CASE WHEN {z} > 0 THEN 1.0 ELSE 0.0 END
 
 @query("v16_v17_v20_referee", ctes=("fwd",), sql=FAM_SQL + f""",
 v AS (SELECT *, var_samp(sr) OVER () AS var_sr, count(*) OVER () AS trials FROM fam),
-e AS (SELECT *, sqrt(var_sr) * (0.4227843350984671 * 0.43072729929545744 + 0.5772156649015329 * 1.1601219723137536) AS sr0 FROM v),
+e AS (SELECT *, sqrt(var_sr) * (0.4227843350984671 * {_ND.inv_cdf(1 - 1 / 3)!r} + 0.5772156649015329 * {_ND.inv_cdf(1 - 1 / (3 * _math.e))!r}) AS sr0 FROM v),
 z AS (SELECT *, (sr - sr0) * sqrt(n_eff - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS z FROM e),
 d AS (SELECT *, {CDF_SQL.format(z='z')} AS dsr FROM z)
 SELECT signal, n_eff, round(sr0, 6) AS expected_max, round(dsr, 6) AS dsr, dsr >= 0.95 AND n_eff >= 252 AS passed, (dsr < 0.95)::int + (n_eff < 252)::int AS n_reasons, bool_and(dsr >= 0.95 AND n_eff >= 252) OVER () AS overall FROM d""")
@@ -460,7 +464,8 @@ def referee(spark, sf):
     w = Window.partitionBy(F.lit(0))  # one row per family
     d = f.withColumn("var_sr", F.var_samp("sr").over(w)).withColumn("trials", F.count("*").over(w))
     d = d.withColumn("sr0", va.expected_max_sharpe(F.col("trials"), F.col("var_sr")))
-    d = d.withColumn("dsr", va.psr(F.col("sr"), F.col("sr0"), F.col("n_eff"), F.col("skew"), F.col("kurt")))
+    d = d.withColumn("z", va.psr_z(F.col("sr"), F.col("sr0"), F.col("n_eff"), F.col("skew"), F.col("kurt")))
+    d = d.withColumn("dsr", tails.norm_cdf(F.col("z")))
     reasons = F.filter(F.array(F.when(F.col("dsr") < 0.95, "deflated ratio"), F.when(F.col("n_eff") < 252, "observations")), lambda x: x.isNotNull())
     ok = F.size(reasons) == 0
     return d.select("signal", "n_eff", r6("sr0", "expected_max"), r6("dsr"), ok.alias("passed"), F.size(reasons).alias("n_reasons"), (F.min(ok.cast("int")).over(w) == 1).alias("overall"))
@@ -552,5 +557,5 @@ def grs(panel, asset, period, ret, factor):
             yield pd.DataFrame({"n_assets": [n], "n_obs": [t], "f_stat": [float(stat)]})
 
     # one row per period: bounded by the calendar
-    out = wide.groupBy(F.lit(0)).applyInPandas(lambda pdf: next(solve([pdf])), "n_assets long, n_obs long, f_stat double")
+    out = wide.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: next(solve([pdf])), "n_assets long, n_obs long, f_stat double")
     return out.select("n_assets", "n_obs", r6("f_stat"), r6(tails.f_upper(F.col("f_stat"), F.col("n_assets"), F.col("n_obs") - F.col("n_assets") - 1), "p_value"))
