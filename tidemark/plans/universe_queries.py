@@ -74,16 +74,16 @@ def classified(spark, sf):
 
 
 @query("f01_signal_cascade", ctes=U, sql=CASCADE_SQL + """
-SELECT ticker, tier, asset_type, signal, track, round(CASE signal WHEN 'B' THEN buy_score WHEN 'S' THEN adj END, 6) AS score,
+SELECT ticker, tier, asset_type, signal, track, round(CASE signal WHEN 'B' THEN buy_score WHEN 'S' THEN adj END, 9) AS score,
  CASE WHEN track = 'value' THEN 90 WHEN track = 'value+momentum' THEN 45 WHEN w52 >= 90 THEN 7 ELSE 30 END AS horizon FROM cas""")
 def f01(spark, sf):
     d = classified(spark, sf)
-    return d.select("ticker", "tier", "asset_type", "signal", "track", r6("score"), ca.horizon_days(F.col("track"), F.col("w52")).alias("horizon"))
+    return d.select("ticker", "tier", "asset_type", "signal", "track", F.round("score", 9).alias("score"), ca.horizon_days(F.col("track"), F.col("w52")).alias("horizon"))
 
 
-@query("p18_p19_scores", ctes=U, sql=CASCADE_SQL + " SELECT ticker, round(sell_score, 6) AS sell_score, round(buy_score, 6) AS buy_score FROM cas")
+@query("p18_p19_scores", ctes=U, sql=CASCADE_SQL + " SELECT ticker, round(sell_score, 9) AS sell_score, round(buy_score, 9) AS buy_score FROM cas")
 def scores(spark, sf):
-    return ca.with_buy_score(ca.with_sell_score(typed(spark, sf))).select("ticker", r6("sell_score"), r6("buy_score"))
+    return ca.with_buy_score(ca.with_sell_score(typed(spark, sf))).select("ticker", F.round("sell_score", 9).alias("sell_score"), F.round("buy_score", 9).alias("buy_score"))
 
 
 @query("p18_sell_factors", ctes=U, sql="""
@@ -146,9 +146,9 @@ def f13(spark, sf):
     return lens.universe(spark, sf).where((F.col("price") > 0) & F.col("upside").between(-100, 500)).select("ticker", r6(comp, "completeness")).where("completeness >= 0.75")
 
 
-@query("f15_selection_lists", ctes=U, sql=CASCADE_SQL + " SELECT ticker, signal, round(buy_score, 6) AS buy_score FROM cas WHERE (signal = 'B' AND upside >= 0) OR signal IN ('S', 'H')")
+@query("f15_selection_lists", ctes=U, sql=CASCADE_SQL + " SELECT ticker, signal, round(buy_score, 9) AS buy_score FROM cas WHERE (signal = 'B' AND upside >= 0) OR signal IN ('S', 'H')")
 def f15(spark, sf):
-    return classified(spark, sf).where(((F.col("signal") == "B") & (F.col("upside") >= 0)) | F.col("signal").isin("S", "H")).select("ticker", "signal", r6("buy_score"))
+    return classified(spark, sf).where(((F.col("signal") == "B") & (F.col("upside") >= 0)) | F.col("signal").isin("S", "H")).select("ticker", "signal", F.round("buy_score", 9).alias("buy_score"))
 
 
 @query("f16_liquidity_flag", ctes=("prices", "dims"), sql="""
@@ -244,9 +244,9 @@ LOWER = {"pef", "peg", "si", "de"}
 
 
 @query("a21_metric_effectiveness", ctes=U, sql=CASCADE_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, signal, {m} AS x, {str(m in LOWER).lower()} AS lower FROM cas" for m in METRIC) + """),
-g AS (SELECT metric, bool_or(lower) AS lower, median(x) FILTER (signal = 'B') AS b, median(x) FILTER (signal = 'S') AS s, median(x) FILTER (signal = 'H') AS h FROM m GROUP BY 1),
-r AS (SELECT *, CASE WHEN b IS NULL OR s IS NULL OR s = 0 THEN NULL WHEN lower THEN s / nullif(b, 0) ELSE b / s END AS ratio FROM g)
-SELECT metric, round(b, 6) AS buy_median, round(s, 6) AS sell_median, round(h, 6) AS hold_median, round(ratio, 6) AS ratio, CASE WHEN ratio IS NULL THEN 'none' WHEN ratio > 1.5 THEN 'EXCELLENT' WHEN ratio > 1.2 THEN 'GOOD' WHEN ratio > 0.95 THEN 'WEAK' ELSE 'NO_POWER' END AS verdict FROM r""")
+mg AS (SELECT metric, bool_or(lower) AS lower, median(x) FILTER (signal = 'B') AS b, median(x) FILTER (signal = 'S') AS s, median(x) FILTER (signal = 'H') AS h FROM m GROUP BY 1),
+mr AS (SELECT *, CASE WHEN b IS NULL OR s IS NULL OR s = 0 THEN NULL WHEN lower THEN s / nullif(b, 0) ELSE b / s END AS ratio FROM mg)
+SELECT metric, round(b, 6) AS buy_median, round(s, 6) AS sell_median, round(h, 6) AS hold_median, round(ratio, 6) AS ratio, CASE WHEN ratio IS NULL THEN 'none' WHEN ratio > 1.5 THEN 'EXCELLENT' WHEN ratio > 1.2 THEN 'GOOD' WHEN ratio > 0.95 THEN 'WEAK' ELSE 'NO_POWER' END AS verdict FROM mr""")
 def a21(spark, sf):
     d = classified(spark, sf)
     long = d.select("signal", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRIC])).alias("e")).select("signal", "e.*")
