@@ -83,18 +83,20 @@ def portfolio_var(rets: DataFrame, weights: DataFrame, date: str = "month", hori
     return g.select("n", (F.col("sd") * 1.645 * h * 100).alias("var_95_pct"), (F.col("sd") * 2.326 * h * 100).alias("var_99_pct"), (F.col("tail") * 100).alias("cvar_95_pct"))
 
 
-def _erc(cov: np.ndarray, tol=1e-12, max_iter=100_000) -> np.ndarray:
-    """Fixed point of equal risk shares, damped by the geometric mean of successive steps."""
-    w = 1 / np.sqrt(np.maximum(np.diag(cov), 1e-18))
-    w /= w.sum()
-    for _ in range(max_iter):
-        m = np.maximum(cov @ w, 1e-18)
-        nxt = np.sqrt(w / m)
-        nxt /= nxt.sum()
-        if np.abs(nxt - w).max() < tol:
-            return nxt
-        w = nxt
-    return w
+def _erc(cov: np.ndarray, tol=1e-12, max_sweeps=10_000) -> np.ndarray:
+    """Equal risk shares by cyclical coordinate descent: each step solves one name's quadratic, so it
+    also converges where some covariances are negative."""
+    n = len(cov)
+    var = np.maximum(np.diag(cov), 1e-18)
+    x = 1 / np.sqrt(var)
+    for _ in range(max_sweeps):
+        old = x.copy()
+        for i in range(n):
+            rest = cov[i] @ x - cov[i, i] * x[i]
+            x[i] = (-rest + math.sqrt(rest * rest + 4 * var[i] / n)) / (2 * var[i])
+        if np.abs(x - old).max() < tol * np.abs(x).max():
+            break
+    return x / x.sum()
 
 
 def _spread(w: np.ndarray, cap: float) -> np.ndarray:

@@ -180,12 +180,12 @@ def pbo(perf: DataFrame, period: str, config: str, value: str, n_splits: int = 1
     size = F.floor(F.col("t") / s)
     blk = F.when(F.col("i") < big * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(F.floor((F.col("i") - big) / size))
     b = perf.join(F.broadcast(p.select(period, blk.cast("int").alias("block"))), period)
-    b = b.groupBy("block", config).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    b = b.groupBy("block", config).agg(F.sum(value).alias("_sum"), F.count(value).alias("_cnt"))
     splits = [(k, g, g in c) for k, c in enumerate(combinations(range(s), s // 2)) for g in range(s)]
     t = sp.createDataFrame(splits, "split int, block int, is_in boolean")  # S * C(S, S/2) rows, fixed
     x = b.join(F.broadcast(t), "block").groupBy("split", config).agg(
-        (F.sum(F.when(F.col("is_in"), F.col("s"))) / F.sum(F.when(F.col("is_in"), F.col("c")))).alias("ins"),
-        (F.sum(F.when(~F.col("is_in"), F.col("s"))) / F.sum(F.when(~F.col("is_in"), F.col("c")))).alias("oos"))
+        (F.sum(F.when(F.col("is_in"), F.col("_sum"))) / F.sum(F.when(F.col("is_in"), F.col("_cnt")))).alias("ins"),
+        (F.sum(F.when(~F.col("is_in"), F.col("_sum"))) / F.sum(F.when(~F.col("is_in"), F.col("_cnt")))).alias("oos"))
     best = x.groupBy("split").agg(F.max("ins").alias("mx"))
     top = x.join(F.broadcast(best), "split").where("ins = mx").groupBy("split").agg(F.min(F.struct(F.col(config).alias("best"), F.col("oos").alias("best_oos"))).alias("b")).select("split", "b.*")
     r = x.join(F.broadcast(top), "split").groupBy("split", "best").agg(

@@ -9,6 +9,7 @@ from tidemark.operators import regime
 from tidemark.operators import timeseries as ts
 from tidemark.operators.ranks import medians
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources import lens
 
 
@@ -29,7 +30,8 @@ SELECT signal, count(*) AS n, round(avg(CASE WHEN (signal='B' AND ret>0) OR (sig
   round(avg(ret), 6) AS mean_return, round(median(ret), 6) AS median_return, round(avg(alpha), 6) AS avg_alpha
 FROM fwd WHERE horizon = 30 GROUP BY signal""")
 def flagship(spark, sf):
-    f = fwd(spark, sf, [30])
+    # two passes follow (means, exact medians): the joined rows are written once and read twice
+    f = written(fwd(spark, sf, [30]).select("signal", "ret", "alpha"), "outcomes")
     g = f.groupBy("signal").agg(
         F.count("*").alias("n"), F.round(F.avg(F.when(hit_expr(), 100.0).otherwise(0.0)), 6).alias("hit_rate"),
         F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg("alpha"), 6).alias("avg_alpha"))
