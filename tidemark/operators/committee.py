@@ -72,3 +72,71 @@ def decayed(conv: Column, age_days: Column, horizon: Column, signal: Column) ->
 def audit_class(ret: Column, days: Column) -> Column:
     """What happened since the trigger."""
     return (F.when(ret.isNull() | (days < 7), "UNVERIFIED").when(ret <= DROP_PCT, "TRUE_POSITIVE").when(ret >= RISE_PCT, "FALSE_POSITIVE").otherwise("INCONCLUSIVE"))
+
+
+# Regime discounts, trim factor points, action cuts per label.
+RISK_OFF_FACTOR = {"IMPROVING": 0.90, "DETERIORATING": 0.80}
+TRIM_POINTS = {"technical": 12, "macro": 8, "risk": 7, "beta": 4, "rsi": 4}
+CUTS = {"B_add": 55, "H_add": 70, "H_trim": 35, "S_sell": 60}
+
+
+def with_base_conviction(df: DataFrame, momentum: Column) -> DataFrame:
+    """Logistic of the bull share, regime discount, then floors and caps by label. Each step
+    truncates to a whole number, so the steps are separate projections."""
+    c = F.col
+    fl = lambda x: F.floor(x).cast("long")
+    d = df.withColumn("_a", F.greatest(F.lit(30), F.least(F.lit(80), fl(30 + 50 / (1 + F.exp(-(c("bull_pct") - 50) / 8.33))))))
+    off = F.when(momentum == "IMPROVING", RISK_OFF_FACTOR["IMPROVING"]).when(momentum == "DETERIORATING", RISK_OFF_FACTOR["DETERIORATING"]).otherwise(0.85)
+    k = F.when(c("regime") == "RISK_OFF", off).when(c("regime") == "CAUTIOUS", F.when(c("signal") == "B", 0.95).otherwise(0.92))
+    d = d.withColumn("_a", F.when(k.isNotNull(), fl(c("_a") * k)).otherwise(c("_a")))
+    over = c("_a") - 55
+    b = F.when(over > 0, 55 + fl(over / 2) + over % 2).otherwise(55)
+    d = d.withColumn("_b", F.when(c("fund_score") >= 80, F.greatest(b + 10, F.lit(60))).when(c("fund_score") >= 65, F.greatest(b + 5, F.lit(55))).otherwise(b))
+    prem = F.when(c("bull_pct") >= 80, F.least(F.lit(8), fl((c("bull_pct") - 75) / 5))).otherwise(0)
+    ex = F.when((c("excess_exret") > 40) & (c("bull_pct") < 65), -3).when(c("excess_exret") >= 5, F.least(F.lit(5), fl(c("excess_exret") / 4))).otherwise(0)
+    bear = (100 - c("bull_pct")) / 100
+    sell = F.when(bear >= 0.80, 85).when(bear >= 0.40, fl(50 + (bear - 0.40) * 87.5)).otherwise(50)
+    base = F.when(c("signal") == "B", c("_b") + prem + ex).when(c("signal") == "S", sell).otherwise(F.least(c("_a"), F.lit(70)))
+    return d.withColumn("base", base.cast("long")).drop("_a", "_b")
+
+
+def active_points(waterfall: Column) -> Column:
+    """Sum of the modifiers that are not switched off (those carry a tilde)."""
+    on = F.map_filter(waterfall, lambda k, v: ~k.startswith("~"))
+    return F.aggregate(F.map_values(on), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def floored(conv: Column, bulls: Column) -> Column:
+    """B rows never fall below a floor that rises with quality hits."""
+    c = F.col
+    hits = (F.when(bulls >= 5, 2).when(bulls >= 4, 1).otherwise(0) + F.when(c("fund_score") >= 80, 2).when(c("fund_score") >= 70, 1).otherwise(0)
+            + F.when(c("buy_pct") >= 80, 1).when(c("buy_pct") >= 70, 1).otherwise(0))
+    f = F.when(c("signal") == "B", F.when(hits > 0, F.least(F.lit(55), 40 + hits * 3)).otherwise(40)).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.greatest(conv, f)))
+
+
+def review_action(conv: Column, signal: Column) -> Column:
+    """P49."""
+    return (F.when(signal == "S", F.when(conv >= CUTS["S_sell"], "SELL").otherwise("TRIM")).when(signal == "B", F.when(conv >= CUTS["B_add"], "ADD").otherwise("HOLD"))
+            .when(conv >= CUTS["H_add"], "ADD").when(conv >= CUTS["H_trim"], "HOLD").otherwise("TRIM"))
+
+
+def hold_tier(conv: Column) -> Column:
+    return F.when(conv >= 55, "STRONG").when(conv >= 40, "STANDARD").otherwise("WEAK")
+
+
+def trim_conviction() -> Column:
+    """Factor points sorted down, each weighted 0.7 times the one before, truncated."""
+    c = F.col
+    t = TRIM_POINTS
+    pts = F.array(F.when(c("tech_signal").isin("EXIT_SOON", "AVOID"), t["technical"]), F.when(c("macro_fit") == "UNFAVORABLE", t["macro"]), F.when(c("risk_warning"), t["risk"]), F.when(c("beta") > 1.5, t["beta"]), F.when(c("rsi") > 70, t["rsi"]))
+    pts = F.sort_array(F.filter(pts, lambda x: x.isNotNull()), asc=False)
+    total = F.aggregate(pts, F.struct(F.lit(50).cast("long").alias("s"), F.lit(1.0).alias("w")), lambda a, p: F.struct((a["s"] + F.floor(p * a["w"])).alias("s"), (a["w"] * 0.7).alias("w")), lambda a: a["s"])
+    return F.least(total - F.when(c("fund_score") >= 80, 10).otherwise(0) - F.when(c("census_view") == "ALIGNED", 5).otherwise(0), F.lit(80).cast("long"))
+
+
+def book_share(conv: Column, beta: Column, peers: Column, buy_pct: Column) -> Column:
+    """3 % times a conviction step, less for beta, peers and crowding, within 1 to 5 %."""
+    s = 3.0 * F.when(conv >= 80, 1.5).when(conv >= 65, 1.2).when(conv >= 50, 1.0).otherwise(0.7)
+    s = (s * F.when(beta > 1.5, 0.8).otherwise(1.0) - peers * 0.5) * F.when(buy_pct > 90, 0.9).otherwise(1.0)
+    return F.greatest(F.lit(1.0), F.least(F.lit(5.0), s))

@@ -249,3 +249,43 @@ def a46(spark, sf):
 def g31(spark, sf):
     r = lens.reviews(spark, sf).join(lens.dims(spark, sf).select("ticker", "sector"), "ticker")
     return r.rollup("sector", "action").agg(F.count("*").alias("n"), r6(F.avg("conviction"), "mean_conviction"))
+
+
+SYN_SQL = """
+a0 AS (SELECT r.*, greatest(30, least(80, cast(floor(30 + 50 / (1 + exp(-(bull_pct - 50) / 8.33::double))) as bigint))) AS a FROM reviews r),
+a1 AS (SELECT *, CASE regime WHEN 'RISK_OFF' THEN cast(floor(a * 0.85::double) as bigint) WHEN 'CAUTIOUS' THEN cast(floor(a * CASE WHEN signal = 'B' THEN 0.95::double ELSE 0.92::double END) as bigint) ELSE a END AS ab FROM a0),
+a2 AS (SELECT *, CASE WHEN ab > 55 THEN 55 + (ab - 55) // 2 + (ab - 55) % 2 ELSE 55 END AS b0, (100 - bull_pct) / 100 AS bear FROM a1),
+a3 AS (SELECT *, CASE signal WHEN 'B' THEN CASE WHEN fund_score >= 80 THEN greatest(b0 + 10, 60) WHEN fund_score >= 65 THEN greatest(b0 + 5, 55) ELSE b0 END
+   + CASE WHEN bull_pct >= 80 THEN least(8, cast(floor((bull_pct - 75) / 5) as bigint)) ELSE 0 END + CASE WHEN excess_exret > 40 AND bull_pct < 65 THEN -3 WHEN excess_exret >= 5 THEN least(5, cast(floor(excess_exret / 4) as bigint)) ELSE 0 END
+  WHEN 'S' THEN CASE WHEN bear >= 0.8::double THEN 85 WHEN bear >= 0.4::double THEN cast(floor(50 + (bear - 0.4::double) * 87.5::double) as bigint) ELSE 50 END ELSE least(ab, 70) END AS base,
+  (okey % 9 - 4) + okey % 4 * 2 - okey % 5 - (okey % 3) * 2 + (okey % 8 - 2) AS adj,
+  (fund_view = 'BUY')::int + (tech_signal IN ('ENTER_NOW','WAIT_FOR_PULLBACK','ACCUMULATE'))::int + (macro_fit = 'FAVORABLE')::int + (census_view = 'ALIGNED')::int + (news_impact LIKE '%POSITIVE')::int AS bulls FROM a2),
+a4 AS (SELECT *, CASE WHEN signal = 'B' THEN (CASE WHEN bulls >= 5 THEN 2 WHEN bulls >= 4 THEN 1 ELSE 0 END) + (CASE WHEN fund_score >= 80 THEN 2 WHEN fund_score >= 70 THEN 1 ELSE 0 END) + (CASE WHEN buy_pct >= 70 THEN 1 ELSE 0 END) END AS hits FROM a3),
+a5 AS (SELECT *, greatest(0, least(100, greatest(base + adj, CASE WHEN hits > 0 THEN least(55, 40 + hits * 3) WHEN hits = 0 THEN 40 ELSE 0 END))) AS conv FROM a4),
+a6 AS (SELECT *, CASE signal WHEN 'S' THEN CASE WHEN conv >= 60 THEN 'SELL' ELSE 'TRIM' END WHEN 'B' THEN CASE WHEN conv >= 55 THEN 'ADD' ELSE 'HOLD' END ELSE CASE WHEN conv >= 70 THEN 'ADD' WHEN conv >= 35 THEN 'HOLD' ELSE 'TRIM' END END AS act, lag(action) OVER (PARTITION BY ticker ORDER BY date) AS pa, CASE WHEN signal = 'B' THEN 55 ELSE 70 END AS cut FROM a5)
+"""
+
+
+@query("c14_p46_p50_review_scoring", ctes=("reviews",), sql=SYN_SQL + """
+SELECT ticker, date, cast(base as bigint) AS base, cast(conv as bigint) AS scored, CASE WHEN signal <> 'S' AND pa = 'HOLD' AND act = 'ADD' AND conv < cut + 5 THEN 'HOLD' WHEN signal <> 'S' AND pa = 'ADD' AND act = 'HOLD' AND conv > cut - 5 THEN 'ADD' ELSE act END AS final_action,
+ CASE WHEN conv >= 55 THEN 'STRONG' WHEN conv >= 40 THEN 'STANDARD' ELSE 'WEAK' END AS tier,
+ round(greatest(1, least(5, (3 * CASE WHEN conv >= 80 THEN 1.5 WHEN conv >= 65 THEN 1.2 WHEN conv >= 50 THEN 1.0 ELSE 0.7 END * CASE WHEN beta > 1.5 THEN 0.8 ELSE 1 END) * CASE WHEN buy_pct > 90 THEN 0.9 ELSE 1 END))::double, 6) AS share_pct FROM a6""")
+def c14(spark, sf):
+    """Staged: base, adjustments, floors, action, hysteresis against the recorded previous action, share."""
+    c = F.col
+    bulls = [c("fund_view") == "BUY", c("tech_signal").isin("ENTER_NOW", "WAIT_FOR_PULLBACK", "ACCUMULATE"), c("macro_fit") == "FAVORABLE", c("census_view") == "ALIGNED", c("news_impact").endswith("POSITIVE")]
+    n = sum((b.cast("int") for b in bulls), F.lit(0))
+    r = lens.reviews(spark, sf).withColumn("bulls", n).withColumn("adj", cm.active_points(c("waterfall")))
+    r = cm.with_base_conviction(r, F.lit("STABLE"))
+    r = r.withColumn("conv", cm.floored(c("base") + c("adj"), c("bulls")).cast("long"))
+    r = r.select("ticker", "date", "signal", "base", "conv", "beta", "buy_pct", cm.review_action(c("conv"), c("signal")).alias("act"), F.lag("action").over(ts.by_bar()).alias("pa"), F.when(c("signal") == "B", cm.CUTS["B_add"]).otherwise(cm.CUTS["H_add"]).alias("cut"))
+    stay = c("signal") != "S"
+    fin = F.when(stay & (c("pa") == "HOLD") & (c("act") == "ADD") & (c("conv") < c("cut") + 5), "HOLD").when(stay & (c("pa") == "ADD") & (c("act") == "HOLD") & (c("conv") > c("cut") - 5), "ADD").otherwise(c("act"))
+    return r.select("ticker", "date", "base", c("conv").alias("scored"), fin.alias("final_action"), cm.hold_tier(c("conv")).alias("tier"), r6(cm.book_share(c("conv"), c("beta"), F.lit(0), c("buy_pct")), "share_pct"))
+
+
+@query("p49_trim_conviction", ctes=("reviews",), sql="""
+f AS (SELECT ticker, date, fund_score, census_view, list_reverse_sort(list_filter([CASE WHEN tech_signal IN ('EXIT_SOON','AVOID') THEN 12 END, CASE WHEN macro_fit = 'UNFAVORABLE' THEN 8 END, CASE WHEN risk_warning THEN 7 END, CASE WHEN beta > 1.5 THEN 4 END, CASE WHEN rsi > 70 THEN 4 END], lambda x: x IS NOT NULL)) AS p FROM reviews)
+SELECT ticker, date, cast(least(80, 50 + coalesce(floor(p[1]), 0) + coalesce(floor(p[2] * 0.7::double), 0) + coalesce(floor(p[3] * 0.49::double), 0) + coalesce(floor(p[4] * 0.343::double), 0) + coalesce(floor(p[5] * 0.2401::double), 0) - CASE WHEN fund_score >= 80 THEN 10 ELSE 0 END - CASE WHEN census_view = 'ALIGNED' THEN 5 ELSE 0 END) as bigint) AS trim_conviction FROM f""")
+def p49(spark, sf):
+    return lens.reviews(spark, sf).select("ticker", "date", cm.trim_conviction().alias("trim_conviction"))
