@@ -38,6 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.known import Known, bytes_of
+
 LENGTH = 2048
 END_ID = 1
 CHUNK = 1 << 21
@@ -80,15 +82,6 @@ def _library(path: str):
     return t, fast, n_bytes, ends
 
 
-def _offsets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and ``n + 1`` offsets of a column of texts without NULLs."""
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    a = a.cast(pa.large_string())
-    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
-    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-    return data, off - off[0]
-
-
 def _cuts(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Places where a text may be cut without changing its ids: before a blank that follows a
     visible character (characters that could be white space in Unicode are left together)."""
@@ -104,50 +97,21 @@ def _cuts(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class _Known:
-    """Ids of pieces met before by this worker. New pieces are encoded together; the store is
-    emptied when it holds ``MOST`` pieces, so a worker's memory stays bounded."""
-
-    MOST = 400_000
-
-    def __init__(self):
-        self.pieces = pa.array([], pa.large_string())
-        self.pool, self.begin, self.per = (np.zeros(0, np.int64) for _ in range(3))
-
-    def ids_of(self, wanted: pa.Array, db: np.ndarray, doff: np.ndarray, fast, n_bytes: np.ndarray):
-        """Pool of ids, and where each wanted piece begins in it and how many ids it has."""
-        at = pc.fill_null(pc.index_in(wanted, value_set=self.pieces), -1).to_numpy().astype(np.int64)
-        new = at < 0
-        ids, begin, per = self._encode(new, db, doff, fast, n_bytes)
-        base, begin_all, per_all = len(self.pool), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        begin_all[~new], per_all[~new] = self.begin[at[~new]], self.per[at[~new]]
-        begin_all[new], per_all[new] = begin + base, per
-        pool = np.concatenate([self.pool, ids])
-        if len(self.pieces) + len(begin) > self.MOST:
-            self.__init__()
-        else:
-            self.pieces = pa.concat_arrays([self.pieces, wanted.filter(pa.array(new))])
-            self.pool, self.begin, self.per = pool, np.concatenate([self.begin, begin + base]), np.concatenate([self.per, per])
-        return pool, begin_all, per_all
-
-    @staticmethod
-    def _encode(new, db, doff, fast, n_bytes):
-        size = np.diff(doff)
-        blank = new & (db[np.minimum(doff[:-1], max(0, len(db) - 1))] == 0x20) if len(size) else new
-        # new pieces that start with a blank are encoded as one text: every such blank is a cut there, too
-        ids = np.asarray(fast.encode_ordinary(db[np.repeat(blank, size)].tobytes().decode()), np.int64)
-        at = np.searchsorted(np.cumsum(size[blank]), np.cumsum(n_bytes[ids]) - n_bytes[ids], side="right")
-        per, begin = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        per[blank] = np.bincount(at, minlength=int(blank.sum()))
-        begin[blank] = np.cumsum(per[blank]) - per[blank]
-        other = new & ~blank
-        rest = [np.asarray(fast.encode_ordinary(db[doff[i] : doff[i + 1]].tobytes().decode()), np.int64) for i in np.flatnonzero(other)]
-        per[other] = [len(x) for x in rest]
-        begin[other] = len(ids) + np.cumsum(per[other]) - per[other]
-        return np.concatenate([ids, *rest]), begin[new], per[new]
-
-
-_CACHE: dict[str, _Known] = {}
+def _encode_new(db: np.ndarray, doff: np.ndarray, new: np.ndarray, fast, n_bytes: np.ndarray):
+    """Ids of the new pieces, and where each begins among them and how many it has. Pieces that
+    start with a blank are encoded as one text: every such blank is a cut there, too."""
+    size = np.diff(doff)
+    blank = new & (db[np.minimum(doff[:-1], max(0, len(db) - 1))] == 0x20) if len(size) else new
+    ids = np.asarray(fast.encode_ordinary(db[np.repeat(blank, size)].tobytes().decode()), np.int64)
+    at = np.searchsorted(np.cumsum(size[blank]), np.cumsum(n_bytes[ids]) - n_bytes[ids], side="right")
+    per, begin = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    per[blank] = np.bincount(at, minlength=int(blank.sum()))
+    begin[blank] = np.cumsum(per[blank]) - per[blank]
+    other = new & ~blank
+    rest = [np.asarray(fast.encode_ordinary(db[doff[i] : doff[i + 1]].tobytes().decode()), np.int64) for i in np.flatnonzero(other)]
+    per[other] = [len(x) for x in rest]
+    begin[other] = len(ids) + np.cumsum(per[other]) - per[other]
+    return np.concatenate([ids, *rest]), begin[new], per[new]
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +121,11 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     own = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
     odd = [np.asarray(e.ids, np.int64) for e in full.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(own)], add_special_tokens=False)]
     texts = pc.if_else(pa.array(own), "", texts)
-    b, off = _offsets(texts)
+    b, off = bytes_of(texts)
     starts = _cuts(b, off)
     pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(b)).astype(np.int64)), pa.py_buffer(b.tobytes()))
-    d = pieces.dictionary_encode()
-    number = d.indices.to_numpy()
-    db, doff = _offsets(d.dictionary)
-    seen = _CACHE.setdefault(path, _Known())
-    pool, begin, per = seen.ids_of(d.dictionary, db, doff, fast, n_bytes)
-    n = per[number]
-    out = pool[np.repeat(begin[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    known = Known.shared(path, lambda db, doff, new: _encode_new(db, doff, new, fast, n_bytes))
+    out, n = known.ids_of(pieces)
     doc = np.searchsorted(off, starts, side="right") - 1
     count = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64) if len(starts) else np.zeros(len(texts), np.int64)
     if odd:
