@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BLOCK = "block long, ids binary, offsets binary, data binary"
+BLOCK = "block long, ids binary, offsets binary, data binary, carried binary"
 RUNS = "shard int, block long, run binary"
 ANSWERS = "block long, shard int, run binary"
 LAST = 2**63 - 1
@@ -88,36 +89,60 @@ class Block:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         self.data = np.frombuffer(unsqueeze(row["data"]), np.uint8)
+        self._carried = row["carried"]
 
+    @property
+    def carried(self) -> list[str]:
+        """What came along with each document (a JSON text)."""
+        return unsqueeze(self._carried).decode().split("\n")
 
-def make_blocks(docs: DataFrame, doc_id: str, text: str, most_bytes: int, ordered_parts: int = 0) -> DataFrame:
+
+def other_columns(docs: DataFrame, *but: str) -> Column:
+    """All other columns as one JSON text, to be carried along and read back by ``read_columns``."""
+    names = [c for c in docs.columns if c not in but]
+    return F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+
+
+def read_columns(docs: DataFrame, carried: str, *but: str) -> list[Column]:
+    """The columns of ``docs`` that were carried, with their types."""
+    fields = [f for f in docs.schema.fields if f.name not in but]
+    if not fields:
+        return []
+    all_of = F.from_json(F.col(carried), StructType(fields))
+    return [all_of[f.name].alias(f.name) for f in fields]
+
+
+def make_blocks(docs: DataFrame, doc_id: str, text: str, most_bytes: int, ordered_parts: int = 0, carry: Column | None = None) -> DataFrame:
     """Pack documents into blocks of about ``most_bytes`` (one document is never split). With
     ``ordered_parts``, documents are first dealt into that many ranges of ids: then blocks have
-    disjoint, rising id ranges, rows of one id share a block, and a block's number is its first id."""
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    disjoint, rising id ranges, rows of one id share a block, and a block's number is its first id.
+    ``carry`` is a text without line feeds that goes along with each document."""
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit("") if carry is None else carry).alias("carry"))
     if ordered_parts:
         d = d.repartitionByRange(ordered_parts, "id").sortWithinPartitions("id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, n = [], [], 0, TaskContext.get().partitionId() << 24
+        ids, texts, along, size, n = [], [], [], 0, TaskContext.get().partitionId() << 24
 
         def row() -> pa.RecordBatch:
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<i8")
             number = ids[0] if ordered_parts else n
-            out = {"block": [number], "ids": [np.array(ids, "<i8").tobytes()], "offsets": [off.tobytes()], "data": [squeeze(b"".join(texts))]}
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary())]))
+            out = {"block": [number], "ids": [np.array(ids, "<i8").tobytes()], "offsets": [off.tobytes()], "data": [squeeze(b"".join(texts))], "carried": [squeeze("\n".join(along).encode())]}
+            return pa.RecordBatch.from_pydict(out, schema=schema)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for i, t, c in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
                 if size >= most_bytes and not (ordered_parts and i == ids[-1]):
                     yield row()
-                    ids, texts, size, n = [], [], 0, n + 1
+                    ids, texts, along, size, n = [], [], [], 0, n + 1
                 ids.append(i)
+                along.append(c)
                 texts.append(t.as_py())
                 size += len(texts[-1])
         if ids:
             yield row()
 
+    schema = to_arrow(BLOCK)
     return d.mapInArrow(task, BLOCK)
 
 
@@ -186,7 +211,6 @@ def each_answered(blocks: DataFrame, answers: DataFrame, work: Callable[[Block,
 
 def to_arrow(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 

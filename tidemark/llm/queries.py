@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact, minhash, packing, rules, substring, suffix
+from tidemark.llm import chat, exact, minhash, packing, perplexity, pieces, rules, substring, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,16 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 @query("op1_minhash_near_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the digest of the text decoded from them."""
+    out = pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_chars", F.round("perplexity", 4).alias("perplexity"), "kept")

@@ -36,7 +36,7 @@ SHARD_BYTES = 4 << 20
 #: Batches that a shard's family takes.
 BATCHES = 16
 
-RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string"
+RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string, carried string"
 
 
 class Family:
@@ -209,13 +209,13 @@ def _local(b: bl.Block, starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, carry=None) -> DataFrame:
     """One row per document: bytes, removed bytes, removed spans (in bytes), SHA-256 of the
-    remaining bytes and, ``with_text``, the remaining text."""
+    remaining bytes and, ``with_text``, the remaining text; ``carry`` comes along as ``carried``."""
     size = bl.text_bytes(docs, text)
     shards = max(1, size // SHARD_BYTES)
     parts = max(1, min(size // (2 * BLOCK_BYTES), 100_000))
-    table = bl.bucketed(bl.make_blocks(docs, doc_id, text, BLOCK_BYTES, ordered_parts=parts), parts, "bytes")
+    table = bl.bucketed(bl.make_blocks(docs, doc_id, text, BLOCK_BYTES, ordered_parts=parts, carry=carry), parts, "bytes")
 
     def docs_of(b: bl.Block, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(b.offsets, at, side="right") - 1
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         early = (np.repeat(bits, n) >> j.astype(np.uint32)) & 1 > 0
         rank = _rank(b.ids)[docs_of(b, starts)]
         gone = bl.spread(starts[early | _local(b, starts, rank)], LENGTH, len(b.data))
-        out, off = [], b.offsets.tolist()
+        out, off, along = [], b.offsets.tolist(), b.carried
         for i, (s, e) in enumerate(zip(off, off[1:])):
             g = gone[s:e]
             edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
@@ -262,6 +262,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     "spans": [{"start": int(x), "length": int(y - x)} for x, y in zip(edge[::2], edge[1::2])],
                     "kept_sha256": hashlib.sha256(kept).hexdigest(),
                     "kept_text": kept.decode(errors="ignore") if with_text else None,
+                    "carried": along[i],
                 }
             )
         return pa.Table.from_pylist(out, schema=schema)
