@@ -1,8 +1,8 @@
 """Chat formatting by prefix-target expansion, with built-in functions only.
 
 A conversation is written as ``<|role|>text<|end|>`` per turn. Inside roles and texts a
-backslash becomes ``\\b`` and ``<`` becomes ``\\l``, so ``<`` occurs in markers alone and the
-text can be read back exactly. Every assistant turn becomes one example: all preceding turns
+backslash becomes ``\\b`` and ``<`` becomes ``\\l`` (in roles, ``|`` becomes ``\\p``), so ``<`` occurs in
+markers alone and the text can be read back exactly. Every assistant turn becomes one example: all preceding turns
 are its prompt (not trainable) and only its reply is its target. A conversation with turns after
 its last reply, or without any, has one more example with an empty target and ``trainable``
 false, so that the examples hold the whole conversation.
@@ -28,10 +28,18 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("|"), F.lit("\\p"))
+
+
 def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\p"), F.lit("|")))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """``conv_id``, ``turns`` (array of role, head, body) in order. Head and body are formatted
     text: a turn is head + body, and the loss of a reply is on its body."""
@@ -43,7 +51,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
             "t",
             lambda x: F.struct(
                 x["role"].alias("role"),
-                F.concat(F.lit("<|"), escape(x["role"]), F.lit("|>")).alias("head"),
+                F.concat(F.lit("<|"), escape_role(x["role"]), F.lit("|>")).alias("head"),
                 escape(x["text"]).alias("body"),
             ),
         ).alias("turns"),
@@ -80,8 +88,8 @@ def read_back(text: Column) -> Column:
     return F.transform(
         F.filter(F.split(text, r"<\|end\|>", -1), lambda x: x != ""),
         lambda x: F.struct(
-            unescape(F.regexp_extract(x, r"^<\|([^|]*(?:\|(?!>)[^|]*)*)\|>", 1)).alias("role"),
-            unescape(F.regexp_replace(x, r"^<\|[^|]*(?:\|(?!>)[^|]*)*\|>", "")).alias("text"),
+            unescape_role(F.regexp_extract(x, r"^<\|([^|]*)\|>", 1)).alias("role"),
+            unescape(F.regexp_replace(x, r"^<\|[^|]*\|>", "")).alias("text"),
         ),
     )
 

@@ -39,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 #: Grams per shard of the model.
 SHARD_GRAMS = 50_000
 HIGH, REACH = 0.9, 8.0
+#: No discount is smaller, so that every context leaves something for what it has not seen.
+LEAST = 0.05
 START, STOP = 2, 3  # control characters that stand for the marks
 
 SCORES = "doc_id long, n_chars long, log2_loss double, carried string"
@@ -131,7 +133,7 @@ def discounts(types: DataFrame) -> tuple[float, float, float]:
     if not all(n):
         return 0.5, 1.0, 1.5
     y = n[0] / (n[0] + 2 * n[1])
-    return tuple(min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))
+    return tuple(min(k, max(LEAST, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))
 
 
 def model(top: DataFrame) -> tuple[DataFrame, float]:

@@ -37,7 +37,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(11 + length(replace(replace(role, '\\', '\\b'), '<', '\\l')) + length(replace(replace(text, '\\', '\\b'), '<', '\\l')))::BIGINT AS formatted_chars
+  sum(11 + length(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '|', '\\p')) + length(replace(replace(text, '\\', '\\b'), '<', '\\l')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
 
