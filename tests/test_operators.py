@@ -167,23 +167,37 @@ def test_bootstrap_is_repeatable_and_covers(spark):
     assert a["ci_hi"] - a["ci_lo"] == pytest.approx(2 * 1.645 / math.sqrt(4000), rel=0.25)
 
 
-def test_correlation_edges_and_effective_positions(spark, monkeypatch):
-    monkeypatch.setattr(books, "BLOCK", 3)  # several blocks
+def test_book_risk_does_not_depend_on_names_outside_the_book(spark):
     r = np.random.default_rng(6)
-    f = r.normal(size=(40, 1))
-    m = f * r.uniform(0, 1, 8) + r.normal(size=(40, 8))
-    d = spark.createDataFrame([(j, dt.date(2020, 1, 1) + dt.timedelta(31 * i), float(m[i, j])) for i in range(40) for j in range(8)], "ticker long, month date, ret double")
-    c = np.corrcoef(m, rowvar=False)
-    got = {(e["a"], e["b"]): e["corr"] for e in books.correlation_edges(d, 0.2).collect()}
-    want = {(i, j): c[i, j] for i in range(8) for j in range(i + 1, 8) if abs(c[i, j]) >= 0.2}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-    assert books.effective_positions(d).collect()[0]["effective"] == pytest.approx(64 / c.sum())
+    m = r.normal(size=(40, 1)) * r.uniform(0, 1, 8) + r.normal(size=(40, 8))
+    day = [dt.date(2020, 1, 1) + dt.timedelta(31 * i) for i in range(40)]
+    rows = [(j, day[i], float(m[i, j])) for i in range(40) for j in range(8)]
+    others = [(100 + j, day[i], float(j)) for j in range(8) for i in range(j, 40, 7)]  # with many gaps
+    names = spark.createDataFrame([(day[-1], j) for j in range(8)] + [(day[9], j) for j in range(3)], "book date, ticker long")
+    for table in (rows, rows + others):
+        d = spark.createDataFrame(table, "ticker long, month date, ret double")
+        h = books.book_history(names, d, "book")
+        assert {(x["book"], x["n_dates"], x["n_names"]) for x in h.collect()} == {(day[-1], 40, 8)}  # the early book has 10 dates: too few
+        c = np.corrcoef(m, rowvar=False)
+        got = {(e["a"], e["b"]): e["corr"] for e in books.correlation_edges(h, "book", 0.2).collect()}
+        want = {(i, j): c[i, j] for i in range(8) for j in range(i + 1, 8) if abs(c[i, j]) >= 0.2}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        assert books.effective_positions(h, "book").collect()[0]["effective"] == pytest.approx(64 / c.sum())
+
+
+def test_clusters_gather_linked_names_in_order(spark):
+    day = dt.date(2024, 1, 1)
+    links = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (4, 5), (6, 7), (8, 9), (8, 10), (9, 10), (3, 11)]
+    d = spark.createDataFrame([(day, a, b, 0.5) for a, b in links], "book date, a long, b long, corr double")
+    got = [(r["cluster"], r["members"], r["size"]) for r in books.greedy_clusters(d, "book").orderBy("cluster").collect()]
+    assert got == [(0, [1, 2, 3, 4], 4), (1, [8, 9, 10], 3)]
 
 
 def test_risk_parity_equalises_risk_and_respects_cap():
     a = np.random.default_rng(7).normal(size=(60, 5))
     s = np.cov(a, rowvar=False)
-    w = books._erc(s)
+    w, done = books._erc(s)
+    assert done
     share = w * (s @ w)
     assert np.allclose(share, share.mean(), rtol=1e-6) and w.sum() == pytest.approx(1)
     c = books._spread(np.array([0.5, 0.3, 0.1, 0.1]), 0.35)

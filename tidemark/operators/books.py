@@ -1,9 +1,8 @@
 """Books of positions: correlation, clusters, risk, construction.
 
-Correlation and risk of a whole table are computed without a pair table: with standardised
-returns z, the sum of all correlations is the sum over dates of (sum z)^2 / n, and portfolio
-variance is the variance of the weighted sum. Pairs appear only where they are the result
-(edges above a threshold, found block by block) or where a book is small by construction.
+A book is a bounded selection of names (its top n at a rebalance date). Which dates count as complete
+is decided inside each book, by its own names, so a growing table of other names takes no dates away
+from it; the number of dates kept is part of every result. Pairs exist inside books alone.
 """
 
 from __future__ import annotations
@@ -12,80 +11,62 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1000  # tickers per block side
+MIN_DATES = 20  # complete dates that a book needs before it has a risk figure
 
 
-def complete_dates(rets: DataFrame, date: str = "month") -> DataFrame:
-    """Rows of the dates on which every ticker has a return."""
-    n = rets.agg(F.countDistinct("ticker").alias("n"))
-    full = rets.groupBy(date).agg(F.count("*").alias("c")).join(F.broadcast(n)).where("c = n").select(date)  # n: one row
-    return rets.join(F.broadcast(full), date, "left_semi")  # one row per date
-
-
-def standardised(rets: DataFrame, date: str = "month") -> DataFrame:
-    """z per ticker over its dates (calendar-bounded window); a flat series has no z."""
-    w = Window.partitionBy("ticker")
-    sd = F.stddev_pop("ret").over(w)
-    return rets.select("ticker", date, "ret", F.try_divide(F.col("ret") - F.avg("ret").over(w), sd).alias("z"), F.stddev_samp("ret").over(w).alias("sd"))
-
-
-def correlation_edges(rets: DataFrame, threshold: float, date: str = "month") -> DataFrame:
-    """Pairs with |corr| >= threshold, a < b, on complete dates.
-
-    Series are gathered per ticker (calendar-bounded), dealt into blocks of about ``BLOCK``
-    tickers, and each pair of blocks is one matrix product; only edges leave a task.
-    """
-    z = standardised(complete_dates(rets, date), date).where("z is not null")
-    series = z.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(date), F.col("z")))), lambda s: s["z"]).alias("v"))
-    n = rets.select("ticker").distinct().count()
-    nb = max(1, math.ceil(n / BLOCK))
-    b = F.pmod(F.xxhash64("ticker"), F.lit(nb)).cast("int")
-    s = series.select("ticker", "v", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("o"))
-    s = s.select("ticker", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def product(key, pdf):
-        i, j = key
-        left = pdf[pdf["b"] == i].sort_values("ticker")
-        right = pdf[pdf["b"] == j].sort_values("ticker")
-        a, c = np.stack(left["v"].to_list()) if len(left) else None, np.stack(right["v"].to_list()) if len(right) else None
-        if a is None or c is None:
-            return pd.DataFrame({"a": [], "b": [], "corr": []}).astype({"a": "int64", "b": "int64", "corr": "float64"})
-        m = a @ c.T / a.shape[1]
-        x, y = np.nonzero(np.abs(m) >= threshold)
-        t, u = left["ticker"].to_numpy()[x], right["ticker"].to_numpy()[y]
-        lo, hi = np.minimum(t, u), np.maximum(t, u)
-        keep = (t != u) if i != j else (t < u)
-        return pd.DataFrame({"a": lo[keep], "b": hi[keep], "corr": m[x, y][keep]})
-
-    return s.groupBy("i", "j").applyInPandas(product, "a long, b long, corr double")
-
-
-def effective_positions(rets: DataFrame, date: str = "month") -> DataFrame:
-    """T22 without pairs: n^2 over the sum of all correlations."""
-    z = standardised(complete_dates(rets, date), date).where("z is not null")
-    per = z.groupBy(date).agg(F.sum("z").alias("s"), F.count("*").alias("k"))
-    g = per.agg(F.max("k").alias("n"), (F.sum(F.col("s") * F.col("s")) / F.count("*")).alias("total"))
-    return g.select("n", (F.col("n") * F.col("n") / F.col("total")).alias("effective"), (F.col("n") / F.col("total")).alias("ratio"))
-
-
-def portfolio_var(rets: DataFrame, weights: DataFrame, date: str = "month", horizon: int = 1) -> DataFrame:
-    """Parametric and tail risk of the weighted sum on complete dates."""
-    c = complete_dates(rets, date).join(weights, "ticker")
-    tot = weights.agg(F.sum("weight").alias("tw"))
-    p = c.join(F.broadcast(tot)).groupBy(date).agg(F.sum(F.col("ret") * F.col("weight") / F.col("tw")).alias("r"))  # tot: one row
-    cut = p.agg(F.percentile("r", F.lit(0.05)).alias("q"))  # one row per date: calendar-bounded
-    d = p.join(F.broadcast(cut))
-    g = d.agg(F.count("*").alias("n"), F.stddev_samp("r").alias("sd"), F.abs(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r")))).alias("tail"))
+def top_names(cands: DataFrame, book: str, top_n: int = 20) -> DataFrame:
+    """The ``top_n`` names of each book by score."""
+    w = Window.partitionBy(book).orderBy(F.desc("score"), "ticker")
+    return cands.where("score is not null").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top_n).drop("rk")
+
+
+def book_history(names: DataFrame, rets: DataFrame, book: str, date: str = "month", least: int = MIN_DATES) -> DataFrame:
+    """Returns of each book's names up to the book's date, on the dates on which every one of its names
+    (that has any return) has one. Adds ``n_names`` and ``n_dates``; books with fewer than ``least`` complete
+    dates have no rows here (see ``thin_books``)."""
+    h = names.join(rets, "ticker").where(F.col(date) <= F.col(book))
+    size = h.groupBy(book).agg(F.count_distinct("ticker").alias("n_names"))
+    full = h.groupBy(book, date).agg(F.count("*").alias("c")).join(size, book).where("c = n_names").drop("c")
+    dates = full.groupBy(book).agg(F.count("*").alias("n_dates")).where(F.col("n_dates") >= least)
+    return h.join(full, [book, date]).join(dates, book)
+
+
+def correlation_edges(hist: DataFrame, book: str, threshold: float, date: str = "month") -> DataFrame:
+    """Per book the pairs a < b with |corr| >= threshold; at most top_n^2 / 2 pairs a book."""
+    l, r = hist.alias("l"), hist.alias("r")
+    same = (F.col(f"l.{book}") == F.col(f"r.{book}")) & (F.col(f"l.{date}") == F.col(f"r.{date}")) & (F.col("l.ticker") < F.col("r.ticker"))
+    corr = F.try_divide(F.covar_pop("l.ret", "r.ret"), F.stddev_pop("l.ret") * F.stddev_pop("r.ret"))
+    pairs = l.join(r, same).groupBy(F.col(f"l.{book}").alias(book), F.col("l.ticker").alias("a"), F.col("r.ticker").alias("b"))
+    return pairs.agg(corr.alias("corr"), F.max("l.n_dates").alias("n_dates")).where(F.abs("corr") >= threshold)
+
+
+def effective_positions(hist: DataFrame, book: str, date: str = "month") -> DataFrame:
+    """T22 per book, without pairs: with standardised returns z the sum of all correlations is the sum
+    over dates of (sum z)^2 / n_dates. A flat series has no z."""
+    sd = F.stddev_pop("ret").over(Window.partitionBy(book, "ticker"))
+    mean = F.avg("ret").over(Window.partitionBy(book, "ticker"))
+    z = hist.select(book, date, "n_dates", F.try_divide(F.col("ret") - mean, sd).alias("z")).where("z is not null")
+    per = z.groupBy(book, date, "n_dates").agg(F.sum("z").alias("s"), F.count("*").alias("k"))
+    g = per.groupBy(book, "n_dates").agg(F.max("k").alias("n"), (F.sum(F.col("s") * F.col("s")) / F.count("*")).alias("total"))
+    return g.select(book, "n_dates", "n", (F.col("n") * F.col("n") / F.col("total")).alias("effective"), (F.col("n") / F.col("total")).alias("ratio"))
+
+
+def portfolio_var(hist: DataFrame, weights: DataFrame, book: str, date: str = "month", horizon: int = 1) -> DataFrame:
+    """T25 per book: parametric and tail risk of the weighted sum (weights sum to one in each book)."""
+    c = hist.join(weights, "ticker")
+    p = c.groupBy(book, date, "n_dates").agg((F.sum(F.col("ret") * F.col("weight")) / F.sum("weight")).alias("r"))
+    p = p.withColumn("q", F.percentile("r", F.lit(0.05)).over(Window.partitionBy(book)))  # calendar-bounded
+    g = p.groupBy(book, "n_dates").agg(F.stddev_samp("r").alias("sd"), F.abs(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r")))).alias("tail"))
     h = math.sqrt(horizon)
-    return g.select("n", (F.col("sd") * 1.645 * h * 100).alias("var_95_pct"), (F.col("sd") * 2.326 * h * 100).alias("var_99_pct"), (F.col("tail") * 100).alias("cvar_95_pct"))
+    return g.select(book, "n_dates", (F.col("sd") * 1.645 * h * 100).alias("var_95_pct"), (F.col("sd") * 2.326 * h * 100).alias("var_99_pct"), (F.col("tail") * 100).alias("cvar_95_pct"))
 
 
-def _erc(cov: np.ndarray, tol=1e-12, max_sweeps=10_000) -> np.ndarray:
+def _erc(cov: np.ndarray, tol=1e-12, max_sweeps=10_000) -> tuple[np.ndarray, bool]:
     """Equal risk shares by cyclical coordinate descent: each step solves one name's quadratic, so it
-    also converges where some covariances are negative."""
+    also converges where some covariances are negative. The flag says whether it did in time."""
     n = len(cov)
     var = np.maximum(np.diag(cov), 1e-18)
     x = 1 / np.sqrt(var)
@@ -95,8 +76,8 @@ def _erc(cov: np.ndarray, tol=1e-12, max_sweeps=10_000) -> np.ndarray:
             rest = cov[i] @ x - cov[i, i] * x[i]
             x[i] = (-rest + math.sqrt(rest * rest + 4 * var[i] / n)) / (2 * var[i])
         if np.abs(x - old).max() < tol * np.abs(x).max():
-            break
-    return x / x.sum()
+            return x / x.sum(), True
+    return x / x.sum(), False
 
 
 def _spread(w: np.ndarray, cap: float) -> np.ndarray:
@@ -118,45 +99,45 @@ def risk_parity_books(cands: DataFrame, rets: DataFrame, book: str, top_n: int =
 
     ``top_n`` bounds a book, so its pair table has at most top_n^2 rows; books run in parallel.
     """
-    w = Window.partitionBy(book).orderBy(F.desc("score"), "ticker")
-    sel = cands.where("score is not null").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top_n)
-    hist = sel.join(rets, "ticker").where(F.col("month") <= F.col(book)).select(book, "ticker", "month", "ret")
+    hist = top_names(cands, book, top_n).join(rets, "ticker").where(F.col("month") <= F.col(book)).select(book, "ticker", "month", "ret")
 
     def build(pdf):
         x = pdf.pivot_table(index="month", columns="ticker", values="ret").dropna()
         if len(x) < 12 or x.shape[1] < 2:
-            return pd.DataFrame({book: [], "ticker": [], "weight": [], "n_obs": []}).astype({"ticker": "int64", "weight": "float64", "n_obs": "int64"})
+            # too little to estimate from: the book stays visible, without weights
+            return pd.DataFrame({book: [pdf[book].iloc[0]], "ticker": pd.array([None], "Int64"), "weight": [np.nan], "n_obs": [len(x)], "status": ["TOO_FEW_DATES"]})
         s = np.cov(x.to_numpy(), rowvar=False) * ppy
         s = (1 - shrink) * s + shrink * np.diag(np.diag(s))
-        v = _erc(s)
+        v, done = _erc(s)
         pv = math.sqrt(v @ s @ v)
         v = _spread(v * min(target_vol / pv, 1.0), name_cap)
-        return pd.DataFrame({book: pdf[book].iloc[0], "ticker": x.columns.astype("int64"), "weight": v, "n_obs": len(x)})
+        return pd.DataFrame({book: pdf[book].iloc[0], "ticker": x.columns.astype("int64"), "weight": v, "n_obs": len(x), "status": "OK" if done else "NOT_CONVERGED"})
 
-    return hist.groupBy(book).applyInPandas(build, f"{book} date, ticker long, weight double, n_obs long")
+    return hist.groupBy(book).applyInPandas(build, f"{book} date, ticker long, weight double, n_obs long, status string")
 
 
 def greedy_clusters(edges: DataFrame, book: str, min_size: int = 3, share: float = 0.67) -> DataFrame:
-    """Greedy cover per book over an edge table (book, a, b, corr). The cover is sequential in a
-    book and order dependent, so one task runs one book; books are bounded by their top-n selection."""
-    def cover(pdf):
-        near = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        used, out = set(), []
-        for seed in sorted(near):
-            if seed in used:
-                continue
-            c = [seed]
-            for x in sorted(near[seed]):
-                if sum(m in near[x] for m in c) >= (1 if len(c) == 1 else max(1, int(len(c) * share))):
-                    c.append(x)
-            if len(c) >= min_size:
-                used.update(c)
-                out.append(c)
-        if not out:
-            return pd.DataFrame({book: pd.Series(dtype=object), "cluster": pd.Series(dtype="int64"), "members": pd.Series(dtype=object), "size": pd.Series(dtype="int64")})
-        return pd.DataFrame({book: [pdf[book].iloc[0]] * len(out), "cluster": range(len(out)), "members": [[int(m) for m in c] for c in out], "size": [len(c) for c in out]})
-
-    return edges.groupBy(book).applyInPandas(cover, f"{book} date, cluster long, members array<long>, size long")
+    """Clusters per book over an edge table (book, a, b, corr), one expression per book (books are
+    bounded by their selection). Names are taken in order; a name that is in no cluster yet opens one and
+    gathers, in order, those of its neighbours that are linked to at least ``share`` of the members so far."""
+    both = edges.select(book, "a", "b").union(edges.select(book, F.col("b"), F.col("a")))
+    near = both.groupBy(book, "a").agg(F.array_sort(F.collect_set("b")).alias("near"))
+    books = near.groupBy(book).agg(F.map_from_entries(F.collect_list(F.struct("a", "near"))).alias("links"))
+    longs = "array<bigint>"
+
+    def gather(seed: Column) -> Column:
+        def step(members: Column, x: Column) -> Column:
+            shared = F.size(F.array_intersect(F.element_at("links", x), members))
+            wanted = F.greatest(F.lit(1), F.floor(F.size(members) * share))
+            return F.when(shared >= wanted, F.array_append(members, x)).otherwise(members)
+
+        return F.aggregate(F.element_at("links", seed), F.array(seed), step)
+
+    def open_one(found: Column, seed: Column) -> Column:
+        added = F.transform(F.array(gather(seed)), lambda m: F.when(F.size(m) >= min_size, F.array_append(found, m)).otherwise(found))[0]
+        return F.when(F.exists(found, lambda m: F.array_contains(m, seed)), found).otherwise(added)
+
+    seeds = F.array_sort(F.map_keys("links"))
+    found = F.aggregate(seeds, F.array().cast(f"array<{longs}>"), open_one)
+    out = books.select(book, F.posexplode(found).alias("cluster", "members"))
+    return out.select(book, F.col("cluster").cast("long").alias("cluster"), "members", F.size("members").cast("long").alias("size"))

@@ -258,24 +258,49 @@ def a49(spark, sf):
     return g.select("decile", "ticker", "holders", F.round("wt", 4).alias("weight"), place.cast("long").alias("place")).where("place <= 20")
 
 
-RET = "r AS (SELECT ticker, month, ret FROM mret WHERE ret IS NOT NULL), fm AS (SELECT month FROM r GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM r)), cr AS (SELECT r.* FROM r JOIN fm USING (month))"
+BOOK_SQL = PF_SQL + """,
+sel AS (SELECT month AS book, ticker FROM pf QUALIFY row_number() OVER (PARTITION BY month ORDER BY mom DESC, ticker) <= 20),
+h AS (SELECT book, s.ticker, m.month, m.ret FROM sel s JOIN mret m ON m.ticker = s.ticker WHERE m.month <= book AND m.ret IS NOT NULL),
+nm AS (SELECT book, count(DISTINCT ticker) AS n_names FROM h GROUP BY 1),
+fm AS (SELECT book, month FROM h JOIN nm USING (book) GROUP BY book, month, n_names HAVING count(*) = n_names),
+nd AS (SELECT book, count(*) AS n_dates FROM fm GROUP BY 1 HAVING count(*) >= 20),
+cr AS (SELECT h.*, n_dates FROM h JOIN fm USING (book, month) JOIN nd USING (book))"""
 
 
-@query("t20_j20_correlation_edges", ctes=("mret",), sql=RET + " SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 6) AS corr FROM cr a JOIN cr b ON a.month = b.month AND a.ticker < b.ticker GROUP BY 1, 2 HAVING abs(corr(a.ret, b.ret)) >= 0.3")
+def _books(spark, sf):
+    """Candidates of every month and the monthly returns."""
+    c = price_factor_panel(spark, sf).select(F.col("month").alias("book"), "ticker", F.col("mom").alias("score"))
+    return written(c, "candidates"), written(monthly_returns(spark, sf), "returns")
+
+
+def _histories(spark, sf):
+    """The twenty strongest names of every month with their returns so far."""
+    c, r = _books(spark, sf)
+    return bk.book_history(bk.top_names(c, "book").select("book", "ticker"), r, "book")
+
+
+@query("t20_j20_correlation_edges", ctes=("prices", "mret"), sql=BOOK_SQL + """
+SELECT a.book, a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 6) AS corr, max(a.n_dates) AS n_dates FROM cr a JOIN cr b ON a.book = b.book AND a.month = b.month AND a.ticker < b.ticker
+GROUP BY 1, 2, 3 HAVING abs(corr(a.ret, b.ret)) >= 0.3""")
 def t20(spark, sf):
-    e = bk.correlation_edges(written(monthly_returns(spark, sf), "returns"), 0.3)
-    return rnd(e)
+    return rnd(bk.correlation_edges(written(_histories(spark, sf), "histories"), "book", 0.3))
 
 
-@query("t22_effective_positions", ctes=("mret",), sql=RET + ", z AS (SELECT ticker, month, (ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_pop(ret) OVER (PARTITION BY ticker) AS z FROM cr), p AS (SELECT month, sum(z) AS s, count(*) AS k FROM z GROUP BY 1), g AS (SELECT max(k) AS n, sum(s * s) / count(*) AS t FROM p) SELECT n, round(n * n / t, 6) AS effective, round(n / t, 6) AS ratio FROM g")
+@query("t22_effective_positions", ctes=("prices", "mret"), sql=BOOK_SQL + """,
+z AS (SELECT book, month, n_dates, (ret - avg(ret) OVER w) / stddev_pop(ret) OVER w AS z FROM cr WINDOW w AS (PARTITION BY book, ticker)),
+p AS (SELECT book, n_dates, month, sum(z) AS s, count(*) AS k FROM z GROUP BY 1, 2, 3), g AS (SELECT book, n_dates, max(k) AS n, sum(s * s) / count(*) AS t FROM p GROUP BY 1, 2)
+SELECT book, n_dates, n, round(n * n / t, 6) AS effective, round(n / t, 6) AS ratio FROM g""")
 def t22(spark, sf):
-    return rnd(bk.effective_positions(written(monthly_returns(spark, sf), "returns")))
+    return rnd(bk.effective_positions(_histories(spark, sf), "book"))
 
 
-@query("t25_portfolio_var", ctes=("mret", "holders"), sql=RET + ", w AS (SELECT ticker, sum(spend) AS w FROM holders GROUP BY 1), p AS (SELECT month, sum(ret * w / (SELECT sum(w) FROM w)) AS r FROM cr JOIN w USING (ticker) GROUP BY 1), q AS (SELECT quantile_cont(r, 0.05) AS q FROM p) SELECT count(*) AS n, round(stddev_samp(r) * 164.5, 6) AS var_95_pct, round(stddev_samp(r) * 232.6, 6) AS var_99_pct, round(abs(avg(r) FILTER (r <= q)) * 100, 6) AS cvar_95_pct FROM p, q")
+@query("t25_portfolio_var", ctes=("prices", "mret", "holders"), sql=BOOK_SQL + """,
+w AS (SELECT ticker, sum(spend) AS w FROM holders GROUP BY 1),
+p AS (SELECT book, n_dates, month, sum(ret * w) / sum(w) AS r FROM cr JOIN w USING (ticker) GROUP BY 1, 2, 3), q AS (SELECT book, quantile_cont(r, 0.05) AS q FROM p GROUP BY 1)
+SELECT book, n_dates, round(stddev_samp(r) * 164.5, 6) AS var_95_pct, round(stddev_samp(r) * 232.6, 6) AS var_99_pct, round(abs(avg(r) FILTER (r <= q)) * 100, 6) AS cvar_95_pct FROM p JOIN q USING (book) GROUP BY 1, 2""")
 def t25(spark, sf):
     w = lens.holders(spark, sf).groupBy("ticker").agg(F.sum("spend").alias("weight"))
-    return rnd(bk.portfolio_var(written(monthly_returns(spark, sf), "returns"), w))
+    return rnd(bk.portfolio_var(_histories(spark, sf), w, "book"))
 
 
 @query("t24_g10_drawdown_alerts", ctes=("universe",), sql="""
@@ -297,11 +322,6 @@ def p30(spark, sf):
     return d.select("ticker", "date", r6(dd, "drawdown"), (dd >= oc.lookup(F.col("tier"), {"mega": 25.0, "large": 22.0, "micro": 15.0}, 20.0)).alias("triggered"))
 
 
-def _books(spark, sf):
-    c = price_factor_panel(spark, sf).where("month >= DATE '2000-01-01'").select(F.col("month").alias("book"), "ticker", F.col("mom").alias("score"))
-    return written(c, "candidates"), written(monthly_returns(spark, sf), "returns")
-
-
 @query("c05_c07_c08_risk_parity_books")
 def c07(spark, sf):
     c, r = _books(spark, sf)
@@ -310,14 +330,8 @@ def c07(spark, sf):
 
 @query("t21_t23_clusters_per_book")
 def t21(spark, sf):
-    """Edges among the twenty names of each book, then the greedy cover and its exposure."""
-    c, r = _books(spark, sf)
-    w = Window.partitionBy("book").orderBy(F.desc("score"), "ticker")
-    sel = c.where("score is not null").withColumn("rk", F.row_number().over(w)).where("rk <= 20").select("book", "ticker")
-    x = sel.join(r, "ticker").where("month <= book").select("book", "ticker", "month", "ret")
-    e = (x.alias("l").join(x.alias("r"), (F.col("l.book") == F.col("r.book")) & (F.col("l.month") == F.col("r.month")) & (F.col("l.ticker") < F.col("r.ticker")))
-         .groupBy(F.col("l.book").alias("book"), F.col("l.ticker").alias("a"), F.col("r.ticker").alias("b"))
-         .agg(F.try_divide(F.covar_pop("l.ret", "r.ret"), F.stddev_pop("l.ret") * F.stddev_pop("r.ret")).alias("corr")).where("abs(corr) >= 0.25"))
+    """Edges among the twenty names of each book, then its clusters and their exposure."""
+    e = bk.correlation_edges(_histories(spark, sf), "book", 0.25)
     cl = bk.greedy_clusters(e, "book")
     pct = F.col("size") * 100.0 / 20  # equal weights in a book of twenty
     return cl.select("book", "cluster", "members", "size", pct.alias("weight_pct"), F.when(pct >= 35, "HARD").when(pct >= 30, "SOFT").alias("alert"))
