@@ -12,7 +12,7 @@ from tidemark.operators.ranks import _safe_join, value_counts
 from tidemark.plans.outcome_queries import rnd
 from tidemark.plans.timeseries_queries import r6
 from tidemark.plans.universe_queries import CASCADE_SQL, classified
-from tidemark.plans.validation_queries import monthly_returns, price_factor_panel
+from tidemark.plans.validation_queries import PF_SQL, monthly_returns, price_factor_panel
 from tidemark.registry import query
 from tidemark.session import written
 from tidemark.sources import lens
