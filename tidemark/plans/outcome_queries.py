@@ -20,9 +20,9 @@ def fwd_dims(spark, sf, horizons=(7, 30, 60, 90, 180, 250)):
 
 
 def reviewed(spark, sf, horizon=30):
-    """Review rows with their realised return and alpha."""
-    f = fwd(spark, sf, [horizon]).select("ticker", "date", "ret", "alpha")
-    return lens.reviews(spark, sf).join(f, ["ticker", "date"])
+    """Review rows with their realised return and alpha: the outcome rows carry the signal, and every
+    review column follows from it, so nothing is joined."""
+    return lens.review_columns(fwd(spark, sf, [horizon]), "ret", "alpha")
 
 
 REV = ("reviews", "fwd")
@@ -351,15 +351,16 @@ av AS (SELECT 'fundamental' AS agent, fund_view AS view, ticker, date, alpha, co
  UNION ALL SELECT 'census', census_view, ticker, date, alpha, conviction FROM rv UNION ALL SELECT 'news', CASE WHEN news_impact LIKE '%POSITIVE%' THEN 'POSITIVE' WHEN news_impact LIKE '%NEGATIVE%' THEN 'NEGATIVE' ELSE 'NEUTRAL' END, ticker, date, alpha, conviction FROM rv)"""
 
 
+def view_of(agent, c):
+    v = F.col(c)
+    if agent == "news":
+        v = F.when(v.contains("POSITIVE"), "POSITIVE").when(v.contains("NEGATIVE"), "NEGATIVE").otherwise("NEUTRAL")
+    return v
+
+
 def agent_views(rows, *keep):
     """One row per (review, reviewer)."""
-    def view(agent, c):
-        v = F.col(c)
-        if agent == "news":
-            v = F.when(v.contains("POSITIVE"), "POSITIVE").when(v.contains("NEGATIVE"), "NEGATIVE").otherwise("NEUTRAL")
-        return F.struct(F.lit(agent).alias("agent"), v.alias("view"))
-
-    a = F.explode(F.array(*[view(k, c) for k, c in REVIEWERS.items()]))
+    a = F.explode(F.array(*[F.struct(F.lit(k).alias("agent"), view_of(k, c).alias("view")) for k, c in REVIEWERS.items()]))
     return rows.select(*keep, a.alias("a")).select(*keep, "a.agent", "a.view").where("view is not null")
 
 
@@ -409,13 +410,15 @@ z AS (SELECT ticker, date, conviction, ln(greatest(0.001, least(0.999, prior)) /
 SELECT ticker, date, conviction, round(1 / (1 + exp(-(l0 + s - m * l0))), 6) AS posterior FROM z""")
 def posterior(spark, sf):
     """Every review row: prior from its conviction plus the log-odds shift of each reviewer's view."""
-    lk = likelihoods(agent_views(reviewed(spark, sf), "alpha")).where("p_alpha_pos > 0 and p_alpha_pos < 1").select("agent", "view", F.col("p_alpha_pos").alias("p"))
-    # lk: reviewers x views, a fixed vocabulary
-    v = agent_views(lens.reviews(spark, sf), "ticker", "date", "conviction").join(F.broadcast(lk), ["agent", "view"])
-    prior = 1 / (1 + F.exp(-(F.col("conviction") - 50) / 50.0 * LOGIT95))
-    g = v.groupBy("ticker", "date", "conviction").agg(F.sum(logit(F.col("p"))).alias("s"), F.count("*").alias("m"))
-    l0 = logit(prior)
-    return g.select("ticker", "date", "conviction", r6(1 / (1 + F.exp(-(l0 + F.col("s") - F.col("m") * l0))), "posterior"))
+    lk = likelihoods(agent_views(reviewed(spark, sf), "alpha")).where("p_alpha_pos > 0 and p_alpha_pos < 1")
+    # one row: a map over reviewers x views, a fixed vocabulary
+    shift = lk.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "agent", "view"), logit(F.col("p_alpha_pos"))))).alias("shift"))
+    r = lens.reviews(spark, sf).crossJoin(F.broadcast(shift))
+    seen = F.filter(F.array(*[F.element_at("shift", F.concat_ws("|", F.lit(k), view_of(k, c))) for k, c in REVIEWERS.items()]), lambda x: x.isNotNull())
+    l0 = logit(1 / (1 + F.exp(-(F.col("conviction") - 50) / 50.0 * LOGIT95)))
+    total = F.aggregate("seen", F.lit(0.0), lambda a, x: a + x)
+    g = r.select("ticker", "date", "conviction", seen.alias("seen")).where(F.size("seen") > 0)
+    return g.select("ticker", "date", "conviction", r6(1 / (1 + F.exp(-(l0 + total - F.size("seen") * l0))), "posterior"))
 
 
 @query("a38_rolling_thresholds", ctes=("reviews",), sql="""

@@ -40,12 +40,34 @@ BUY_SCORE = (f"({sql_interp('upside', *B['upside'])} * 0.1::double + greatest(0,
              f" + greatest(0, least(100, coalesce({sql_interp('roe', *B['roe'])}, 40) + coalesce({sql_interp('de', *B['de'])}, 0) + coalesce({sql_interp('gross_margin', *B['margin'])}, 0))) * 0.25::double + coalesce({sql_interp('am', *B['am'])}, 50) * 0.2::double)"
              " * CASE WHEN dispersion > 80 THEN 0.85::double ELSE 1 END * CASE WHEN (w52 IS NULL)::int + (pet IS NULL)::int + (pef IS NULL)::int + (roe IS NULL)::int + (de IS NULL)::int + (fcf IS NULL)::int > 2 THEN 0.8::double ELSE 1 END")
 _vals = ", ".join("('" + t + "', " + ", ".join("NULL::double" if v[i] is None else f"{float(v[i])}::double" for v in ca.THRESHOLDS.values()) + ")" for i, t in enumerate(ca.TIERS))
+# Fixed values, written out for the check on their own: gates of the other regions, mega to micro.
+EU_HK = {
+    "min_upside": "[10, 12, 18, 28, 38] [15, 18, 22, 30, 50]", "min_buy_percentage": "[58, 60, 63, 65, 68] [65, 68, 70, 72, 75]",
+    "min_analysts": "[6, 6, 8, 6, 6] [15, 12, 10, 8, 8]", "min_analysts_earnings": "[4, 4, NULL, NULL, NULL] [NULL, NULL, NULL, NULL, NULL]",
+    "quality_relief": "[1, 1, 0, 0, 0] [0, 0, 0, 0, 0]", "max_beta": "[2.5, 2.5, 2, 2, 2] [2.5, 2, 2, 2, 2]", "max_short_interest": "[2, 3.5, 2.5, 2.75, 3] [2, 2.25, 2.5, 2.75, 3]",
+    "min_roe": "[8, 8, 8, 8, 10] [10, 10, 10, 12, 12]", "max_debt_equity": "[200, 175, 150, 150, 120] [120, 120, 120, 100, 80]",
+    "min_fcf_yield": "[-5, -3, 0, -1, NULL] [0.75, 0.5, 0.25, 0, NULL]", "min_pct_from_52w_high": "[45, 50, 75, 75, 80] [70, 75, 80, 80, 85]",
+    "score_threshold": "[65, 62, 58, 55, 50] [68, 65, 62, 58, 55]", "hard_buy_pct": "[35, 38, 42, 45, 50] [38, 40, 42, 48, 52]",
+    "quality_buy_pct": "[82, 83, 85, 88, 90] [88, 88, 90, 92, 95]", "quality_upside": "[18, 18, 20, 23, 28] [22, 23, 25, 28, 32]",
+}
+
+
+def _gate(k):
+    if k not in EU_HK:
+        return f"t_{k}"
+    eu, hk = EU_HK[k].split("] [")
+    place = f"list_position({ca.TIERS!r}, tier)"
+    return f"CASE gate_region WHEN 'eu' THEN ({eu}]::double[])[{place}] WHEN 'hk' THEN ([{hk}::double[])[{place}] ELSE t_{k} END AS t_{k}"
+
+
 TYPED_SQL = f"""
-th AS (SELECT * FROM (VALUES {_vals}) t(tier, {", ".join("t_" + k for k in ca.THRESHOLDS)})),
+us AS (SELECT * FROM (VALUES {_vals}) t(tier, {", ".join("t_" + k for k in ca.THRESHOLDS)})),
+th AS (SELECT gate_region, tier, {", ".join(_gate(k) for k in ca.THRESHOLDS)} FROM us, (VALUES ('us'), ('eu'), ('hk')) r(gate_region)),
 ty AS (SELECT *, {RATIO} AS ratio, CASE WHEN ticker LIKE '%-USD' THEN 'crypto' WHEN k % 41 = 0 THEN 'etf' WHEN k % 43 = 5 THEN 'bitcoin_proxy' ELSE 'stock' END AS asset_type,
-  CASE WHEN cap_value >= 500e9 THEN 'mega' WHEN cap_value >= 100e9 THEN 'large' WHEN cap_value >= 10e9 THEN 'mid' WHEN cap_value >= 2e9 THEN 'small' ELSE 'micro' END AS tier FROM universe)"""
+  CASE WHEN cap_value >= 500e9 THEN 'mega' WHEN cap_value >= 100e9 THEN 'large' WHEN cap_value >= 10e9 THEN 'mid' WHEN cap_value >= 2e9 THEN 'small' ELSE 'micro' END AS tier,
+  CASE WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.L' OR ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS gate_region FROM universe)"""
 CASCADE_SQL = TYPED_SQL + f""",
-sc AS (SELECT ty.*, th.* EXCLUDE (tier), {SELL_SCORE} AS sell_score, {BUY_SCORE} AS buy_score, CASE WHEN held THEN 0.85::double ELSE 1 END AS rx FROM ty JOIN th USING (tier)),
+sc AS (SELECT ty.*, th.* EXCLUDE (tier, gate_region), {SELL_SCORE} AS sell_score, {BUY_SCORE} AS buy_score, CASE WHEN held THEN 0.85::double ELSE 1 END AS rx FROM ty JOIN th USING (gate_region, tier)),
 g AS (SELECT *,
  ((upside >= 0 AND upside >= t_min_upside * rx) OR (upside < t_min_upside * rx AND upside BETWEEN -30 AND 0 AND coalesce(w52 >= 70, false) AND coalesce(above200, false) AND buy_pct >= 80 AND coalesce(am >= -2, true)))
  AND upside <= t_max_upside_buy AND buy_pct >= least(t_min_buy_percentage, 95)
@@ -183,6 +205,16 @@ def p01(spark, sf):
     return lens.universe(spark, sf).select("ticker", parse.percent("upside_str", zero=True).alias("upside_zero"), parse.percent("roe_str").alias("roe_null"), parse.market_cap("cap").alias("cap_parsed"))
 
 
+@query("j17_threshold_lookup", ctes=U, sql=TYPED_SQL + """
+SELECT ticker, gate_region, tier, t_min_upside AS min_upside, t_min_buy_percentage AS min_buy_percentage, t_min_analysts AS min_analysts, t_max_beta AS max_beta, t_min_fcf_yield AS min_fcf_yield, t_score_threshold AS score_threshold
+FROM ty JOIN th USING (gate_region, tier)""")
+def j17(spark, sf):
+    """Every listing with the gates of its region and size (a literal table of fifteen rows is broadcast)."""
+    u = lens.universe(spark, sf).select("ticker", ca.gate_region(F.col("ticker")).alias("gate_region"), ca.tier_of(F.col("cap_value")).alias("tier"))
+    gates = ["min_upside", "min_buy_percentage", "min_analysts", "max_beta", "min_fcf_yield", "score_threshold"]
+    return u.join(F.broadcast(ca.threshold_table(spark)), ["gate_region", "tier"]).select("ticker", "gate_region", "tier", *[F.col(f"t_{g}").alias(g) for g in gates])
+
+
 @query("p04_p08_projections", ctes=U, sql="""
 SELECT ticker, round(upside * buy_pct / 100, 6) AS exret, CASE WHEN cap_value >= 500e9 THEN 'mega' WHEN cap_value >= 100e9 THEN 'large' WHEN cap_value >= 10e9 THEN 'mid' WHEN cap_value >= 2e9 THEN 'small' ELSE 'micro' END AS tier,
  CASE WHEN ticker LIKE '%.L' THEN 'uk' WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS region,

@@ -68,18 +68,16 @@ def dims(spark, sf) -> DataFrame:
 
 
 def signals(spark, sf) -> DataFrame:
-    """One row per (ticker, day): the order with the largest key wins."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_custkey")
-    best = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("l_suppkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"))
-            .agg(F.max(F.struct("o_orderkey", "o_orderstatus", "o_custkey")).alias("r")))
-    return best.select(
+    """One row per (ticker, day): the order with the largest key wins. The key alone is reduced (a hash
+    aggregate, map-side), then the winner's other columns are looked up by it."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("date"), "o_custkey")
+    best = (lines.join(orders.select("o_orderkey", "date"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy(F.col("l_suppkey").alias("ticker"), "date").agg(F.max("o_orderkey").alias("okey")))
+    return best.join(orders.drop("date"), F.col("okey") == F.col("o_orderkey")).select(
         "ticker", "date",
-        F.when(F.col("r.o_orderstatus") == "F", "B").when(F.col("r.o_orderstatus") == "O", "H")
-        .otherwise("S").alias("signal"),
-        (F.col("r.o_orderkey") % 101).alias("conviction"),
-        F.col("r.o_orderkey").alias("okey"), F.col("r.o_custkey").alias("custkey"))
+        F.when(F.col("o_orderstatus") == "F", "B").when(F.col("o_orderstatus") == "O", "H").otherwise("S").alias("signal"),
+        (F.col("okey") % 101).alias("conviction"), "okey", F.col("o_custkey").alias("custkey"))
 
 
 def priced(sig: DataFrame, px: DataFrame) -> DataFrame:
@@ -151,12 +149,16 @@ def market(spark, sf) -> DataFrame:
             .agg(_close().alias("spy"), gauge("l_discount", 400).alias("vix"), gauge("l_tax", 500).alias("vix3m")))
 
 
-def reviews(spark, sf) -> DataFrame:
-    """Review rows with a map of modifier points."""
-    r = signals(spark, sf).selectExpr(*[f"{e} AS {n}" for n, e in REVIEW])
+def review_columns(sig: DataFrame, *keep: str) -> DataFrame:
+    """Review columns of signal rows (all follow from the row itself), with a map of modifier points."""
+    r = sig.selectExpr(*[f"{e} AS {n}" for n, e in REVIEW], *keep)
     pairs = [x for n, e in WATERFALL for x in (F.lit(n), F.expr(f"cast({e} as bigint)"))]
     return r.withColumn("waterfall", F.create_map(*pairs))
 
 
+def reviews(spark, sf) -> DataFrame:
+    return review_columns(signals(spark, sf))
+
+
 def waterfall(spark, sf) -> DataFrame:
     return reviews(spark, sf).select("ticker", "date", "okey", F.explode("waterfall").alias("name", "points"))
