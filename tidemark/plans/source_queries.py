@@ -57,12 +57,13 @@ def s07(spark, sf):
     return lens.universe(spark, sf).groupBy(F.pmod("k", F.lit(6).cast("long")).alias("shard")).agg(F.count("*").alias("n"), F.min("k").alias("first_k"))
 
 
-@query("s08_s12_shard_merge", ctes=("universe",), sql="SELECT ticker, cap_value, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS src FROM universe WHERE k % 2 = 0 OR k % 3 = 0")
+@query("s08_s12_shard_merge", ctes=("universe",), sql="SELECT ticker, cap_value, CASE WHEN k % 2 = 0 THEN 0 WHEN k % 3 = 0 THEN 1 ELSE 2 END AS src FROM universe")
 def s08(spark, sf):
     u = lens.universe(spark, sf).select("ticker", "cap_value", "k")
     a = u.where("k % 2 = 0").drop("k").withColumn("src", F.lit(0))
     b = u.where("k % 3 = 0").drop("k").withColumn("src", F.lit(1))
-    return files.merge_shards([a, b], "ticker", "cap_value")
+    c = u.where("k % 2 != 0 and k % 3 != 0").drop("k").withColumn("src", F.lit(2))
+    return files.merge_shards([a, b, c], "ticker", "cap_value")
 
 
 @query("s09_month_end_upsert", ctes=("prices",), sql="""
@@ -107,10 +108,11 @@ def r01(spark, sf):
 @query("r02_stream_change_alerts", ctes=("log",), sql="""
 SELECT ticker, ts, prev AS previous_signal, signal AS current_signal FROM (SELECT *, lag(signal) OVER (PARTITION BY ticker ORDER BY ts) AS prev FROM log) WHERE prev <> signal""")
 def r02(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s = jobs.log_stream(spark, sf).withWatermark("ts", "2 days")
     a = s.groupBy("ticker").transformWithStateInPandas(jobs.ChangeAlerts(), jobs.CHANGE_SCHEMA, "append", "none")
-    return jobs.run(a, "alerts", "append").drop("batch")
+    with jobs.rocksdb_state(spark):
+        out = jobs.run(a, "alerts", "append")
+    return out.where("current_signal is not null").drop("batch", "late")
 
 
 @query("r03_stream_sliding_buy_rate", ctes=("log",), sql="""

@@ -7,6 +7,8 @@ batch id, so a retried batch replaces its own output.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,9 @@ from tidemark.sources.lens_columns import EVENT_SIGNAL, sql_case
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def log_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event file as a stream source."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+def log_stream(spark: SparkSession, sf: str, files_per_trigger: int = 1) -> DataFrame:
+    """The event files as a stream source, so many to a micro-batch."""
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf)
     return raw.selectExpr("user_id AS ticker", "cast(ts AS timestamp) AS ts", f"{sql_case('event_type', EVENT_SIGNAL, quote=True)} AS signal", "value")
 
 
@@ -70,33 +72,46 @@ def with_thresholds(log: DataFrame, table: DataFrame) -> DataFrame:
     return log.join(F.broadcast(table), "signal").where(F.col("value") >= F.col("min_value"))
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State store that arbitrary state needs, for the streams run inside; other streams of the session keep theirs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 class ChangeAlerts(StatefulProcessor):
     """Last label per ticker as state; emits a row when the label changes.
 
-    A micro-batch is taken in time order within a ticker; a row older than the stored time is late and is
-    counted instead of rewinding the label. State per ticker is one row.
+    A micro-batch is taken in time order within a ticker, as one pandas block (its size follows the trigger's
+    limits on files). A row older than the stored time is late: it is dropped, and a row without labels says how
+    many were dropped (R08). State per ticker is one row.
     """
 
     def init(self, handle):
-        self.last = handle.getValueState("last", "ts timestamp, signal string, late bigint")
+        self.last = handle.getValueState("last", "ts timestamp, signal string")
 
     def handleInputRows(self, key, rows, timer_values):
-        ts, sig, late = self.last.get() if self.last.exists() else (None, None, 0)
-        out = []
-        # rows of one ticker in one micro-batch: bounded by the trigger's batch size
-        for t, s in pd.concat(list(rows)).sort_values("ts")[["ts", "signal"]].itertuples(index=False):
-            if ts is not None and t < ts:
-                late += 1
-                continue
-            if sig is not None and s != sig:
-                out.append((key[0], t, sig, s))
-            ts, sig = t, s
-        if ts is not None:
-            self.last.update((ts, sig, late))
-        yield pd.DataFrame(out, columns=["ticker", "ts", "previous_signal", "current_signal"])
+        ts, sig = self.last.get() if self.last.exists() else (None, None)
+        d = pd.concat(list(rows)).sort_values("ts", kind="stable")[["ts", "signal"]]
+        fresh = d if ts is None else d[d["ts"] >= ts]
+        late = len(d) - len(fresh)
+        prev = fresh["signal"].shift(1)
+        if len(fresh):
+            prev.iloc[0] = sig
+            self.last.update((fresh["ts"].iloc[-1].to_pydatetime(), fresh["signal"].iloc[-1]))
+        hit = prev.notna() & (prev != fresh["signal"])
+        out = pd.DataFrame({"ticker": key[0], "ts": fresh["ts"][hit], "previous_signal": prev[hit], "current_signal": fresh["signal"][hit], "late": 0})
+        if late:
+            out.loc[len(d)] = [key[0], d["ts"].iloc[0], None, None, late]
+        yield out
 
     def close(self):
         pass
 
 
-CHANGE_SCHEMA = "ticker bigint, ts timestamp, previous_signal string, current_signal string"
+CHANGE_SCHEMA = "ticker bigint, ts timestamp, previous_signal string, current_signal string, late bigint"
