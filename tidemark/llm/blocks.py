@@ -175,6 +175,17 @@ class Values:
         out = [frame(pack_ints(sub[s:e]), *(pack_bits(f[s:e]) for f in flags)) for s, e in zip(self.edges, self.edges[1:])]
         return pa.table({"shard": pa.array(self.used, pa.int32()), "block": pa.array([block] * len(out), pa.int64()), "run": pa.array(out, pa.binary())})
 
+    def counted_runs(self, block: int) -> pa.Table:
+        """One packed run per shard, with how often each value occurs in the block."""
+        sub = (self.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out = [frame(pack_ints(sub[s:e]), squeeze(self.counts[s:e].astype("<u4").tobytes())) for s, e in zip(self.edges, self.edges[1:])]
+        return pa.table({"shard": pa.array(self.used, pa.int32()), "block": pa.array([block] * len(out), pa.int64()), "run": pa.array(out, pa.binary())})
+
+    def counted(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Counts per distinct value from the shards' answers."""
+        parts = [np.frombuffer(unsqueeze(answers[k]), "<u4") for k in self.used.tolist()]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
     def answered(self, answers: dict[int, bytes]) -> np.ndarray:
         """Bits per distinct value from the shards' answers."""
         bits = np.zeros(len(self.keys), bool)
@@ -241,6 +252,23 @@ def ask_repeated(runs: DataFrame) -> DataFrame:
     return runs.groupBy("shard").applyInArrow(task, ANSWERS)
 
 
+def ask_counts(runs: DataFrame) -> DataFrame:
+    """Runs of values with a count each (uint32 behind the values); answered by the counts summed over
+    all blocks, in the run's order."""
+
+    def task(t: pa.Table) -> pa.Table:
+        parts = [unframe(x) for x in t["run"].to_pylist()]
+        values = [unpack_ints(p[0]) for p in parts]
+        counts = np.concatenate([np.frombuffer(unsqueeze(p[1]), "<u4") for p in parts])
+        _, inverse = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.bincount(inverse, weights=counts).astype("<u4")[inverse]
+        ends = np.cumsum([len(x) for x in values]).tolist()
+        out = [squeeze(total[a:b].tobytes()) for a, b in zip([0, *ends[:-1]], ends)]
+        return pa.table({"block": t["block"], "shard": t["shard"], "run": pa.array(out, pa.binary())})
+
+    return runs.groupBy("shard").applyInArrow(task, ANSWERS)
+
+
 def spread(positions: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask of ``n`` places covered by ``[p, p + width)``."""
     d = np.zeros(n + 1, np.int32)

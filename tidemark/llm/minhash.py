@@ -12,9 +12,10 @@ Steps
 2. table keys of the classes are packed and exchanged; only keys that two classes share go on;
 3. each bucket links its members to one centre (its smallest class). Links are confirmed on the full
    shingle sets; confirmed links give components;
-4. buckets whose members are still in several components are worked through: small ones by the pairs
-   across components, the others by an exact join on rare shingles (prefix filter: similar sets share
-   one of their ``n - ceil(0.85 n) + 1`` rarest). No candidate is dropped, no bucket is capped;
+4. members of buckets that are still in several components meet further centres, in a few rounds; what
+   stays open is worked through: small buckets by the pairs across components, the others by an exact
+   join on rare shingles (prefix filter: similar sets share one of their ``n - ceil(0.85 n) + 1`` rarest).
+   No candidate is dropped, no bucket is capped;
 5. components of all confirmed links; members take their class's component.
 
 Defined results: NULL and blank texts have no shingles and link with nothing; rows that share an id
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as bl
@@ -40,8 +41,11 @@ SHARE = 85  # per cent of the union
 SIDE, HALF = 12, 3
 #: Members of a bucket whose pairs are compared one by one; larger ones take the exact join.
 SMALL = 40
+#: Rounds in which members that are not linked to their bucket's centre meet other centres.
+ROUNDS = 2
 SKETCH = "doc_id long, n long, fp binary, half_keys binary"
 PAIRS = "a long, b long"
+BLOCK_BYTES = 4 << 20
 _MULT, _ADD = (bl.mix(np.arange(1, SIDE * HALF * 2 + 1, dtype=np.uint64) * k) for k in (bl.M1, bl.M3))
 
 
@@ -189,52 +193,76 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(task, PAIRS)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, comp``: the smallest class that each can reach. Every round, each class hands the
-    smallest label it knows to its neighbours and to its label, so chains shrink by doubling; each
-    round is a written table (lineage stays short, a lost executor costs one round)."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
-    label = written(nodes.select("rep", F.col("rep").alias("comp")).join(both.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi"), "labels")
+def components(links: DataFrame) -> DataFrame:
+    """``rep, comp`` of every class that has a link ``a, b``: the smallest class that it can reach. Every
+    round a class takes the smallest label among its neighbours', and then that label's own label, so chains
+    shrink by doubling. Each round is a written table (lineage stays short, a lost executor costs one round)."""
+    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
+    label = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("low")).select("rep", F.least("rep", "low").alias("comp")), "labels")
     while True:
-        near = both.join(label, both["b"] == label["rep"]).select(F.col("a").alias("rep"), "comp")
-        jump = label.select(F.col("comp").alias("at"), F.col("rep").alias("r")).join(label, F.col("at") == label["rep"]).select(F.col("r").alias("rep"), "comp")
-        # the neighbour's label also lowers the label of what this class calls its own
-        pull = near.join(label.select("rep", F.col("comp").alias("own")), "rep").groupBy(F.col("own").alias("rep")).agg(F.min("comp").alias("comp"))
-        low = near.union(jump).union(pull).groupBy("rep").agg(F.min("comp").alias("low"))
-        new = written(label.join(low, "rep", "left").select("rep", F.least("comp", F.coalesce("low", "comp")).alias("comp"), (F.col("low") < F.col("comp")).alias("moved")), "labels")
-        moving = new.filter("moved").limit(1).count()
+        low = both.join(label, both["b"] == label["rep"]).groupBy("a").agg(F.min("comp").alias("low"))
+        step = label.join(low, F.col("rep") == F.col("a")).select("rep", F.col("comp").alias("was"), F.least("comp", "low").alias("at"))
+        further = label.select(F.col("rep").alias("at"), F.col("comp").alias("next"))
+        new = written(step.join(further, "at").select("rep", F.least("at", "next").alias("comp"), (F.least("at", "next") < F.col("was")).alias("moved")), "labels")
         label = new.select("rep", "comp")
-        if not moving:
-            break
-    return nodes.select("rep").join(label, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+        if not new.filter("moved").limit(1).count():
+            return label
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` with the components joined that ``links`` connect: only these take part."""
+    end = lambda c: comp.select(F.col("rep").alias(c), F.col("comp").alias(f"c{c}"))
+    pairs = links.join(end("a"), "a").join(end("b"), "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    new = components(pairs).select(F.col("rep").alias("comp"), F.col("comp").alias("new"))
+    return written(comp.join(new, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "components")
 
 
 def rare_pairs(members: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFrame:
     """Exact candidates among ``members`` (one column, ``rep``): pairs in different components
-    that share one of their rarest shingles. Order: how many members have a shingle, then its hash."""
-    schema = "rep long, n int, shingle long"
-    to = bl.to_arrow(schema)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                v, off = shingle_sets(_texts(b, 1))
-                n = np.diff(off)
-                columns = np.repeat(b.column(0).to_numpy(), n), np.repeat(n, n).astype(np.int32), v.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=to)
-
-    s = written(texts.join(members, "rep", "left_semi").select("rep", "text").mapInArrow(explode, schema), "shingles")
-    often = s.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
-    # a shingle of one member alone takes a place among the rarest, but meets nobody
-    ranked = s.join(often, "shingle", "left").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1) & F.col("often").isNotNull()).join(comp, "rep")
-    prefix = written(prefix.select("shingle", "rep", "n", "comp"), "prefix")
-    other = prefix.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp")])
+    that share one of their rarest shingles. Order: how many members have a shingle, then its hash. The
+    counts travel packed; only the rarest shingles of a member become rows."""
+    docs = written(texts.join(members, "rep", "left_semi").select("rep", "text"), "crowd-texts")
+    shards = 1 + bl.text_bytes(docs, "text") // BLOCK_BYTES
+    table = bl.bucketed(bl.make_blocks(docs, "rep", "text", BLOCK_BYTES), shards, "crowd")
+
+    def sets(b: bl.Block) -> tuple[np.ndarray, np.ndarray]:
+        data, off = b.data.tobytes(), b.offsets.tolist()
+        return shingle_sets([data[s:e] for s, e in zip(off, off[1:])])
+
+    def send(b: bl.Block) -> pa.Table:
+        return bl.Values(sets(b)[0], shards).counted_runs(b.block)
+
+    def rarest(b: bl.Block, rows: list[dict]) -> pa.Table:
+        v, off = sets(b)
+        known = bl.Values(v, shards)
+        often = known.counted({r["shard"]: r["run"] for r in rows})[known.inverse]
+        n = np.diff(off)
+        own = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((v, often, own))
+        place = np.arange(len(v)) - off[own]
+        keep = (place < (n - (n * SHARE + 99) // 100 + 1)[own]) & (often[order] > 1)
+        at = order[keep]
+        columns = v[at].view(np.int64), b.ids[own[at]], n[own[at]].astype(np.int32), (place[keep] + 1).astype(np.int32)
+        return pa.table(dict(zip(("shingle", "rep", "n", "r"), columns)))
+
+    answers = bl.ask_counts(bl.each_block(table, send, bl.RUNS))
+    prefix = bl.each_answered(table, answers, rarest, "shingle long, rep long, n int, r int").join(comp, "rep")
+    prefix = written(prefix, "prefix")
+    other = prefix.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "r", "comp")])
     near = (F.col("comp") != F.col("comp2")) & (F.col("rep") < F.col("rep2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SHARE)
+    # the first shingle that two similar sets share leaves enough behind it for the overlap
+    needed = F.ceil((F.col("n") + F.col("n2")) * SHARE / (100 + SHARE))
+    near &= F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2")) + 1 >= needed
     return prefix.join(other, "shingle").filter(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def mixed_keys(k: DataFrame, comp: DataFrame) -> DataFrame:
+    """``key, rep, comp, m`` (members) of the buckets whose members are in several components."""
+    rows = k.join(comp, "rep")
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return rows.join(keys.select("key", "m"), "key")
+
+
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     d = written(sketches(docs, doc_id, text), "sketches")
@@ -245,14 +273,27 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     k = written(shared_keys(classes, shards), "shared-keys")
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(bl.LAST)).alias("rep"), F.col(text).alias("text"))
     texts = written(given.join(k.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-    nodes = classes.select("rep")
+    nodes = k.select("rep").distinct()
     centre = k.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     tried = written(k.join(centre, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "tried")
     links = written(confirm(tried, texts), "confirmed")
-    comp = written(components(nodes, links), "components")
-    mixed = k.join(comp, "rep")
-    open_keys = mixed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rest = written(mixed.join(open_keys.select("key", "m"), "key"), "open")
+    comp = components(links)
+    comp = written(nodes.join(comp, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "components")
+    for turn in range(ROUNDS):
+        # members in other components than their centre meet further centres, picked by chance
+        rest = written(mixed_keys(k, comp), "open")
+        if not rest.limit(1).count():
+            break
+        lot = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(4)), F.lit(turn)).alias("lot"), "rep", "comp")
+        centre = rest.groupBy("key").agg(F.min(lot).alias("c")).select("key", F.col("c.rep").alias("c_rep"), F.col("c.comp").alias("c_comp"))
+        ends = [f("rep", "c_rep").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
+        pairs = rest.join(centre, "key").filter("comp != c_comp").select(*ends).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(confirm(pairs, texts), "confirmed")
+        tried = tried.union(pairs)
+        if more.limit(1).count():
+            comp = merged(comp, more)
+    rest = written(mixed_keys(k, comp), "open")
     if rest.limit(1).count():
         small = rest.filter(F.col("m") <= SMALL).select("key", "rep", "comp")
         other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
@@ -263,8 +304,8 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(confirm(pairs, texts), "confirmed")
         if more.limit(1).count():
-            comp = written(components(nodes, links.union(more)), "components")
-    found = of.join(comp, "rep").select("fp", "n", "comp")
+            comp = merged(comp, more)
+    found = of.join(comp, "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("comp"))
     nulls = lambda c: F.when(F.col(c) < bl.LAST, F.col(c)).alias(c)
     out = d.select("doc_id", "n", "fp").join(found, ["fp", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select(nulls("doc_id"), "n_shingles", nulls("component_id"), "kept")
