@@ -90,31 +90,28 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
 
 
 class _Picks:
-    """The picked runs of a block: ``at`` (place), ``h`` (hash), and the windows each serves:
-    first and last start."""
+    """Stretches of neighbouring windows that pick the same run: ``h`` (its hash), ``lo`` and ``hi``
+    (first and last start of the windows), ``doc`` (number in the block)."""
 
     def __init__(self, b: bl.Block):
         spread = LENGTH - GRAM + 1
-        n = len(b.data)
-        self.at = self.lo = self.hi = np.zeros(0, np.int64)
+        self.lo = self.hi = np.zeros(0, np.int64)
         self.h = np.zeros(0, np.uint64)
-        if n < LENGTH:
-            return
-        h = _hash_runs(b.data, GRAM) | np.uint64(1)
-        low = _slide(h, spread, np.minimum)
-        ends = b.offsets[1:]
-        start = np.arange(len(low))
-        doc_end = np.repeat(ends, np.diff(b.offsets))[: len(low)]
-        fits = start + LENGTH <= doc_end
-        low = np.where(fits, low, np.uint64(0))
-        around = np.concatenate([np.zeros(spread - 1, np.uint64), low, np.zeros(spread - 1, np.uint64)])
-        picked = _slide(around, spread, np.maximum)[: len(h)] == h
-        self.at = np.flatnonzero(picked)
-        self.h = h[self.at]
-        # the windows that pick a run form one stretch of starts around it
-        same = np.stack([around[self.at + k] == self.h for k in range(spread)], axis=1)
-        self.lo = self.at - (spread - 1) + same.argmax(axis=1)
-        self.hi = self.at - same[:, ::-1].argmax(axis=1)
+        if len(b.data) >= LENGTH:
+            low = _slide(_hash_runs(b.data, GRAM) | np.uint64(1), spread, np.minimum)
+            # windows that would leave their document pick nothing
+            out = (b.offsets[1:, None] - np.arange(1, LENGTH)).ravel()
+            low[out[(out >= 0) & (out < len(low))]] = 0
+            edge = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, [len(low)]])
+            lo, hi = edge[:-1], edge[1:] - 1
+            lo, hi = lo[low[lo] > 0], hi[low[lo] > 0]
+            # equal hashes side by side (runs of one character) make long stretches: cut them up
+            n = (hi - lo) // spread + 1
+            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            self.lo = np.repeat(lo, n) + j * spread
+            self.hi = np.minimum(np.repeat(hi, n), self.lo + spread - 1)
+            self.h = low[self.lo]
+        self.doc = np.searchsorted(b.offsets, self.lo, side="right") - 1
 
 
 def _rank(ids: np.ndarray) -> np.ndarray:
@@ -130,25 +127,24 @@ def _several(v: bl.Values, doc: np.ndarray) -> np.ndarray:
 
 
 class _Contexts:
-    """Distinct contexts of the picked runs that passed: the bytes of all windows each serves."""
+    """Distinct contexts of the stretches that passed: the bytes of all their windows."""
 
     WIDE = 2 * LENGTH - GRAM
 
     def __init__(self, b: bl.Block, p: _Picks, passed: np.ndarray, shards: int):
-        self.lo, self.hi = p.lo[passed], p.hi[passed]
+        self.lo, self.hi, self.h, self.doc = p.lo[passed], p.hi[passed], p.h[passed], p.doc[passed]
         size = self.hi + LENGTH - self.lo
-        shard = ((p.h[passed] >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
+        shard = ((self.h >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
         padded = np.append(b.data, np.zeros(self.WIDE, np.uint8))
-        rows = np.lib.stride_tricks.sliding_window_view(padded, self.WIDE)[self.lo] if len(self.lo) else np.zeros((0, self.WIDE), np.uint8)
-        rows = np.where(np.arange(self.WIDE) < size[:, None], rows, 0).astype(np.uint8)
         # shard and size in front: one sort gives the order by shard and tells equal contexts
-        head = np.empty((len(size), 5), np.uint8)
-        head[:, :4] = shard.astype(">u4").view(np.uint8).reshape(-1, 4)
-        head[:, 4] = size
-        whole = np.ascontiguousarray(np.concatenate([head, rows], axis=1))
-        key = whole.view(f"V{whole.shape[1]}").ravel()
-        _, first, self.number = np.unique(key, return_index=True, return_inverse=True)
-        self.shard, self.size, self.rows = shard[first].astype(np.int64), size[first], rows[first]
+        whole = np.zeros((len(size), 5 + self.WIDE), np.uint8)
+        whole[:, :4] = shard.astype(">u4").view(np.uint8).reshape(-1, 4)
+        whole[:, 4] = size
+        if len(size):
+            whole[:, 5:] = np.lib.stride_tricks.sliding_window_view(padded, self.WIDE)[self.lo]
+            whole[:, 5:][np.arange(self.WIDE) >= size[:, None]] = 0
+        _, first, self.number = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        self.shard, self.size, self.rows = shard[first].astype(np.int64), size[first], whole[first, 5:]
         self.used, at = np.unique(self.shard, return_index=True)
         self.edges = [*at.tolist(), len(first)]
 
@@ -165,42 +161,71 @@ class _Contexts:
         return bits
 
 
+def _windows(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ``n`` windows of each row as byte strings; their row and their number in it."""
+    row = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(row):
+        return np.zeros(0, f"S{LENGTH}"), row, j
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(rows, LENGTH, axis=1)[row, j]).view(f"S{LENGTH}").ravel(), row, j
+
+
 def _ask_levels(t: pa.Table) -> pa.Table:
-    """One shard: batches of blocks in order of ids through the family of levels."""
+    """One shard: batches of blocks in order of ids through the family of levels. A context that an
+    earlier batch had as a whole needs no look at its windows; a second family knows these."""
     order = np.argsort(t["block"].to_numpy(), kind="stable")
     runs = t["run"].to_pylist()
-    family, out = Family(), [b""] * len(runs)
+    family, wholes, out = Family(), Family(), [b""] * len(runs)
     for batch in np.array_split(order, min(BATCHES, len(order))):
         parts = [bl.unframe(runs[i]) for i in batch]
-        size = [np.frombuffer(p[0], np.uint8).astype(np.int64) for p in parts]
+        sizes = [np.frombuffer(p[0], np.uint8) for p in parts]
         rows = np.concatenate([np.frombuffer(bl.unsqueeze(p[1]), np.uint8).reshape(-1, _Contexts.WIDE) for p in parts])
-        n = np.concatenate(size) - LENGTH + 1
-        member = np.repeat(np.arange(len(parts)), [len(s) for s in size])
-        row = np.repeat(np.arange(len(n)), n)
-        j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(rows, LENGTH, axis=1)[row, j]).view(f"S{LENGTH}").ravel()
-        array = np.argsort(suffix, kind="stable")  # stable: of equal suffixes, the earliest block comes first
+        size = np.concatenate(sizes)
+        n = size.astype(np.int64) - LENGTH + 1
+        full = ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        member = np.repeat(np.arange(len(parts)), [len(s) for s in sizes])
+        key = np.concatenate([size[:, None], rows], axis=1).view(f"S{_Contexts.WIDE + 1}").ravel()
+        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
+        known = wholes.seen(distinct)
+        wholes.add(distinct[~known])
+        fresh = np.flatnonzero(~known)
+        fresh = fresh[np.argsort(first[fresh])]  # so that of equal suffixes the earliest block's comes first
+        own = first[fresh]
+        suffix, row, j = _windows(rows[own], n[own])
+        array = np.argsort(suffix, kind="stable")
         s = suffix[array]
-        new = np.append(True, s[1:] != s[:-1])
+        new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
         group, firsts = np.cumsum(new) - 1, s[new]
         seen = family.seen(firsts)
         family.add(firsts[~seen])
-        early = member[row[array]]
+        early = member[own][row[array]]
         hit = np.empty(len(row), bool)
         hit[array] = seen[group] | (early > early[new][group])
-        bits = np.bitwise_or.reduceat(np.where(hit, np.uint32(1) << j.astype(np.uint32), np.uint32(0)), np.cumsum(n) - n)
+        bits = full[first].copy()
+        if len(own):
+            bits[fresh] = np.bitwise_or.reduceat(np.where(hit, np.uint32(1) << j.astype(np.uint32), np.uint32(0)), np.cumsum(n[own]) - n[own])
+        answer = np.where(member > member[first][number], full, bits[number]).astype("<u4")
         at = 0
-        for i, z in zip(batch.tolist(), size):
-            out[i] = bl.squeeze(bits[at : at + len(z)].astype("<u4").tobytes())
+        for i, z in zip(batch.tolist(), sizes):
+            out[i] = bl.squeeze(answer[at : at + len(z)].tobytes())
             at += len(z)
     return pa.table({"block": t["block"], "shard": t["shard"], "run": pa.array(out, pa.binary())})
 
 
+def _expand(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of stretches, and the number of their stretch."""
+    k = np.repeat(np.arange(len(n)), n)
+    return lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n), k
+
+
 def _local(b: bl.Block, starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which windows also start in a document of the same block with a smaller id."""
     if not len(starts):
         return np.zeros(0, bool)
-    h = _hash_runs(b.data, LENGTH)[starts]
+    e = _loads(b.data)
+    h = np.zeros(len(starts), np.uint64)
+    for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        h = bl.mix((h ^ e[starts + at]) * bl.M1)
     order = np.lexsort((rank, h))
     hs, rs = h[order], rank[order]
     new = np.append(True, hs[1:] != hs[:-1])
@@ -217,37 +242,46 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = max(1, min(size // (2 * BLOCK_BYTES), 100_000))
     table = bl.bucketed(bl.make_blocks(docs, doc_id, text, BLOCK_BYTES, ordered_parts=parts, carry=carry), parts, "bytes")
 
-    def docs_of(b: bl.Block, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(b.offsets, at, side="right") - 1
-
     def probe(b: bl.Block) -> pa.Table:
         p = _Picks(b)
         v = bl.Values(p.h, shards)
-        return v.runs(b.block, _several(v, _rank(b.ids)[docs_of(b, p.at)]))
+        return v.runs(b.block, _several(v, _rank(b.ids)[p.doc]))
 
     first = written(bl.ask_repeated(bl.each_block(table, probe, bl.RUNS)), "picks")
 
-    def contexts(b: bl.Block, rows: list[dict]) -> tuple[_Picks, _Contexts]:
+    def contexts(b: bl.Block, rows: list[dict]) -> tuple[_Contexts, np.ndarray]:
+        """The contexts, and which of their stretches have a run that two documents of the block share."""
         p = _Picks(b)
         v = bl.Values(p.h, shards)
         passed = v.answered({r["shard"]: r["run"] for r in rows if r["shard"] >= 0})[v.inverse]
-        return p, _Contexts(b, p, passed, shards)
+        return _Contexts(b, p, passed, shards), _several(v, _rank(b.ids)[p.doc])[v.inverse][passed]
 
     def send(b: bl.Block, rows: list[dict]) -> pa.Table:
-        return contexts(b, rows)[1].runs(b.block)
+        return contexts(b, rows)[0].runs(b.block)
 
     second = bl.each_answered(table, first, send, bl.RUNS).groupBy("shard").applyInArrow(_ask_levels, bl.ANSWERS)
     both = first.unionByName(second.selectExpr("block", "-1 - shard AS shard", "run"))
 
     def cut(b: bl.Block, rows: list[dict]) -> pa.Table:
-        _, c = contexts(b, rows)
+        c, shared = contexts(b, rows)
         bits = c.answered({-1 - r["shard"]: r["run"] for r in rows if r["shard"] < 0})[c.number]
         n = c.hi - c.lo + 1
-        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(c.lo, n) + j
-        early = (np.repeat(bits, n) >> j.astype(np.uint32)) & 1 > 0
-        rank = _rank(b.ids)[docs_of(b, starts)]
-        gone = bl.spread(starts[early | _local(b, starts, rank)], LENGTH, len(b.data))
+        cover = np.zeros(len(b.data) + 1, np.int32)
+
+        def mark(start: np.ndarray, end: np.ndarray) -> None:
+            cover[:] += np.bincount(start, minlength=len(cover)).astype(np.int32) - np.bincount(end, minlength=len(cover)).astype(np.int32)
+
+        whole = bits == ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        mark(c.lo[whole], c.hi[whole] + LENGTH)
+        some = ~whole & (bits > 0)
+        at, k = _expand(c.lo[some], n[some])
+        at = at[(bits[some][k] >> (at - c.lo[some][k]).astype(np.uint32)) & 1 > 0]
+        mark(at, at + LENGTH)
+        near = ~whole & shared
+        at, k = _expand(c.lo[near], n[near])
+        at = at[_local(b, at, _rank(b.ids)[c.doc[near]][k])]
+        mark(at, at + LENGTH)
+        gone = np.cumsum(cover[:-1]) > 0
         out, off, along = [], b.offsets.tolist(), b.carried
         for i, (s, e) in enumerate(zip(off, off[1:])):
             g = gone[s:e]
