@@ -35,7 +35,7 @@ from tidemark.llm import wordhash as wh
 from tidemark.session import written
 
 ORDER = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Grams per shard of the model.
 SHARD_GRAMS = 50_000
 HIGH, REACH = 0.9, 8.0
@@ -57,16 +57,39 @@ class _Chars:
         size, pad = self.n + ORDER, ORDER - 1
         first = np.cumsum(size) - size
         self.code = np.full(int(size.sum()), START, np.uint32)
-        self.doc = np.repeat(np.arange(len(size)), size)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         place = np.arange(len(self.code)) - first[self.doc]
         self.real = place >= pad
         self.code[self.real & (place < pad + self.n[self.doc])] = code
         self.code[first + size - 1] = STOP
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hash of the ``n`` characters that end at every place (0 before the first ``n``)."""
-        h = gram_hash([self.code[k : len(self.code) - n + 1 + k] for k in range(n)])
-        return np.concatenate([np.zeros(min(n - 1, len(self.code)), np.uint64), h])
+    def grams(self):
+        """For each order: the number of the gram that ends at every place, and the hash of each number.
+        A gram's number comes from the number of its rest and its first character through a table, so
+        no place is sorted. Grams that would begin before the first place have hash 0."""
+        alphabet, ids = _numbered(self.code.astype(np.int64), 0x110000)
+        number, kinds = ids, len(alphabet)
+        for k in range(1, ORDER + 1):
+            if k > 1:
+                front = np.concatenate([np.full(min(k - 1, len(ids)), len(alphabet)), ids[: len(ids) - k + 1]])
+                first, number = _numbered(number.astype(np.int64) * (len(alphabet) + 1) + front, kinds * (len(alphabet) + 1))
+                kinds = len(first)
+            place = np.zeros(kinds, np.int64)
+            place[number] = np.arange(len(number))
+            whole = place >= k - 1
+            h = np.zeros(kinds, np.uint64)
+            h[whole] = gram_hash([self.code[place[whole] - (k - 1) + j] for j in range(k)])
+            yield k, number, h, place
+
+
+def _numbered(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the number of each key among them; ``size`` is above all keys."""
+    if size > 1 << 26:
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(size, bool)
+    there[keys] = True
+    number = np.cumsum(there, dtype=np.int32) - 1
+    return np.flatnonzero(there), number[keys]
 
 
 def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
@@ -116,8 +139,10 @@ def count_grams(table: DataFrame, trusted: DataFrame) -> DataFrame:
             own = np.zeros(len(x.n), bool)
             own[t["place"].to_numpy()] = True
             at = np.flatnonzero(x.real & own[x.doc])
-            _, first, n = np.unique(x.grams(ORDER)[at], return_index=True, return_counts=True)
-            rows = np.lib.stride_tricks.sliding_window_view(x.code, ORDER)[at[first] - (ORDER - 1)] if len(at) else np.zeros((0, ORDER), "<u4")
+            *_, (_, number, h, place) = x.grams()
+            n = np.bincount(number[at], minlength=len(h))
+            n, place = n[n > 0], place[n > 0]
+            rows = np.lib.stride_tricks.sliding_window_view(x.code, ORDER)[place - (ORDER - 1)] if len(n) else np.zeros((0, ORDER), "<u4")
             text = np.ascontiguousarray(rows).astype("<u4").tobytes().decode("utf-32-le")
             grams += [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
             counts.append(n)
@@ -192,12 +217,8 @@ def sharded(grams: DataFrame, shards: int) -> DataFrame:
 def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float) -> DataFrame:
     """``doc_id, n_chars, log2_loss`` of every document."""
 
-    def asked(x: _Chars) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        grams = {k: x.grams(k) for k in range(1, ORDER + 1)}
-        return grams, np.concatenate([np.unique(g) for g in grams.values()])
-
     def send(b: bl.Block) -> pa.Table:
-        runs = _by_shard(asked(_Chars(b))[1], shards)
+        runs = _by_shard(np.concatenate([h for _, _, h, _ in _Chars(b).grams()]), shards)
         return pa.table({"shard": pa.array([s for s, _ in runs], pa.int32()), "block": pa.array([b.block] * len(runs), pa.int64()), "run": pa.array([_pack(v) for _, v in runs], pa.binary())})
 
     def answer(m: pa.Table, t: pa.Table) -> pa.Table:
@@ -218,20 +239,22 @@ def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float) -> Dat
 
     def finish(b: bl.Block, rows: list[dict]) -> pa.Table:
         x = _Chars(b)
-        grams, every = asked(x)
         got = {r["shard"]: np.frombuffer(bl.unsqueeze(r["run"]), "<f4").reshape(2, -1) for r in rows}
-        runs = _by_shard(every, shards)
+        orders = list(x.grams())
+        runs = _by_shard(np.concatenate([o[2] for o in orders]), shards)
         h = np.concatenate([v for _, v in runs])
         p, g = (np.concatenate([got[s][k] if s in got else np.full(len(v), np.nan, np.float32) for s, v in runs]).astype(np.float64) for k in (0, 1))
         order = np.argsort(h)
         h, p, g = h[order], p[order], g[order]
         loss = np.full(len(x.code), unseen)
-        for k in range(1, ORDER + 1):
-            at = np.searchsorted(h, grams[k])
+        weight = np.where(np.isnan(g), 0.0, g)
+        for k, number, own, _ in orders:
             if k > 1:
-                weight = g[np.searchsorted(h, grams[k - 1])]
-                loss[1:] += np.where(np.isnan(weight[:-1]), 0.0, weight[:-1])
-            loss = np.where(np.isnan(p[at]), loss, p[at])
+                loss[1:] += of_gram[before[:-1]]
+            at = np.searchsorted(h, own)
+            log_p, of_gram, before = p[at], weight[at], number
+            here = log_p[number]
+            loss = np.where(np.isnan(here), loss, here)
         total = np.bincount(x.doc[x.real], weights=-loss[x.real], minlength=len(x.n))
         ids = pa.array(b.ids, mask=b.ids == bl.LAST)
         return pa.table({"doc_id": ids, "n_chars": x.n.astype(np.int64), "log2_loss": total, "carried": b.carried})
