@@ -141,10 +141,12 @@ def count_labelled(labelled: DataFrame) -> DataFrame:
 
 def fit(pages: DataFrame, documents: DataFrame) -> dict[str, float]:
     """Log-odds per kind of element from at most ``LABELLED`` pages whose address names a document."""
-    named = pages.select("page_id", "html", F.regexp_extract(F.col("url"), r"/(\d{1,18})/?(?:[?#].*)?$", 1).alias("n")).filter("n != ''")
-    some = named.withColumn("doc_id", F.expr("try_cast(n AS long)")).orderBy("page_id", "doc_id").limit(LABELLED)
-    # bounded: LABELLED rows
-    labelled = documents.select("doc_id", F.col("text").alias("truth")).join(F.broadcast(some), "doc_id")
+    number = F.regexp_extract(F.col("url"), r"/(\d{1,18})/?(?:[?#].*)?$", 1)
+    named = pages.select("page_id", number.alias("n")).filter("n != '' AND page_id IS NOT NULL")
+    # numbers alone are put in order: at most LABELLED of them, so they can go to every task
+    some = named.select("page_id", F.expr("try_cast(n AS long)").alias("doc_id")).orderBy("page_id", "doc_id").limit(LABELLED)
+    truth = documents.select("doc_id", F.col("text").alias("truth")).join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    labelled = pages.select("page_id", "html").join(F.broadcast(some), "page_id").join(truth, "doc_id")
     return {r["kind"]: math.log((r["inside"] + 1) / (r["outside"] + 1)) for r in count_labelled(labelled).collect()}
 
 
