@@ -117,7 +117,9 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
             long(let(lists, short)).alias("n_stop"),
         )
 
-    f = docs.withColumn("_f", let(words(t), lambda w: let(lines(t), lambda ln: facts(w, ln))))
+    # exploded from an array of one: a later filter on a measure then reads the value, and is not pushed
+    # below it, where the optimizer would repeat the whole computation for each measure it names
+    f = docs.withColumn("_f", F.explode(F.array(let(words(t), lambda w: let(lines(t), lambda ln: facts(w, ln))))))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     return f.withColumns(
         {
