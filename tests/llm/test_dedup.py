@@ -150,6 +150,24 @@ def test_substring_over_many_blocks_and_shards(spark, docs, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == brute.substring(docs)
 
 
+def test_substring_windows_that_agree_in_32_bits_are_not_repeats(spark):
+    """Two different windows of 35 words, both on a shared block of 18, whose hashes have the same low half."""
+    r = np.random.default_rng(7)
+    data = np.frombuffer("".join(VOCAB).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in VOCAB])
+    h = wh.hash_words(data, np.append(0, ends[:-1]), ends)
+    pick = np.concatenate([np.tile(np.arange(18), (300_000, 1)), r.integers(0, len(VOCAB), (300_000, 17))], axis=1)
+    low = wh.rolling(h[pick].ravel(), 35)[::35] & np.uint64(0xFFFFFFFF)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
+    a, b = pick[order[at]], pick[order[at + 1]]
+    assert (a != b).any()
+    docs = [(i, " ".join(VOCAB[k] for k in x)) for i, x in enumerate((a, b))]
+    assert brute.substring(docs)[0][1] == 0
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(frame(spark, docs)).collect()}
+    assert got == brute.substring(docs)
+
+
 def test_rows_that_share_an_id_and_null_ids(spark):
     t = " ".join(VOCAB[:80])
     d = spark.createDataFrame([(1, t), (1, t), (None, t), (None, t), (2, "x " + t)], "doc_id long, text string")

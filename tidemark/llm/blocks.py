@@ -169,10 +169,13 @@ class Values:
         self.used, first = np.unique(self.shard, return_index=True)
         self.edges = [*first.tolist(), len(self.keys)]
 
+    def packed(self, s: int, e: int) -> bytes:
+        """The distinct values ``s`` to ``e`` as they are sent."""
+        return pack_ints((self.keys[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
     def runs(self, block: int, *flags: np.ndarray) -> pa.Table:
         """One packed run per shard that has values; ``flags`` are bits per distinct value."""
-        sub = (self.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = [frame(pack_ints(sub[s:e]), *(pack_bits(f[s:e]) for f in flags)) for s, e in zip(self.edges, self.edges[1:])]
+        out = [frame(self.packed(s, e), *(pack_bits(f[s:e]) for f in flags)) for s, e in zip(self.edges, self.edges[1:])]
         return pa.table({"shard": pa.array(self.used, pa.int32()), "block": pa.array([block] * len(out), pa.int64()), "run": pa.array(out, pa.binary())})
 
     def counted_runs(self, block: int) -> pa.Table:
@@ -195,6 +198,31 @@ class Values:
         return bits
 
 
+class WideValues(Values):
+    """Distinct 128-bit hashes of a block (rows of two words), sent whole: where ``Values`` is a filter,
+    as different values can look alike to a shard, these can decide."""
+
+    def __init__(self, hashes: np.ndarray, shards: int):
+        shard = (hashes[:, 0] >> np.uint64(32)) % np.uint64(shards)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0], shard))
+        s = hashes[order]
+        new = np.append(True, (s[1:] != s[:-1]).any(axis=1)) if len(s) else np.zeros(0, bool)
+        self.keys = s[new]
+        self.inverse = np.empty(len(s), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.counts = np.diff(np.append(np.flatnonzero(new), len(s)))
+        self.shard = shard[order][new].astype(np.int64)
+        self.used, first = np.unique(self.shard, return_index=True)
+        self.edges = [*first.tolist(), len(self.keys)]
+
+    def packed(self, s: int, e: int) -> bytes:
+        return squeeze(self.keys[s:e].astype("<u8").tobytes())
+
+
+def unpack_wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(unsqueeze(b), "<u8").reshape(-1, 2)
+
+
 def each_block(blocks: DataFrame, work: Callable[[Block], pa.Table], schema: str) -> DataFrame:
     """``work`` on each block; rows are small in number (one per block), so they go one by one."""
 
@@ -226,18 +254,20 @@ def to_arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def ask_repeated(runs: DataFrame) -> DataFrame:
+def ask_repeated(runs: DataFrame, wide: bool = False) -> DataFrame:
     """Answer each run: which of its values are repeated (sent by two blocks or more, or flagged
-    by flag 0 as repeated inside the block) and, if runs have a flag 1, are flagged so by some block."""
+    by flag 0 as repeated inside the block) and, if runs have a flag 1, are flagged so by some block.
+    ``wide``: the runs are of ``WideValues``."""
 
     def task(t: pa.Table) -> pa.Table:
         parts = [unframe(x) for x in t["run"].to_pylist()]
-        values = [unpack_ints(p[0]) for p in parts]
+        values = [unpack_wide(p[0]) if wide else unpack_ints(p[0]) for p in parts]
         v = np.concatenate(values)
         flags = [np.concatenate([unpack_bits(p[k], len(x)) for p, x in zip(parts, values)]) for k in range(1, len(parts[0]))]
-        order = np.argsort(v, kind="stable")
+        order = np.lexsort(v.T) if wide else np.argsort(v, kind="stable")
         s = v[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+        other = (s[1:] != s[:-1]).any(axis=1) if wide else s[1:] != s[:-1]
+        first = np.flatnonzero(np.append(True, other)) if len(s) else np.zeros(0, int)
         size = np.diff(np.append(first, len(s)))
         any_of = lambda f: np.logical_or.reduceat(f[order], first)
         hit = (size > 1) | any_of(flags[0])

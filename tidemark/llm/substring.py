@@ -4,8 +4,9 @@ Reference blocks are the non-overlapping runs of ``b`` words at word 0, b, 2b, .
 document, with ``2b - 1 = WINDOW`` words: every window of that length holds one whole reference
 block. The blocks' hashes are indexed by shard, and every rolling run of ``b`` words of every
 document probes the index (packed, see ``blocks``). A probe that hits a block elsewhere is a seed.
-Only the windows around seeds are then compared in full (by a 64-bit hash and the shard's bits),
-which extends the seeds to maximal exact repeats: a maximal repeat is a chain of windows that each
+Seeds are found by 32 bits of the hash and the shard's number, so some are false; they only choose what
+is compared next. The windows around seeds are then compared by 128-bit hashes, sent whole,
+which extends the true seeds to maximal exact repeats: a maximal repeat is a chain of windows that each
 occur twice or more, and all of its words go.
 
 Three passes over the blocks: probe, extend, cut. Both exchanges carry packed values.
@@ -30,6 +31,8 @@ from tidemark.session import written
 WINDOW = 35
 BLOCK_BYTES = 6 << 20
 SHARD_BYTES = 6 << 20
+#: The second half of the windows' hashes starts from another word hash.
+SEED = 0x5851F42D4C957F2D
 
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string"
 
@@ -40,6 +43,7 @@ class _Words:
 
     def __init__(self, b: bl.Block, window: int):
         self.starts, self.ends, self.doc = wh.find_words(b.data, b.offsets)
+        self.data = b.data
         self.h = wh.hash_words(b.data, self.starts, self.ends)
         self.count = np.bincount(self.doc, minlength=len(b.ids))
         self.first = np.cumsum(self.count) - self.count
@@ -49,24 +53,29 @@ class _Words:
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the runs of ``n`` words inside one document, and their hashes."""
         h = wh.rolling(self.h, n)
-        at = np.flatnonzero(self.doc[: len(h)] == self.doc[n - 1 :]) if len(h) else np.zeros(0, int)
+        at = self.inside(len(h), n)
         return at, h[at]
 
+    def inside(self, size: int, n: int) -> np.ndarray:
+        return np.flatnonzero(self.doc[:size] == self.doc[n - 1 :]) if size else np.zeros(0, int)
+
 
 def _seeds(w: _Words, shards: int) -> tuple[np.ndarray, bl.Values]:
     at, h = w.runs(w.anchor)
     return at, bl.Values(h, shards)
 
 
-def _windows(w: _Words, at: np.ndarray, seed: np.ndarray, shards: int, window: int) -> tuple[np.ndarray, bl.Values]:
+def _windows(w: _Words, at: np.ndarray, seed: np.ndarray, shards: int, window: int) -> tuple[np.ndarray, bl.WideValues]:
     """Windows that hold a reference block which is a seed."""
     block = at[seed & (w.place[at] % w.anchor == 0)]
     near = np.zeros(len(w.doc), bool)
     for back in range(w.anchor):
         near[block[w.place[block] >= back] - back] = True
-    start, h = w.runs(window)
-    keep = near[start]
-    return start[keep], bl.Values(h[keep], shards)
+    h = wh.rolling(w.h, window)
+    start = w.inside(len(h), window)
+    start = start[near[start]]
+    other = wh.rolling(wh.hash_words(w.data, w.starts, w.ends, SEED), window)
+    return start, bl.WideValues(np.stack([h[start], other[start]], axis=1), shards)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -94,7 +103,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _, win = _windows(w, at, v.answered(by_shard(rows))[v.inverse], shards, window)
         return win.runs(b.block, win.counts > 1)
 
-    second = bl.ask_repeated(bl.each_answered(table, first, extend, bl.RUNS))
+    second = bl.ask_repeated(bl.each_answered(table, first, extend, bl.RUNS), wide=True)
     # the second round's shards are numbered below zero, so that one co-group brings both answers
     both = first.unionByName(second.selectExpr("block", "-1 - shard AS shard", "run"))
 

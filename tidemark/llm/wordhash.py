@@ -33,12 +33,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.minimum(ends, offsets[doc + 1]), doc
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash per word: eight bytes at a time, all words side by side."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash per word: eight bytes at a time, all words side by side. Another ``seed`` gives
+    another hash."""
     padded = np.append(data, np.zeros(8, np.uint8))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     left = ends - starts
-    h = left.astype(np.uint64) * M1
+    h = left.astype(np.uint64) * M1 ^ np.uint64(seed)
     live, at = np.arange(len(starts)), starts
     while len(live):
         h[live] = mix((h[live] ^ (eight[at] & _KEEP[np.minimum(left[live], 8)])) * M3)
