@@ -26,9 +26,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs).select(*docs.columns)
 
 
+#: Per cent of the union of two documents' shingles from which they are near copies.
+NEAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays; rows of one id stay or go together."""
-    stay = minhash.components_of(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    stay = minhash.components_of(docs, share=NEAR).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from tidemark.llm import exact, minhash, substring, suffix
 from tidemark.llm import wordhash as wh
@@ -100,6 +101,22 @@ def test_near_crowded_buckets_take_the_exact_join(spark, monkeypatch):
     assert got == brute.near(docs)
 
 
+def test_near_share_and_the_stage_at_80(spark):
+    """Four scattered edits in 200 words: 176 of 216 shingles, between 80 and 85 %."""
+    r = random.Random(9)
+    w = [f"u{i}" for i in range(200)]
+    docs = [(1, " ".join(w)), (3, " ".join(r.choices(VOCAB, k=150)))]
+    for at in (20, 70, 120, 170):
+        w[at] = "edit"
+    docs.append((2, " ".join(w)))
+    d = frame(spark, docs)
+    for share, apart in ((85, [1, 2, 3]), (80, [1, 1, 3])):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.components_of(d, share=share).collect()}
+        assert got == brute.near(docs, share=share) and [got[i][1] for i in (1, 2, 3)] == apart
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, d, "").collect()) == [1, 3]
+    assert minhash.side_of(85) == 12 and minhash.side_of(80) == 16
+
+
 def test_near_chain_is_one_component(spark):
     r = random.Random(5)
     w = r.choices(VOCAB, k=200)

@@ -1,10 +1,11 @@
 """Near-duplicates by MinHash with tensored banding.
 
-Instead of ``T`` independent bands there are two small collections of ``SIDE`` half keys of
-``HALF`` minhashes each; a table key is one half key from either collection, so ``SIDE ** 2`` tables
-of ``2 * HALF`` minhashes need ``2 * SIDE * HALF`` of them: their number grows with the square root.
+Instead of ``T`` independent bands there are two small collections of ``side`` half keys of
+``HALF`` minhashes each; a table key is one half key from either collection, so ``side ** 2`` tables
+of ``2 * HALF`` minhashes need ``2 * side * HALF`` of them: their number grows with the square root.
 Two documents are candidates if some left and some right half key agree. At similarity s a pair is
-missed with probability at most 2 * (1 - s ** HALF) ** SIDE: 3e-5 at 0.85 for the values below.
+missed with probability at most 2 * (1 - s ** HALF) ** side; ``side_of`` keeps that under ``MISSED`` at
+the similarity asked for: 12 at 85 %, 16 at 80 %.
 
 Steps
 1. sketch: one row per document with set size, set fingerprint and half keys; documents with equal
@@ -14,7 +15,7 @@ Steps
    shingle sets; confirmed links give components;
 4. members of buckets that are still in several components meet further centres, in a few rounds; what
    stays open is worked through: small buckets by the pairs across components, the others by an exact
-   join on rare shingles (prefix filter: similar sets share one of their ``n - ceil(0.85 n) + 1`` rarest).
+   join on rare shingles (prefix filter: similar sets share one of their ``n - ceil(s n) + 1`` rarest).
    No candidate is dropped, no bucket is capped;
 5. components of all confirmed links; members take their class's component.
 
@@ -37,8 +38,8 @@ from tidemark.llm import wordhash as wh
 from tidemark.session import written
 
 SHINGLE = 5
-SHARE = 85  # per cent of the union
-SIDE, HALF = 12, 3
+SHARE = 85  # per cent of the union, if a caller gives no other
+HALF, MISSED = 3, 3e-5
 #: Members of a bucket whose pairs are compared one by one; larger ones take the exact join.
 SMALL = 40
 #: Rounds in which members that are not linked to their bucket's centre meet other centres.
@@ -46,7 +47,14 @@ ROUNDS = 2
 SKETCH = "doc_id long, n long, fp binary, half_keys binary"
 PAIRS = "a long, b long"
 BLOCK_BYTES = 4 << 20
-_MULT, _ADD = (bl.mix(np.arange(1, SIDE * HALF * 2 + 1, dtype=np.uint64) * k) for k in (bl.M1, bl.M3))
+
+
+def side_of(share: int) -> int:
+    """Half keys in a collection."""
+    side = 1
+    while 2 * (1 - (share / 100) ** HALF) ** side > MISSED:
+        side += 1
+    return side
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,16 +81,17 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return v, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(texts)))]).astype(np.int64)
 
 
-def half_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """``documents x (2 * SIDE)`` half keys: the left collection, then the right one."""
+def half_keys(values: np.ndarray, offsets: np.ndarray, side: int) -> np.ndarray:
+    """``documents x (2 * side)`` half keys: the left collection, then the right one."""
     some = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, 2 * SIDE), np.uint64)
+    out = np.zeros((len(offsets) - 1, 2 * side), np.uint64)
     if not len(some):
         return out
-    for k in range(2 * SIDE):
+    mult, add = (bl.mix(np.arange(1, side * HALF * 2 + 1, dtype=np.uint64) * k) for k in (bl.M1, bl.M3))
+    for k in range(2 * side):
         key = np.full(len(some), k, np.uint64)
         for m in range(k * HALF, (k + 1) * HALF):
-            x = values * (_MULT[m] | np.uint64(1)) + _ADD[m]
+            x = values * (mult[m] | np.uint64(1)) + add[m]
             x ^= x >> np.uint64(32)
             x *= bl.M2
             key = wh.join(key, np.minimum.reduceat(x, offsets[:-1][some]))
@@ -91,24 +100,25 @@ def half_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def table_keys(half: np.ndarray) -> np.ndarray:
-    """``documents x SIDE ** 2``: every left half key joined with every right one."""
-    n = np.arange(SIDE * SIDE, dtype=np.uint64)
-    return wh.join((half[:, :SIDE, None] + half[:, None, SIDE:] * bl.M2).reshape(len(half), -1), n)
+    """``documents x side ** 2``: every left half key joined with every right one."""
+    side = half.shape[1] // 2
+    n = np.arange(side * side, dtype=np.uint64)
+    return wh.join((half[:, :side, None] + half[:, None, side:] * bl.M2).reshape(len(half), -1), n)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    schema = bl.to_arrow(SKETCH)
+def sketches(docs: DataFrame, doc_id: str, text: str, share: int = SHARE) -> DataFrame:
+    schema, side = bl.to_arrow(SKETCH), side_of(share)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 v, off = shingle_sets(_texts(batch, 1))
-                half, n = half_keys(v, off), np.diff(off)
+                half, n = half_keys(v, off, side), np.diff(off)
                 some = np.flatnonzero(n)
                 fp = np.zeros((len(n), 2), np.uint64)
                 if len(some):
@@ -163,7 +173,7 @@ def shared_keys(classes: DataFrame, shards: int) -> DataFrame:
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(take, "key long, rep long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough. Sets are made from the texts
     where a pair is compared; a text that stands in neighbouring rows is worked on once."""
     to = bl.to_arrow(PAIRS)
@@ -180,12 +190,12 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = []
                 for x, y in at.T.tolist():
                     m, n = off[x + 1] - off[x], off[y + 1] - off[y]
-                    if 100 * min(m, n) < SHARE * max(m, n):
+                    if 100 * min(m, n) < share * max(m, n):
                         keep.append(False)
                         continue
                     s = np.sort(np.concatenate([v[off[x] : off[x + 1]], v[off[y] : off[y + 1]]]), kind="stable")
                     common = int((s[1:] == s[:-1]).sum())
-                    keep.append(100 * common >= SHARE * (m + n - common))
+                    keep.append(100 * common >= share * (m + n - common))
                 yield pa.RecordBatch.from_arrays([pa.array(c[np.array(keep, bool)]) for c in ids], schema=to)
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
@@ -217,7 +227,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(new, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "components")
 
 
-def rare_pairs(members: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFrame:
+def rare_pairs(members: DataFrame, texts: DataFrame, comp: DataFrame, share: int) -> DataFrame:
     """Exact candidates among ``members`` (one column, ``rep``): pairs in different components
     that share one of their rarest shingles. Order: how many members have a shingle, then its hash. The
     counts travel packed; only the rarest shingles of a member become rows."""
@@ -240,7 +250,7 @@ def rare_pairs(members: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFra
         own = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((v, often, own))
         place = np.arange(len(v)) - off[own]
-        keep = (place < (n - (n * SHARE + 99) // 100 + 1)[own]) & (often[order] > 1)
+        keep = (place < (n - (n * share + 99) // 100 + 1)[own]) & (often[order] > 1)
         at = order[keep]
         columns = v[at].view(np.int64), b.ids[own[at]], n[own[at]].astype(np.int32), (place[keep] + 1).astype(np.int32)
         return pa.table(dict(zip(("shingle", "rep", "n", "r"), columns)))
@@ -249,9 +259,9 @@ def rare_pairs(members: DataFrame, texts: DataFrame, comp: DataFrame) -> DataFra
     prefix = bl.each_answered(table, answers, rarest, "shingle long, rep long, n int, r int").join(comp, "rep")
     prefix = written(prefix, "prefix")
     other = prefix.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "r", "comp")])
-    near = (F.col("comp") != F.col("comp2")) & (F.col("rep") < F.col("rep2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SHARE)
+    near = (F.col("comp") != F.col("comp2")) & (F.col("rep") < F.col("rep2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * share)
     # the first shingle that two similar sets share leaves enough behind it for the overlap
-    needed = F.ceil((F.col("n") + F.col("n2")) * SHARE / (100 + SHARE))
+    needed = F.ceil((F.col("n") + F.col("n2")) * share / (100 + share))
     near &= F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2")) + 1 >= needed
     return prefix.join(other, "shingle").filter(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
@@ -263,9 +273,10 @@ def mixed_keys(k: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(keys.select("key", "m"), "key")
 
 
-def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    d = written(sketches(docs, doc_id, text), "sketches")
+def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``. Documents link if they share
+    ``share`` per cent of the union of their shingles."""
+    d = written(sketches(docs, doc_id, text, share), "sketches")
     some = d.filter("n > 0")
     of = some.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     classes = written(some.join(of, ["fp", "n"]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "half_keys"), "classes")
@@ -276,7 +287,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     nodes = k.select("rep").distinct()
     centre = k.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     tried = written(k.join(centre, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "tried")
-    links = written(confirm(tried, texts), "confirmed")
+    links = written(confirm(tried, texts, share), "confirmed")
     comp = components(links)
     comp = written(nodes.join(comp, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "components")
     for turn in range(ROUNDS):
@@ -289,7 +300,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         ends = [f("rep", "c_rep").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
         pairs = rest.join(centre, "key").filter("comp != c_comp").select(*ends).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(confirm(pairs, texts), "confirmed")
+        more = written(confirm(pairs, texts, share), "confirmed")
         tried = tried.union(pairs)
         if more.limit(1).count():
             comp = merged(comp, more)
@@ -300,9 +311,9 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         pairs = small.join(other, "key").filter("rep < rep2 and comp != comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         crowd = written(rest.filter(F.col("m") > SMALL).select("rep").distinct(), "crowd")
         if crowd.limit(1).count():
-            pairs = pairs.union(rare_pairs(crowd, texts, comp))
+            pairs = pairs.union(rare_pairs(crowd, texts, comp, share))
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(confirm(pairs, texts), "confirmed")
+        more = written(confirm(pairs, texts, share), "confirmed")
         if more.limit(1).count():
             comp = merged(comp, more)
     found = of.join(comp, "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("comp"))

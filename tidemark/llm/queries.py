@@ -170,7 +170,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 
 @query("op1_minhash_near_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.components_of(table(spark, sf_dir, "documents"))
+    return minhash.components_of(table(spark, sf_dir, "documents"), share=85)
 
 
 @query("op9_sentencepiece")
