@@ -31,9 +31,10 @@ NEAR = 80
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays; rows of one id stay or go together."""
-    stay = minhash.components_of(docs, share=NEAR).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
+    """Of linked documents the one with the smallest id stays; rows of one id (or none) and one text stay
+    or go together."""
+    stay = minhash.components_of(docs, share=NEAR, with_digest=True).filter("kept").select(F.col("doc_id").alias("_id"), "tx").distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (minhash.digest("text") == stay["tx"]), "left_semi").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,25 @@ def test_rows_that_share_an_id_and_null_ids(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in minhash.components_of(d).collect()} == {(1, 1, True), (None, 1, False), (2, 1, False)}
 
 
+def test_near_null_and_repeated_ids_with_different_texts(spark):
+    """A near copy under NULL (or a repeated id) takes no other document with it, whatever the order of rows."""
+    r = random.Random(21)
+    text = [r.choices(VOCAB, k=200) for _ in range(4)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    t = [" ".join(w) for w in text]
+    rows = [(5, t[0]), (None, near(text[0])), (None, t[1]), (None, t[2]), (None, near(text[2])), (7, t[3]), (7, "one two three"), (9, near(text[3]))]
+    for given in (rows, rows[::-1]):
+        d = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        out = minhash.components_of(d, with_digest=True).join(d.select("text", minhash.digest("text").alias("tx")), "tx")
+        got = {x.text: (x.component_id, x.kept) for x in out.collect()}
+        assert got[t[0]] == (5, True) and got[near(text[0])] == (5, False)
+        assert got[t[1]] == (None, True)
+        assert {got[t[2]], got[near(text[2])]} == {(None, True), (None, False)}
+        assert got[t[3]] == (7, True) and got["one two three"] == (7, True) and got[near(text[3])] == (7, False)
+        left = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, d, "").collect()]
+        assert len(left) == 5 and {(5, t[0]), (None, t[1]), (7, t[3]), (7, "one two three")} < set(left)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string")
     for out in (exact.decide(d), exact.deduplicate(d), minhash.components_of(d), suffix.remove_repeats(d), substring.remove_repeats(d)):

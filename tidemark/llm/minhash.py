@@ -9,7 +9,8 @@ the similarity asked for: 12 at 85 %, 16 at 80 %.
 
 Steps
 1. sketch: one row per document with set size, set fingerprint and half keys; documents with equal
-   shingle sets become one class at once (counted map-side, so thousands of copies are one row);
+   shingle sets become one class at once (counted map-side, so thousands of copies are one row). Classes
+   are numbered in the order of their first document's id and text digest, and the id comes back at the end;
 2. table keys of the classes are packed and exchanged; only keys that two classes share go on;
 3. each bucket links its members to one centre (its smallest class). Links are confirmed on the full
    shingle sets; confirmed links give components;
@@ -19,8 +20,9 @@ Steps
    No candidate is dropped, no bucket is capped;
 5. components of all confirmed links; members take their class's component.
 
-Defined results: NULL and blank texts have no shingles and link with nothing; rows that share an id
-are one document for linking, each keeps its row; a NULL id is kept as NULL and stands
+Defined results: NULL and blank texts have no shingles and link with nothing; rows that share an id and
+a text are one document, each keeps its row; rows that share an id (or have none) and differ in text are
+documents of their own, in the order of their texts' digests; a NULL id is kept as NULL and stands
 last; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as bl
@@ -44,7 +46,7 @@ HALF, MISSED = 3, 3e-5
 SMALL = 40
 #: Rounds in which members that are not linked to their bucket's centre meet other centres.
 ROUNDS = 2
-SKETCH = "doc_id long, n long, fp binary, half_keys binary"
+SKETCH = "doc_id long, tx binary, n long, fp binary, half_keys binary"
 PAIRS = "a long, b long"
 BLOCK_BYTES = 4 << 20
 
@@ -110,6 +112,11 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def digest(text: str) -> Column:
+    """What tells apart documents that share an id, or have none."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, share: int = SHARE) -> DataFrame:
     schema, side = bl.to_arrow(SKETCH), side_of(share)
 
@@ -117,7 +124,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, share: int = SHARE) -> Dat
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                v, off = shingle_sets(_texts(batch, 1))
+                v, off = shingle_sets(_texts(batch, 2))
                 half, n = half_keys(v, off, side), np.diff(off)
                 some = np.flatnonzero(n)
                 fp = np.zeros((len(n), 2), np.uint64)
@@ -125,11 +132,11 @@ def sketches(docs: DataFrame, doc_id: str, text: str, share: int = SHARE) -> Dat
                     fp[some, 0] = np.add.reduceat(bl.mix(v ^ bl.M1), off[:-1][some])
                     fp[some, 1] = np.bitwise_xor.reduceat(bl.mix(v + bl.M3), off[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in half], pa.binary())],
+                    [batch.column(0), batch.column(1), pa.array(n), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in half], pa.binary())],
                     schema=schema,
                 )
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(bl.LAST)), F.col(text)).mapInArrow(task, SKETCH)
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(bl.LAST)), digest(text), F.col(text)).mapInArrow(task, SKETCH)
 
 
 def shared_keys(classes: DataFrame, shards: int) -> DataFrame:
@@ -273,18 +280,21 @@ def mixed_keys(k: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(keys.select("key", "m"), "key")
 
 
-def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
+def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE, with_digest: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``. Documents link if they share
-    ``share`` per cent of the union of their shingles."""
+    ``share`` per cent of the union of their shingles. ``with_digest`` adds ``tx``, which names a
+    document together with its id."""
     d = written(sketches(docs, doc_id, text, share), "sketches")
     some = d.filter("n > 0")
-    of = some.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(some.join(of, ["fp", "n"]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "half_keys"), "classes")
+    of = some.groupBy("fp", "n").agg(F.min(F.struct("doc_id", "tx")).alias("head")).select("fp", "n", F.col("head.doc_id").alias("id"), F.col("head.tx").alias("head"))
+    # rising over the ranges and inside them: the order of the numbers is that of (id, head)
+    of = written(of.repartitionByRange("id", "head").sortWithinPartitions("id", "head").withColumn("rep", F.monotonically_increasing_id()), "class-numbers")
+    classes = written(some.join(of, ["fp", "n"]).filter("doc_id = id and tx = head").dropDuplicates(["rep"]).select("rep", "half_keys"), "classes")
     shards = max(1, classes.count() // 10_000)
     k = written(shared_keys(classes, shards), "shared-keys")
-    given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(bl.LAST)).alias("rep"), F.col(text).alias("text"))
-    texts = written(given.join(k.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
     nodes = k.select("rep").distinct()
+    given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(bl.LAST)).alias("id"), digest(text).alias("head"), F.col(text).alias("text"))
+    texts = written(given.join(of.join(nodes, "rep", "left_semi").select("rep", "id", "head"), ["id", "head"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     centre = k.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     tried = written(k.join(centre, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "tried")
     links = written(confirm(tried, texts, share), "confirmed")
@@ -316,7 +326,11 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         more = written(confirm(pairs, texts, share), "confirmed")
         if more.limit(1).count():
             comp = merged(comp, more)
-    found = of.join(comp, "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("comp"))
+    first = of.select(F.col("rep").alias("comp"), F.col("id").alias("c_id"), F.col("head").alias("c_head"))
+    moved = comp.filter("comp != rep").join(first, "comp").select("rep", "c_id", "c_head")
+    found = of.join(moved, "rep", "left").select("fp", "n", F.coalesce("c_id", "id").alias("c_id"), F.coalesce("c_head", "head").alias("c_head"))
     nulls = lambda c: F.when(F.col(c) < bl.LAST, F.col(c)).alias(c)
-    out = d.select("doc_id", "n", "fp").join(found, ["fp", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select(nulls("doc_id"), "n_shingles", nulls("component_id"), "kept")
+    out = d.select("doc_id", "tx", "n", "fp").join(found, ["fp", "n"], "left")
+    out = out.select("doc_id", "tx", F.col("n").alias("n_shingles"), F.coalesce("c_id", "doc_id").alias("component_id"), F.coalesce("c_head", "tx").alias("c_head"))
+    kept = (F.col("doc_id") == F.col("component_id")) & (F.col("tx") == F.col("c_head"))
+    return out.select(nulls("doc_id"), "n_shingles", nulls("component_id"), kept.alias("kept"), *(["tx"] if with_digest else []))
