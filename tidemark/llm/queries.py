@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact, html, minhash, packing, perplexity, pieces, rules, substring, suffix
+from tidemark.llm import bpe, chat, exact, html, minhash, packing, perplexity, pieces, rules, substring, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.fit(pages, table(spark, sf_dir, "documents")))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL cannot encode; tests compare with the tiktoken library."""
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
