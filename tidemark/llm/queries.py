@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, html, minhash, packing, perplexity, pieces, rules, substring, suffix
+from tidemark.llm import bpe, chat, exact, html, minhash, packing, perplexity, pieces, repair, rules, substring, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,82 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL cannot encode; tests compare with the tiktoken library."""
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE g AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+r AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(s) + 1),
+    lambda i: [ascii(substr(s, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT) % 20 AS k FROM g),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+p AS (
+  SELECT *, left(role, 1) AS h, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM o),
+f AS (
+  SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND cut)::BIGINT AS t,
+    lag(h) OVER (PARTITION BY conv_id ORDER BY i) || h NOT IN ('su', 'ua', 'au') AS illegal FROM p),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank,
+    count(*) FILTER (again AND NOT blank)::BIGINT AS duplicate, sum(t)::BIGINT AS truncated, count(*) FILTER (illegal)::BIGINT AS illegal FROM f GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS c FROM n
+  UNION ALL
+  SELECT conv_id, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])]
+  FROM (
+    SELECT f.conv_id, f.i, CASE WHEN gone THEN [3 + c[1], 3 + c[2], 3 + c[3], 3 + c[4]] ELSE [
+        least(3 + c[1], 2 + t + c[3], CASE h WHEN 's' THEN t + c[2] WHEN 'u' THEN t + c[3] END),
+        least(3 + c[2], 2 + t + c[3], CASE h WHEN 'u' THEN t + c[3] END),
+        least(3 + c[3], 2 + t + c[4], CASE h WHEN 'a' THEN t + c[4] END),
+        least(3 + c[4], 2 + t + c[3], CASE h WHEN 'u' THEN t + c[3] END)] END AS w
+    FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)),
+way AS (
+  SELECT conv_id, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS made, false AS done FROM n
+  UNION ALL
+  SELECT conv_id, CASE e WHEN 'I' THEN i WHEN '' THEN i ELSE i + 1 END,
+    CASE WHEN e IN ('D', '') THEN s WHEN e = 'K' AND h = 's' THEN 2 WHEN s = 3 THEN 4 ELSE 3 END, audit || e,
+    CASE WHEN e IN ('D', '') THEN made WHEN e = 'K' THEN list_append(made, role || ':' || text)
+      ELSE list_append(made, CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE e WHEN 'R' THEN text ELSE '' END) END, e = ''
+  FROM (
+    SELECT way.*, f.h, f.role, f.text, CASE
+      WHEN f.i IS NULL THEN CASE WHEN s IN (2, 3) THEN 'I' ELSE '' END
+      WHEN 3 + after.c[s] = b.c[s] THEN 'D' WHEN 2 + b.c[CASE s WHEN 3 THEN 4 ELSE 3 END] = b.c[s] THEN 'I'
+      WHEN NOT gone AND (h = 's' AND s = 1 AND t + after.c[2] = b.c[s] OR h = 'u' AND s <> 3 AND t + after.c[3] = b.c[s] OR h = 'a' AND s = 3 AND t + after.c[4] = b.c[s]) THEN 'K'
+      ELSE 'R' END AS e
+    FROM way JOIN b ON b.conv_id IS NOT DISTINCT FROM way.conv_id AND b.i = way.i
+    LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM way.conv_id AND f.i = way.i
+    LEFT JOIN b AS after ON after.conv_id IS NOT DISTINCT FROM way.conv_id AND after.i = way.i + 1
+    WHERE NOT way.done))
+SELECT a.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+  coalesce(n.illegal, 0) AS illegal, coalesce(b.c[1], 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 1 LEFT JOIN way ON way.conv_id IS NOT DISTINCT FROM a.conv_id AND way.done
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage, by a checksum of conversation and turn; NULL is one blank."""
+    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(say("conv_id"), F.lit(":"), say("turn"))) % 20
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    d = rows.select("conv_id", "turn", say("role").alias("role"), say("text").alias("text"), k.alias("k")).filter("k != 0")
+    d = d.select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return d.drop("col")
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which the damage leaves no row have zeros."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.totals(repair.repair(damaged(given))).withColumnRenamed("conv_id", "_id")
+    every = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, every["conv_id"].eqNullSafe(found["_id"]), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
