@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, html, minhash, packing, perplexity, pieces, repair, rules, substring, suffix
+from tidemark.llm import bpe, chat, exact, html, minhash, packing, perplexity, pieces, repair, rules, search, substring, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,22 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, every["conv_id"].eqNullSafe(found["_id"]), "left").select(
         "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     )
+
+
+OP11_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{search.OUTSIDE}]+')"
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, d, term, count(*) AS tf FROM (SELECT doc_id, d, unnest({OP11_TERMS}) AS term FROM (SELECT *, row_number() OVER () AS d FROM documents)) GROUP BY ALL),
+n AS (SELECT d, sum(tf)::BIGINT AS n FROM t GROUP BY d),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+m AS (SELECT d, 75 + (25 * n * docs) // words AS m FROM n, a),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, a GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({OP11_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (d) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
