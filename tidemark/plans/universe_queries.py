@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parse
 from tidemark.operators import cascade as ca
 from tidemark.operators import outcomes as oc
+from tidemark.operators import sector_rules as sr
 from tidemark.operators.ranks import _safe_join, medians, percentiles
 from tidemark.plans.outcome_queries import rnd
 from tidemark.plans.timeseries_queries import r6
@@ -39,35 +40,49 @@ BUY_SCORE = (f"({sql_interp('upside', *B['upside'])} * 0.1::double + greatest(0,
              f" + greatest(0, least(100, CASE WHEN pet > 0 THEN {sql_interp('pet', *B['pet'])} WHEN pet < 0 THEN 10 ELSE 40 END + coalesce({sql_interp('ratio', *B['pe_ratio'])}, 0) + coalesce({sql_interp('fcf', *B['fcf'])}, 0))) * 0.3::double"
              f" + greatest(0, least(100, coalesce({sql_interp('roe', *B['roe'])}, 40) + coalesce({sql_interp('de', *B['de'])}, 0) + coalesce({sql_interp('gross_margin', *B['margin'])}, 0))) * 0.25::double + coalesce({sql_interp('am', *B['am'])}, 50) * 0.2::double)"
              " * CASE WHEN dispersion > 80 THEN 0.85::double ELSE 1 END * CASE WHEN (w52 IS NULL)::int + (pet IS NULL)::int + (pef IS NULL)::int + (roe IS NULL)::int + (de IS NULL)::int + (fcf IS NULL)::int > 2 THEN 0.8::double ELSE 1 END")
-_vals = ", ".join("('" + t + "', " + ", ".join("NULL::double" if v[i] is None else f"{float(v[i])}::double" for v in ca.THRESHOLDS.values()) + ")" for i, t in enumerate(ca.TIERS))
-# Fixed values, written out for the check on their own: gates of the other regions, mega to micro.
-EU_HK = {
-    "min_upside": "[10, 12, 18, 28, 38] [15, 18, 22, 30, 50]", "min_buy_percentage": "[58, 60, 63, 65, 68] [65, 68, 70, 72, 75]",
-    "min_analysts": "[6, 6, 8, 6, 6] [15, 12, 10, 8, 8]", "min_analysts_earnings": "[4, 4, NULL, NULL, NULL] [NULL, NULL, NULL, NULL, NULL]",
-    "quality_relief": "[1, 1, 0, 0, 0] [0, 0, 0, 0, 0]", "max_beta": "[2.5, 2.5, 2, 2, 2] [2.5, 2, 2, 2, 2]", "max_short_interest": "[2, 3.5, 2.5, 2.75, 3] [2, 2.25, 2.5, 2.75, 3]",
-    "min_roe": "[8, 8, 8, 8, 10] [10, 10, 10, 12, 12]", "max_debt_equity": "[200, 175, 150, 150, 120] [120, 120, 120, 100, 80]",
-    "min_fcf_yield": "[-5, -3, 0, -1, NULL] [0.75, 0.5, 0.25, 0, NULL]", "min_pct_from_52w_high": "[45, 50, 75, 75, 80] [70, 75, 80, 80, 85]",
-    "score_threshold": "[65, 62, 58, 55, 50] [68, 65, 62, 58, 55]", "hard_buy_pct": "[35, 38, 42, 45, 50] [38, 40, 42, 48, 52]",
-    "quality_buy_pct": "[82, 83, 85, 88, 90] [88, 88, 90, 92, 95]", "quality_upside": "[18, 18, 20, 23, 28] [22, 23, 25, 28, 32]",
-}
-
-
-def _gate(k):
-    if k not in EU_HK:
-        return f"t_{k}"
-    eu, hk = EU_HK[k].split("] [")
-    place = f"list_position({ca.TIERS!r}, tier)"
-    return f"CASE gate_region WHEN 'eu' THEN ({eu}]::double[])[{place}] WHEN 'hk' THEN ([{hk}::double[])[{place}] ELSE t_{k} END AS t_{k}"
+# Fixed values of the check, its own copy: one row per region and tier.
+GATE_ROWS = """
+  ('us', 'mega', 10, 100, 80, 8, 5, 1, 0.2, 3, 0.5, 60, 0.5, 90, 3.5, 2, 8, 300, 45, 0, -5, -5, 150, 65, -5, 35, 85, 20, 1.5, 0, 50, 3.5, 4, 5, 250, 50, -20, 2.0),
+  ('us', 'large', 20, 100, 70, 8, 5, 1, 0.2, 2.5, 0.5, 55, 0.5, 85, 3.5, 3.5, 14, 175, 60, 0, -5, -3, 130, 65, -3, 38, 85, 18, 1.5, -3.5, 55, 3, 4.25, 5, 250, 50, -20, 2.0),
+  ('us', 'mid', 18, 100, 75, 8, NULL, 0, 0.2, 2.5, 0.5, 50, 0.5, 80, 3.5, 2.5, 10, 130, 75, 1, -5, 0, 120, 60, -3, 40, 88, 22, 1.4, 7.5, 60, 3, 4.5, 5, 250, 45, -18, 1.8),
+  ('us', 'small', 25, 100, 68, 6, NULL, 0, 0.2, 2.5, 0.5, 45, 0.5, 75, 3.5, 2.75, 10, 120, 75, 1, -5, -1, 100, 55, 0, 45, 90, 25, 1.3, 10, 65, 3, 4.75, 5, 250, 40, -15, 1.6),
+  ('us', 'micro', 40, 100, 72, 6, NULL, 0, 0.2, 2.5, 0.5, 40, 0.5, 70, 3.5, 3, 10, 100, 80, 1, -3, NULL, 80, 50, 0, 50, 92, 30, 1.2, 12.5, 70, 3, 5, 5, 250, 35, -12, 1.5),
+  ('eu', 'mega', 10, 100, 58, 6, 4, 1, 0.2, 2.5, 0.5, 60, 0.5, 90, 3.5, 2, 8, 200, 45, 0, -5, -5, 150, 65, -5, 35, 82, 18, 1.5, 5, 50, 2.5, 4, 5, 250, 50, -20, 2.0),
+  ('eu', 'large', 12, 100, 60, 6, 4, 1, 0.2, 2.5, 0.5, 55, 0.5, 85, 3.5, 3.5, 8, 175, 50, 0, -5, -3, 130, 62, -3, 38, 83, 18, 1.5, -9, 55, 3, 4.25, 5, 250, 50, -20, 2.0),
+  ('eu', 'mid', 18, 100, 63, 8, NULL, 0, 0.2, 2, 0.5, 50, 0.5, 80, 3.5, 2.5, 8, 150, 75, 1, -5, 0, 120, 58, -3, 42, 85, 20, 1.4, -6.9, 60, 2.5, 4.5, 5, 250, 45, -18, 1.8),
+  ('eu', 'small', 28, 100, 65, 6, NULL, 0, 0.2, 2, 0.5, 45, 0.5, 75, 3.5, 2.75, 8, 150, 75, 1, -5, -1, 100, 55, 0, 45, 88, 23, 1.3, 12.5, 65, 2.5, 4.75, 5, 250, 40, -15, 1.6),
+  ('eu', 'micro', 38, 100, 68, 6, NULL, 0, 0.2, 2, 0.5, 40, 0.5, 70, 3.5, 3, 10, 120, 80, 1, -3, NULL, 80, 50, 0, 50, 90, 28, 1.2, 15, 70, 2.5, 5, 5, 250, 35, -12, 1.5),
+  ('hk', 'mega', 15, 100, 65, 15, NULL, 0, 0.2, 2.5, 0.5, 60, 0.5, 90, 3.5, 2, 10, 120, 70, 0, -5, 0.75, 150, 68, -5, 38, 88, 22, 1.5, 7.5, 55, 3, 4, 5, 250, 45, -25, 2.2),
+  ('hk', 'large', 18, 100, 68, 12, NULL, 0, 0.2, 2, 0.5, 55, 0.5, 85, 3.5, 2.25, 10, 120, 75, 0, -5, 0.5, 130, 65, -3, 40, 88, 23, 1.5, 10, 60, 2.5, 4.25, 5, 250, 45, -25, 2.2),
+  ('hk', 'mid', 22, 100, 70, 10, NULL, 0, 0.2, 2, 0.5, 50, 0.5, 80, 3.5, 2.5, 10, 120, 80, 1, -5, 0.25, 120, 62, -3, 42, 90, 25, 1.5, 12.5, 65, 2.5, 4.5, 5, 250, 40, -20, 2.0),
+  ('hk', 'small', 30, 100, 72, 8, NULL, 0, 0.2, 2, 0.5, 45, 0.5, 75, 3.5, 2.75, 12, 100, 80, 1, -5, 0, 100, 58, 0, 48, 92, 28, 1.4, 15, 70, 2.5, 4.75, 5, 250, 35, -18, 1.8),
+  ('hk', 'micro', 50, 100, 75, 8, NULL, 0, 0.2, 2, 0.5, 40, 0.5, 70, 3.5, 3, 12, 80, 85, 1, -3, NULL, 80, 55, 0, 52, 95, 32, 1.3, 17.5, 75, 2.5, 5, 5, 250, 30, -15, 1.6)"""
+GATE_NAMES = """gate_region, tier, t_min_upside, t_max_upside_buy, t_min_buy_percentage, t_min_analysts, t_min_analysts_earnings, t_quality_relief, t_min_beta, t_max_beta, t_min_forward_pe, t_max_forward_pe,
+  t_min_trailing_pe, t_max_trailing_pe, t_max_peg, t_max_short_interest, t_min_roe, t_max_debt_equity, t_min_pct_from_52w_high, t_require_above_200dma, t_min_analyst_momentum, t_min_fcf_yield,
+  t_max_target_dispersion, t_score_threshold, t_hard_upside, t_hard_buy_pct, t_quality_buy_pct, t_quality_upside, t_max_pe_vs_sector, t_sell_upside, t_sell_buy_percentage, t_sell_beta,
+  t_sell_short_interest, t_sell_roe, t_sell_debt_equity, t_sell_pct_from_52w_high, t_sell_analyst_momentum, t_sell_pe_vs_sector"""
 
 
 TYPED_SQL = f"""
-us AS (SELECT * FROM (VALUES {_vals}) t(tier, {", ".join("t_" + k for k in ca.THRESHOLDS)})),
-th AS (SELECT gate_region, tier, {", ".join(_gate(k) for k in ca.THRESHOLDS)} FROM us, (VALUES ('us'), ('eu'), ('hk')) r(gate_region)),
+th AS (SELECT gate_region, tier, COLUMNS('^t_')::DOUBLE FROM (VALUES {GATE_ROWS}) t({GATE_NAMES})),
 ty AS (SELECT *, {RATIO} AS ratio, CASE WHEN ticker LIKE '%-USD' THEN 'crypto' WHEN k % 41 = 0 THEN 'etf' WHEN k % 43 = 5 THEN 'bitcoin_proxy' ELSE 'stock' END AS asset_type,
   CASE WHEN cap_value >= 500e9 THEN 'mega' WHEN cap_value >= 100e9 THEN 'large' WHEN cap_value >= 10e9 THEN 'mid' WHEN cap_value >= 2e9 THEN 'small' ELSE 'micro' END AS tier,
-  CASE WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.L' OR ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS gate_region FROM universe)"""
+  CASE WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.L' OR ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS gate_region FROM universe),
+cl AS (SELECT *, CASE WHEN k % 97 = 5 THEN ['FINANCIAL', 'REIT', 'MLP', 'PHARMA_HIGH_LEVERAGE', 'EQUIPMENT_FINANCING', 'UTILITY', 'PAYMENT_PROCESSORS', 'TELECOM', 'TECHNOLOGY_HARDWARE'][k % 9 + 1]
+   WHEN industry = 'Semiconductors' THEN 'TECHNOLOGY_HARDWARE' WHEN industry = 'Biotechnology' THEN 'PHARMA_HIGH_LEVERAGE'
+   WHEN sector = 'Financial Services' THEN 'FINANCIAL' WHEN sector = 'Real Estate' THEN 'REIT' WHEN sector = 'Utilities' THEN 'UTILITY' END AS sector_class,
+  CASE WHEN pef > 0 THEN round(pef / CASE sector WHEN 'Technology' THEN 28.0::double WHEN 'Healthcare' THEN 22 WHEN 'Financial Services' THEN 12 WHEN 'Consumer Cyclical' THEN 20 WHEN 'Consumer Defensive' THEN 22
+   WHEN 'Energy' THEN 12 WHEN 'Industrials' THEN 18 WHEN 'Basic Materials' THEN 14 WHEN 'Real Estate' THEN 35 WHEN 'Utilities' THEN 18 WHEN 'Communication Services' THEN 18 ELSE 20 END, 2) END AS pe_vs_sector FROM ty),
+gt AS (SELECT cl.*, th.* EXCLUDE (gate_region, tier) REPLACE (
+  CASE sector_class WHEN 'FINANCIAL' THEN 6 WHEN 'REIT' THEN NULL WHEN 'MLP' THEN 15 WHEN 'PHARMA_HIGH_LEVERAGE' THEN 20 WHEN 'EQUIPMENT_FINANCING' THEN 12 WHEN 'UTILITY' THEN 8 WHEN 'PAYMENT_PROCESSORS' THEN 30 WHEN 'TELECOM' THEN 10 ELSE t_min_roe END AS t_min_roe,
+  CASE sector_class WHEN 'FINANCIAL' THEN 3 WHEN 'REIT' THEN NULL WHEN 'MLP' THEN 8 WHEN 'PHARMA_HIGH_LEVERAGE' THEN 12 WHEN 'EQUIPMENT_FINANCING' THEN 8 WHEN 'UTILITY' THEN 5 WHEN 'PAYMENT_PROCESSORS' THEN 20 WHEN 'TELECOM' THEN 5 ELSE t_sell_roe END AS t_sell_roe,
+  CASE sector_class WHEN 'FINANCIAL' THEN 500 WHEN 'REIT' THEN 300 WHEN 'MLP' THEN 800 WHEN 'PHARMA_HIGH_LEVERAGE' THEN 300 WHEN 'EQUIPMENT_FINANCING' THEN 300 WHEN 'UTILITY' THEN 250 WHEN 'PAYMENT_PROCESSORS' THEN 250 WHEN 'TELECOM' THEN 220 ELSE t_max_debt_equity END AS t_max_debt_equity,
+  CASE sector_class WHEN 'FINANCIAL' THEN 800 WHEN 'REIT' THEN 400 WHEN 'MLP' THEN 1000 WHEN 'PHARMA_HIGH_LEVERAGE' THEN 400 WHEN 'EQUIPMENT_FINANCING' THEN 400 WHEN 'UTILITY' THEN 350 WHEN 'PAYMENT_PROCESSORS' THEN 400 WHEN 'TELECOM' THEN 350 ELSE t_sell_debt_equity END AS t_sell_debt_equity,
+  CASE sector_class WHEN 'REIT' THEN NULL WHEN 'UTILITY' THEN -10 WHEN 'TELECOM' THEN -5 WHEN 'TECHNOLOGY_HARDWARE' THEN -15 ELSE t_min_fcf_yield END AS t_min_fcf_yield,
+  CASE sector_class WHEN 'TELECOM' THEN 4 ELSE t_max_short_interest END AS t_max_short_interest, CASE sector_class WHEN 'PAYMENT_PROCESSORS' THEN 1.8 ELSE t_max_pe_vs_sector END AS t_max_pe_vs_sector)
+  FROM cl JOIN th USING (gate_region, tier))"""
 CASCADE_SQL = TYPED_SQL + f""",
-sc AS (SELECT ty.*, th.* EXCLUDE (tier, gate_region), {SELL_SCORE} AS sell_score, {BUY_SCORE} AS buy_score, CASE WHEN held THEN 0.85::double ELSE 1 END AS rx FROM ty JOIN th USING (gate_region, tier)),
+sc AS (SELECT *, {SELL_SCORE} AS sell_score, {BUY_SCORE} AS buy_score, CASE WHEN held THEN 0.85::double ELSE 1 END AS rx FROM gt),
 g AS (SELECT *,
  ((upside >= 0 AND upside >= t_min_upside * rx) OR (upside < t_min_upside * rx AND upside BETWEEN -30 AND 0 AND coalesce(w52 >= 70, false) AND coalesce(above200, false) AND buy_pct >= 80 AND coalesce(am >= -2, true)))
  AND upside <= t_max_upside_buy AND buy_pct >= least(t_min_buy_percentage, 95)
@@ -75,7 +90,7 @@ g AS (SELECT *,
    ELSE CASE WHEN rating_type = 'E' AND t_min_analysts_earnings IS NOT NULL THEN greatest(4, t_min_analysts_earnings) ELSE greatest(4, t_min_analysts) END END
  AND coalesce(beta BETWEEN t_min_beta AND t_max_beta, true) AND coalesce(pef > t_min_forward_pe AND pef <= t_max_forward_pe, true)
  AND (coalesce(pef > 0 AND pet / pef > 10, false) OR coalesce(pet > t_min_trailing_pe AND pet <= t_max_trailing_pe, true)) AND (coalesce(pef > 0 AND pet / pef > 10, false) OR ratio IS NULL OR pef <= pet * 1.25::double)
- AND coalesce(peg <= t_max_peg, true) AND coalesce(si <= t_max_short_interest, true) AND coalesce(roe >= t_min_roe, true) AND coalesce(de <= t_max_debt_equity, true) AND coalesce(w52 >= t_min_pct_from_52w_high * rx, true)
+ AND coalesce(peg <= t_max_peg, true) AND coalesce(si <= t_max_short_interest, true) AND coalesce(roe >= t_min_roe, true) AND coalesce(de <= t_max_debt_equity, true) AND coalesce(pe_vs_sector <= t_max_pe_vs_sector, true) AND coalesce(w52 >= t_min_pct_from_52w_high * rx, true)
  AND (t_require_above_200dma = 0 OR coalesce(above200, true)) AND coalesce(am >= t_min_analyst_momentum, true) AND coalesce(fcf < -100 OR fcf >= t_min_fcf_yield, true) AND coalesce(dispersion <= t_max_target_dispersion, true) AS val,
  coalesce(w52 >= 80 AND above200 AND buy_pct >= 75 AND coalesce(am >= 0, true) AND cap_value >= 10e9 AND coalesce(pef <= 80, true), false) AS mom,
  cap_value >= 2e9 AND analysts >= CASE WHEN cap_value < 5e9 THEN 6 ELSE 4 END AND targets >= 4 AS conf,
@@ -91,8 +106,35 @@ cas AS (SELECT *, CASE WHEN asset_type = 'bitcoin_proxy' AND NOT coalesce(beta >
 """
 
 
+def class_members(spark, sf):
+    """Published members of the sector classes, and a ticker list that grows with the universe (a stand-in by key)."""
+    u = lens.universe(spark, sf).where("k % 97 = 5")
+    own = F.element_at(F.array(*map(F.lit, sr.CLASS_GATES)), (F.col("k") % 9 + 1).cast("int"))
+    return sr.members(spark).unionByName(u.select(F.lit("ticker").alias("scope"), F.col("ticker").alias("key"), own.alias("sector_class")))
+
+
 def classified(spark, sf):
-    return ca.classify(typed(spark, sf), ca.threshold_table(spark))
+    return ca.classify(typed(spark, sf), ca.threshold_table(spark), members=class_members(spark, sf))
+
+
+CLASS_GATE_NAMES = ("min_roe", "sell_roe", "max_debt_equity", "sell_debt_equity", "min_fcf_yield", "max_short_interest", "max_pe_vs_sector")
+
+
+@query("p10_sector_class_gates", ctes=U, sql=TYPED_SQL + " SELECT ticker, sector_class, pe_vs_sector, " + ", ".join(f"t_{g} AS {g}" for g in CLASS_GATE_NAMES) + " FROM gt")
+def p10(spark, sf):
+    """Class by ticker, industry or sector, and the gates that may differ by class."""
+    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(spark, sf))
+    return d.select("ticker", "sector_class", "pe_vs_sector", *[F.col(f"t_{g}").alias(g) for g in CLASS_GATE_NAMES])
+
+
+@query("f04_regional_sell_triggers", ctes=U, sql=TYPED_SQL + """
+SELECT ticker, concat_ws(',', CASE WHEN upside <= t_sell_upside THEN 'max_upside' END, CASE WHEN buy_pct <= t_sell_buy_percentage THEN 'min_buy_percentage' END, CASE WHEN si > t_sell_short_interest THEN 'min_short_interest' END,
+ CASE WHEN beta > t_sell_beta THEN 'min_beta' END, CASE WHEN roe < t_sell_roe THEN 'min_roe' END, CASE WHEN de > t_sell_debt_equity THEN 'max_debt_equity' END, CASE WHEN w52 < t_sell_pct_from_52w_high THEN 'max_pct_from_52w_high' END,
+ CASE WHEN am < t_sell_analyst_momentum THEN 'max_analyst_momentum' END, CASE WHEN pe_vs_sector > t_sell_pe_vs_sector THEN 'max_pe_vs_sector' END) AS triggers FROM gt""")
+def f04_regional(spark, sf):
+    """The any-trigger rule with the gates of region, tier and sector class."""
+    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(spark, sf))
+    return d.select("ticker", F.concat_ws(",", ca.sell_triggers()).alias("triggers"))
 
 
 @query("f01_signal_cascade", ctes=U, sql=CASCADE_SQL + """

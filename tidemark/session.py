@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
@@ -49,3 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a dimension is sent to every executor.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most_rows`` rows (counting stops one row
+    beyond); else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
