@@ -121,14 +121,6 @@ def r03(spark, sf):
     return jobs.latest(jobs.run(jobs.buy_rate(jobs.log_stream(spark, sf), "7 days", "1 day"), "rates"), ["start"])
 
 
-@query("r04_stream_sessions", ctes=("log",), sql="""
-g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY ticker ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM log),
-i AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY ts) AS sid FROM g), s AS (SELECT ticker, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM i GROUP BY ticker, sid)
-SELECT * FROM s WHERE "end" <= (SELECT max(ts) FROM log) - INTERVAL 2 DAY""")
-def r04(spark, sf):
-    return jobs.run(jobs.sessions(jobs.log_stream(spark, sf)), "sessions", "append").drop("batch")
-
-
 @query("r09_stream_static_join", ctes=("log",), sql="SELECT ticker, ts, signal, value FROM log JOIN (VALUES ('B', 20.0), ('S', 10.0), ('H', 30.0)) t(signal, m) USING (signal) WHERE value >= m")
 def r09(spark, sf):
     t = spark.createDataFrame([("B", 20.0), ("S", 10.0), ("H", 30.0)], "signal string, min_value double")
