@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 MIN_DATES = 20  # complete dates that a book needs before it has a risk figure
 
 
@@ -27,13 +29,33 @@ def book_history(names: DataFrame, rets: DataFrame, book: str, date: str = "mont
     """Returns of each book's names up to the book's date, on the dates on which every one of its names
     (that has any return) has one. Adds ``n_names`` and ``n_dates``; books with fewer than ``least`` complete
     dates have no rows here (see ``thin_books``)."""
-    h = names.join(rets, "ticker").where(F.col(date) <= F.col(book))
+    h = written(names.join(rets, "ticker").where(F.col(date) <= F.col(book)), "book-history")  # read three times
     size = h.groupBy(book).agg(F.count_distinct("ticker").alias("n_names"))
     full = h.groupBy(book, date).agg(F.count("*").alias("c")).join(size, book).where("c = n_names").drop("c")
     dates = full.groupBy(book).agg(F.count("*").alias("n_dates")).where(F.col("n_dates") >= least)
     return h.join(full, [book, date]).join(dates, book)
 
 
+def single_factor_risk(hist: DataFrame, factor: DataFrame, book: str, weights: DataFrame | None = None, date: str = "month", shrink: float = 0.2, ppy: int = 12) -> DataFrame:
+    """C06 per book: the risk of its weighted names under one factor (``date``, ``f``), and the sample's risk shrunk towards it.
+
+    With Cov = beta beta' var(f) + diag(idio) the book's variance needs two sums over its names, (sum w beta)^2 var(f) +
+    sum w^2 idio, and no pair table; the sample variance of the book is that of its weighted return. Weights
+    (ticker, weight) are scaled to one in each book; without them names weigh the same."""
+    w = hist.withColumn("weight", F.lit(1.0)) if weights is None else hist.join(weights, "ticker")
+    j = w.join(F.broadcast(factor.select(date, "f")), date)  # one row per date of the calendar
+    name = j.groupBy(book, "ticker", "n_dates", "weight").agg(F.var_samp("f").alias("vf"), F.covar_samp("ret", "f").alias("c"), F.var_samp("ret").alias("v"))
+    beta = F.try_divide(F.col("c"), F.col("vf"))
+    name = name.select(book, "n_dates", "weight", "vf", beta.alias("beta"), F.greatest(F.lit(0.0), F.col("v") - F.coalesce(beta * F.col("c"), F.lit(0.0))).alias("idio"))
+    total = F.sum("weight")
+    model = name.groupBy(book, "n_dates").agg(F.count("*").alias("n_names"), (F.sum(F.col("weight") * F.col("beta")) / total).alias("beta"), F.max("vf").alias("vf"),
+                                              (F.sum(F.col("weight") * F.col("weight") * F.col("idio")) / (total * total)).alias("idio"))
+    series = j.groupBy(book, date).agg((F.sum(F.col("ret") * F.col("weight")) / total).alias("r")).groupBy(F.col(book).alias("_b")).agg(F.var_samp("r").alias("sample"))
+    d = model.join(series, F.col(book) == F.col("_b")).withColumn("factor", F.coalesce(F.col("beta") * F.col("beta") * F.col("vf"), F.lit(0.0)) + F.col("idio"))
+    vol = lambda x: F.sqrt(x * ppy)
+    return d.select(book, "n_dates", "n_names", "beta", vol(F.col("factor")).alias("factor_vol"), vol(F.col("sample")).alias("sample_vol"), vol((1 - shrink) * F.col("sample") + shrink * F.col("factor")).alias("shrunk_vol"))
+
+
 def correlation_edges(hist: DataFrame, book: str, threshold: float, date: str = "month") -> DataFrame:
     """Per book the pairs a < b with |corr| >= threshold; at most top_n^2 / 2 pairs a book."""
     l, r = hist.alias("l"), hist.alias("r")

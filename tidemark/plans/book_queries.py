@@ -303,6 +303,22 @@ def t25(spark, sf):
     return rnd(bk.portfolio_var(_histories(spark, sf), w, "book"))
 
 
+@query("c06_single_factor_risk", ctes=("prices", "mret", "holders", "bench"), sql=BOOK_SQL + """,
+mb AS (SELECT month, close / lag(close) OVER (ORDER BY month) - 1 AS f FROM (SELECT cast(date_trunc('month', date) as date) AS month, max_by(close, date) AS close FROM bench GROUP BY 1)),
+w AS (SELECT ticker, sum(spend) AS w FROM holders GROUP BY 1),
+j AS (SELECT cr.*, f, w FROM cr JOIN mb USING (month) JOIN w USING (ticker) WHERE f IS NOT NULL),
+nm2 AS (SELECT book, ticker, n_dates, w, var_samp(f) AS vf, covar_samp(ret, f) AS c, var_samp(ret) AS v FROM j GROUP BY ALL),
+md AS (SELECT book, n_dates, count(*) AS n_names, sum(w * c / vf) / sum(w) AS beta, max(vf) AS vf, sum(w * w * greatest(0, v - c * c / vf)) / (sum(w) * sum(w)) AS idio FROM nm2 GROUP BY 1, 2),
+sr AS (SELECT book, var_samp(r) AS s FROM (SELECT book, month, sum(ret * w) / sum(w) AS r FROM j GROUP BY 1, 2) GROUP BY 1)
+SELECT book, n_dates, n_names, round(beta, 6) AS beta, round(sqrt(12 * (beta * beta * vf + idio)), 6) AS factor_vol, round(sqrt(12 * s), 6) AS sample_vol, round(sqrt(12 * (0.8::DOUBLE * s + 0.2::DOUBLE * (beta * beta * vf + idio))), 6) AS shrunk_vol FROM md JOIN sr USING (book)""")
+def c06(spark, sf):
+    """Books weighted by their holders' spend, under the benchmark's monthly return."""
+    w = lens.holders(spark, sf).groupBy("ticker").agg(F.sum("spend").alias("weight"))
+    m = lens.monthly(lens.bench(spark, sf).withColumn("ticker", F.lit(0)))
+    f = m.select("month", (F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("month")) - 1).alias("f")).where("f is not null")  # one row per month
+    return rnd(bk.single_factor_risk(_histories(spark, sf), f, "book", w))
+
+
 @query("t24_g10_drawdown_alerts", ctes=("universe",), sql="""
 d AS (SELECT ticker, (100 - w52) / 100 AS dd, CASE WHEN cap_value >= 500e9 THEN 0.15 WHEN cap_value >= 100e9 THEN 0.20 WHEN cap_value >= 10e9 THEN 0.25 WHEN cap_value >= 2e9 THEN 0.30 ELSE 0.35 END::double AS vol FROM universe WHERE w52 < 100)
 SELECT ticker, round(dd * 100, 1) AS drawdown_pct, CASE WHEN dd > 2 * vol THEN 'CRITICAL' WHEN dd > 1.5::double * vol THEN 'WARNING' ELSE 'WATCH' END AS severity FROM d WHERE dd > vol""")

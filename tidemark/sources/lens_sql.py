@@ -108,11 +108,14 @@ def _order(names, seen):
 
 
 def with_clause(names, sql: str) -> str:
-    """Put the named lens CTEs (dependencies first) before ``sql``."""
+    """Put the named lens CTEs (dependencies first) before ``sql``; CTEs of its own may start with RECURSIVE."""
     body = sql.strip()
+    kind = "WITH "
+    if body.startswith("RECURSIVE "):
+        kind, body = "WITH RECURSIVE ", body.removeprefix("RECURSIVE ").strip()
     parts = [f"{n} AS ({CTES[n][1].strip()})" for n in _order(names, [])]
     starts_plain = body[:6].upper() == "SELECT"
     if not parts and starts_plain:
         return body
     sep = "\n" if starts_plain else (",\n" if parts else "")
-    return "WITH " + ",\n".join(parts) + sep + body
+    return kind + ",\n".join(parts) + sep + body
