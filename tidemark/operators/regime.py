@@ -14,6 +14,7 @@ FEATURE_WEIGHTS = {"vix_score": 0.30, "term_structure": 0.15, "spy_momentum": 0.
                    "spy_drawdown": 0.15, "vix_trend": 0.15}
 VIX_BANDS = [(13, 90.0), (16, 75.0), (20, 60.0), (25, 45.0), (30, 30.0), (40, 15.0)]
 REGIME_EXPOSURE = {"risk_on": 1.00, "neutral": 0.90, "risk_off": 0.65, "crisis": 0.40}
+FALLBACK = "neutral"
 POSITION_MULTIPLIER = {"risk_on": 1.00, "neutral": 1.00, "risk_off": 0.75, "crisis": 0.50}
 VIX_LEVELS = [(15, "low"), (25, "normal"), (35, "elevated")]
 

@@ -106,15 +106,15 @@ cas AS (SELECT *, CASE WHEN asset_type = 'bitcoin_proxy' AND NOT coalesce(beta >
 """
 
 
-def class_members(spark, sf):
+def class_members(universe):
     """Published members of the sector classes, and a ticker list that grows with the universe (a stand-in by key)."""
-    u = lens.universe(spark, sf).where("k % 97 = 5")
+    u = universe.where("k % 97 = 5")
     own = F.element_at(F.array(*map(F.lit, sr.CLASS_GATES)), (F.col("k") % 9 + 1).cast("int"))
-    return sr.members(spark).unionByName(u.select(F.lit("ticker").alias("scope"), F.col("ticker").alias("key"), own.alias("sector_class")))
+    return sr.members(u.sparkSession).unionByName(u.select(F.lit("ticker").alias("scope"), F.col("ticker").alias("key"), own.alias("sector_class")))
 
 
 def classified(spark, sf):
-    return ca.classify(typed(spark, sf), ca.threshold_table(spark), members=class_members(spark, sf))
+    return ca.classify(typed(spark, sf), ca.threshold_table(spark), members=class_members(lens.universe(spark, sf)))
 
 
 CLASS_GATE_NAMES = ("min_roe", "sell_roe", "max_debt_equity", "sell_debt_equity", "min_fcf_yield", "max_short_interest", "max_pe_vs_sector")
@@ -123,7 +123,7 @@ CLASS_GATE_NAMES = ("min_roe", "sell_roe", "max_debt_equity", "sell_debt_equity"
 @query("p10_sector_class_gates", ctes=U, sql=TYPED_SQL + " SELECT ticker, sector_class, pe_vs_sector, " + ", ".join(f"t_{g} AS {g}" for g in CLASS_GATE_NAMES) + " FROM gt")
 def p10(spark, sf):
     """Class by ticker, industry or sector, and the gates that may differ by class."""
-    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(spark, sf))
+    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(lens.universe(spark, sf)))
     return d.select("ticker", "sector_class", "pe_vs_sector", *[F.col(f"t_{g}").alias(g) for g in CLASS_GATE_NAMES])
 
 
@@ -133,7 +133,7 @@ SELECT ticker, concat_ws(',', CASE WHEN upside <= t_sell_upside THEN 'max_upside
  CASE WHEN am < t_sell_analyst_momentum THEN 'max_analyst_momentum' END, CASE WHEN pe_vs_sector > t_sell_pe_vs_sector THEN 'max_pe_vs_sector' END) AS triggers FROM gt""")
 def f04_regional(spark, sf):
     """The any-trigger rule with the gates of region, tier and sector class."""
-    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(spark, sf))
+    d = ca.with_gates(lens.universe(spark, sf), ca.threshold_table(spark), class_members(lens.universe(spark, sf)))
     return d.select("ticker", F.concat_ws(",", ca.sell_triggers()).alias("triggers"))
 
 

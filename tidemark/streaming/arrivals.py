@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import IntegerType
 
-from tidemark.operators.regime import REGIME_EXPOSURE
+from tidemark.operators.regime import FALLBACK, REGIME_EXPOSURE
 from tidemark.session import new_path
 from tidemark.streaming.jobs import EVENTS, rocksdb_state
 
-#: Entries of a regime history, days that confirm a regime, the regime before any is confirmed, days of a cooldown.
-HISTORY, CONFIRM_DAYS, FALLBACK, COOLDOWN_DAYS = 10, 2, "neutral", 28
+#: Entries of a regime history, days that confirm a regime, days of a cooldown.
+HISTORY, CONFIRM_DAYS, COOLDOWN_DAYS = 10, 2, 28
 
 
 def run(spark: SparkSession, arrivals: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "update", sinks: dict[str, Column] | None = None) -> dict[str, DataFrame]:
