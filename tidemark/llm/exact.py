@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE
+from tidemark.llm.common import SPACE, private
 from tidemark.session import written
 
 #: Distinct digests per shard of the index: 40 bytes each while a task works on it.
@@ -154,13 +154,14 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     shards = 1 + d.count() // SHARD_KEYS
     index = written(build_index(history.select("digest", "winner"), shards), "digest-index")
     members = probe(index, fresh, shards)
-    groups = (
+    groups = written(
         fresh.withColumnRenamed("winner", "own")
         .join(members, "digest")
         .select("digest", F.coalesce("winner", "own").alias("keep_id"), "n")
         .unionByName(history.select("digest", F.col("winner").alias("keep_id"), "n"))
         .groupBy("digest")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")),
+        "digest-groups",  # a table of its own: the join below can then split a digest that many rows have
     )
     again = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id"))
     return (
@@ -177,11 +178,12 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = written(decide(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")), "winners")
-    keyed = docs.withColumn("_digest", digest(F.col(text)))
-    kept = keyed.join(stay, (F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))) & (keyed["_digest"] == stay["_digest"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest") if _repeats(docs, doc_id) else kept.drop("_digest")
+    """The rows of ``docs`` that stay, with all their columns as they are."""
+    own, name, of = (private(x, docs) for x in ("_digest", "_id", "_of"))
+    stay = written(decide(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(name), F.unhex("text_sha256").alias(of)), "winners")
+    keyed = docs.withColumn(own, digest(F.col(text)))
+    kept = keyed.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(of)), "left_semi")
+    return kept.dropDuplicates([doc_id, own]).drop(own) if _repeats(docs, doc_id) else kept.drop(own)
 
 
 def _repeats(docs: DataFrame, doc_id: str) -> bool:
