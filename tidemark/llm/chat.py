@@ -95,13 +95,18 @@ def read_back(text: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row per conversation, derived from the examples: the turns from the longest one, the
-    loss from the targets of all."""
+    """One row per conversation, derived from the examples: the turns from the longest one, the loss from the targets of all,
+    and from every example's whole text (prompt, target, tail) its length and a digest of their digests in order."""
     whole = F.concat("prompt", "target", "tail")
     last = examples.filter("is_last").select("conv_id", whole.alias("text"))
     turns = last.select("conv_id", read_back(F.col("text")).alias("turns"), F.length("text").cast("long").alias("formatted_chars"))
-    loss = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "target"))).alias("t")).select(
-        F.col("conv_id").alias("_id"), unescape(F.concat_ws("", F.col("t.target"))).alias("loss")
+    each = examples.select("conv_id", "example", "target", F.length(whole).cast("long").alias("chars"), F.sha2(whole, 256).alias("sha"))
+    loss = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "target", "chars", "sha"))).alias("t")).select(
+        F.col("conv_id").alias("_id"),
+        unescape(F.concat_ws("", F.col("t.target"))).alias("loss"),
+        F.size("t").cast("long").alias("n_examples"),
+        F.aggregate("t.chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("examples_chars"),
+        F.sha2(F.concat_ws("", F.col("t.sha")), 256).alias("examples_sha256"),
     )
     return turns.join(loss, turns["conv_id"].eqNullSafe(loss["_id"])).select(
         "conv_id",
@@ -110,4 +115,7 @@ def digests(examples: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "n_examples",
+        "examples_chars",
+        "examples_sha256",
     )

@@ -32,13 +32,19 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
-)
+),
+f AS (SELECT *, '<|' || replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '|', '\\p') || '|>' || replace(replace(text, '\\', '\\b'), '<', '\\l') || '<|end|>' AS turn_text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+x AS (SELECT conv_id, i, n, role, string_agg(turn_text, '') OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS whole FROM f),
+e AS (SELECT conv_id, count(*) AS n_examples, sum(length(whole))::BIGINT AS examples_chars, sha256(string_agg(sha256(whole), '' ORDER BY i)) AS examples_sha256 FROM x WHERE role = 'assistant' OR i = n GROUP BY conv_id),
+t AS (
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(11 + length(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '|', '\\p')) + length(replace(replace(text, '\\', '\\b'), '<', '\\l')))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id)
+SELECT t.*, n_examples, examples_chars, examples_sha256 FROM t JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id
 """
 
 
