@@ -292,13 +292,12 @@ def test_perplexity(spark, monkeypatch):
     docs = [(i, t) for i, t in corpus(9, 60) if len(t or "") < 2500] + [(900, "ZZZ!!?? 中"), (901, None)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in docs if i < 50] + [(None, 1), (5000, 1), (7, 1)], "doc_id long, quality int")
     good = {i for i, _ in docs if i < 50 and i % 3 > 0} | {7}
-    want = kneser_ney([t for i, t in docs if i in good], docs)
+    want = kneser_ney([t for i, t in docs if i in good and zlib.crc32((t or '').encode()) % perplexity.HELD], docs)
     out = perplexity.classify(frame(spark, docs), labels).collect()
     assert len(out) == len(docs)
     for r in out:
         assert math.log2(r.perplexity) == pytest.approx(want[r.doc_id] / (r.n_chars + 1), rel=1e-4, abs=1e-5)
         assert r.trusted == (r.doc_id in good)
-    assert not next(r for r in out if r.doc_id == 900).kept
 
 
 def test_perplexity_without_trust_or_rows(spark):
@@ -322,7 +321,7 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in rules.apply_rules(d).filter("kept").collect()}
     left = [(i, t) for i, t in docs if i in kept]
     left = [(i, t) for i, t in left if brute.exact(left)[i][2]]
-    near = brute.near(left)
+    near = brute.near(left, share=corpus_pipeline.NEAR)
     left = [(i, t) for i, t in left if near[i][1] == i]
     first = {}
     for i, t in left:
@@ -346,3 +345,55 @@ def test_stages_on_an_empty_table_and_extra_columns(spark):
         out = stage(spark, d, "")
         assert out.columns == d.columns and out.count() == 0
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def clashing(spark):
+    """Filled rows whose columns have the names that operators use inside, and types that text cannot carry."""
+    r = random.Random(4)
+    text = lambda k: " ".join(f"the of {r.choice('mill river stone house'.split())} and {r.randint(0, 99)} to" for _ in range(k))
+    texts = [text(12) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[1], texts[2] + " more", None, "", "short"])] + [(None, text(14)), (3, text(15))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text"))
+    k = F.coalesce("doc_id", F.lit(70))
+    odd = {"n_words": F.concat(F.lit("w"), k), "kept": k.cast("double") / 3, "_f": k, "_facts": k, "_id": F.concat(F.lit("id"), k), "_digest": F.lit(b"x"), "_of": k, "_row": k, "tx": k, "fp": k, "carried": F.lit("c\nd"), "block": k, "shard": k,
+           "component_id": k, "with.dot": k, "at": F.timestamp_micros(k * 1_000_000 + 123456), "ntz": F.timestamp_micros(k * 1_000_007).cast("timestamp_ntz"), "day": F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")),
+           "by_number": F.create_map(k.cast("int"), F.lit("v")), "raw": F.unhex(F.lit("00ff80")), "price": k.cast("decimal(20,4)"), "nested": F.array(F.struct(k.alias("a"), F.lit(None).cast("string").alias("b"))), "nothing": F.lit(None).cast("int")}
+    return d.withColumns(odd).repartition(3)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]], ids=lambda s: s.__name__)
+def test_stages_keep_the_columns_they_are_given(spark, stage):
+    d = clashing(spark)
+    out = stage(spark, d, "")
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in d.schema]
+    changed = {"text", "n_chars"} if stage is corpus_pipeline.suffix_dedup else set()
+    keep = [c for c in d.columns if c not in changed]
+    key = lambda row: str([row[c] for c in keep])
+    given, got = Counter(map(key, d.collect())), Counter(map(key, out.collect()))
+    assert got and not got - given
+    if changed:
+        assert got == given
+        assert all((r.n_chars or 0) == len(r.text or "") for r in out.collect())
+        assert sum(r.text is None for r in out.collect()) == 1
+
+
+def test_perplexity_limit_is_the_held_out_quantile(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(perplexity, "SALT_BLOCKS", 2)  # several copies of the model
+    r = random.Random(8)
+    words = {"en": "the river stone was brought from over many old houses".split(), "de": "der alte fluss und die vielen steine im haus".split()}
+    docs = [(i, " ".join(r.choices(words[lang], k=r.randint(5, 60))) + ("" if i % 9 else " qx zz##"), lang) for i, lang in enumerate(["en", "de"] * 120)] + [(900, "zq " * 30, "en"), (901, "der alte fluss", None)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 1)) for i in range(200)], "doc_id long, quality int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trusted = {i for i in range(200) if i % 4 != 1}
+    held = {i for i, t, _ in docs if zlib.crc32(t.encode()) % perplexity.HELD == 0}
+    loss = kneser_ney([t for i, t, _ in docs if i in trusted - held], [(i, t) for i, t, _ in docs])
+    milli = {i: math.floor(loss[i] / (len(t) + 1) * 1000 + 0.5) for i, t, _ in docs}
+    limit = {}
+    for lang in ("en", "de", None):
+        own = sorted(milli[i] for i, _, x in docs if i in trusted & held and lang in (x, None))
+        limit[lang] = own[math.ceil(len(own) * perplexity.HIGH) - 1]
+    out = {x.doc_id: x for x in perplexity.classify(d, labels).collect()}
+    near = {i for i, _, x in docs if abs(milli[i] - limit[x]) <= 1}  # a rounding apart
+    assert {i for i, _, x in docs if milli[i] <= limit[x]} - near == {i for i, x in out.items() if x.kept} - near
+    assert not out[900].kept and len(near) < 20

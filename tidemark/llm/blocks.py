@@ -92,31 +92,25 @@ class Block:
         self._carried = row["carried"]
 
     @property
-    def carried(self) -> list[str]:
-        """What came along with each document (a JSON text)."""
-        return unsqueeze(self._carried).decode().split("\n")
+    def carried(self) -> pa.Array:
+        """What came along with each document."""
+        return pa.ipc.open_stream(unsqueeze(self._carried)).read_all().column(0).combine_chunks()
 
 
-def other_columns(docs: DataFrame, *but: str) -> Column:
-    """All other columns as one JSON text, to be carried along and read back by ``read_columns``."""
-    names = [c for c in docs.columns if c not in but]
-    return F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
-
-
-def read_columns(docs: DataFrame, carried: str, *but: str) -> list[Column]:
-    """The columns of ``docs`` that were carried, with their types."""
-    fields = [f for f in docs.schema.fields if f.name not in but]
-    if not fields:
-        return []
-    all_of = F.from_json(F.col(carried), StructType(fields))
-    return [all_of[f.name].alias(f.name) for f in fields]
+def arrow_bytes(values: pa.Array) -> bytes:
+    """Values of any type, without loss."""
+    out = pa.BufferOutputStream()
+    batch = pa.record_batch([values], names=["carried"])
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return squeeze(out.getvalue().to_pybytes())
 
 
 def make_blocks(docs: DataFrame, doc_id: str, text: str, most_bytes: int, ordered_parts: int = 0, carry: Column | None = None) -> DataFrame:
     """Pack documents into blocks of about ``most_bytes`` (one document is never split). With
     ``ordered_parts``, documents are first dealt into that many ranges of ids: then blocks have
     disjoint, rising id ranges, rows of one id share a block, and a block's number is its first id.
-    ``carry`` is a text without line feeds that goes along with each document."""
+    ``carry`` goes along with each document, whatever its type (it travels as Arrow data)."""
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit("") if carry is None else carry).alias("carry"))
     if ordered_parts:
         d = d.repartitionByRange(ordered_parts, "id").sortWithinPartitions("id")
@@ -125,20 +119,23 @@ def make_blocks(docs: DataFrame, doc_id: str, text: str, most_bytes: int, ordere
         ids, texts, along, size, n = [], [], [], 0, TaskContext.get().partitionId() << 24
 
         def row() -> pa.RecordBatch:
+            whole = pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in along])
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<i8")
             number = ids[0] if ordered_parts else n
-            out = {"block": [number], "ids": [np.array(ids, "<i8").tobytes()], "offsets": [off.tobytes()], "data": [squeeze(b"".join(texts))], "carried": [squeeze("\n".join(along).encode())]}
+            out = {"block": [number], "ids": [np.array(ids, "<i8").tobytes()], "offsets": [off.tobytes()], "data": [squeeze(b"".join(texts))], "carried": [arrow_bytes(whole)]}
             return pa.RecordBatch.from_pydict(out, schema=schema)
 
         for batch in batches:
-            for i, t, c in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+            first, carried = 0, batch.column(2)  # rows of this batch from ``first`` on belong to the open block
+            for at, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()))):
                 if size >= most_bytes and not (ordered_parts and i == ids[-1]):
+                    along.append(carried.slice(first, at - first))
                     yield row()
-                    ids, texts, along, size, n = [], [], [], 0, n + 1
+                    ids, texts, along, size, n, first = [], [], [], 0, n + 1, at
                 ids.append(i)
-                along.append(c)
                 texts.append(t.as_py())
                 size += len(texts[-1])
+            along.append(carried.slice(first))
         if ids:
             yield row()
 
@@ -223,7 +220,7 @@ def unpack_wide(b: bytes) -> np.ndarray:
     return np.frombuffer(unsqueeze(b), "<u8").reshape(-1, 2)
 
 
-def each_block(blocks: DataFrame, work: Callable[[Block], pa.Table], schema: str) -> DataFrame:
+def each_block(blocks: DataFrame, work: Callable[[Block], pa.Table], schema: str | StructType) -> DataFrame:
     """``work`` on each block; rows are small in number (one per block), so they go one by one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,22 +233,22 @@ def each_block(blocks: DataFrame, work: Callable[[Block], pa.Table], schema: str
     return blocks.mapInArrow(task, schema)
 
 
-def each_answered(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, list[dict]], pa.Table], schema: str) -> DataFrame:
+def each_answered(blocks: DataFrame, answers: DataFrame, work: Callable[[Block, list[dict]], pa.Table], schema: str | StructType) -> DataFrame:
     """``work`` on each block together with its answers (all rounds so far)."""
 
     def task(b: pa.Table, a: pa.Table) -> pa.Table:
         found = a.to_pylist()
         outs = [work(Block(r), found) for r in b.to_pylist()]
-        return pa.concat_tables(outs) if outs else EMPTY[schema]
+        return pa.concat_tables(outs) if outs else none
 
-    EMPTY = {schema: pa.Table.from_batches([], schema=to_arrow(schema))}
+    none = pa.Table.from_batches([], schema=to_arrow(schema))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(task, schema)
 
 
-def to_arrow(ddl: str) -> pa.Schema:
+def to_arrow(schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def ask_repeated(runs: DataFrame, wide: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality by language model: interpolated modified Kneser-Ney over character n-grams.
 
-The model is counted on the whole texts of all trusted documents (label ``quality`` 1). Every text is
-read as ``ORDER - 1`` start marks, its characters, and an end mark. With c the count of a gram (at
+The model is counted on the whole texts of trusted documents (label ``quality`` 1); one of ``HELD`` of them, by a
+checksum of the text, so that copies stay together, is held out of the counts. Every text is read as ``ORDER - 1`` start marks, its characters, and an end mark. With c the count of a gram (at
 the highest order) or the number of characters seen before it (below), and three discounts D per
 order from the numbers of grams seen once to four times,
 
@@ -13,10 +13,13 @@ hash; a block of documents sends each shard its distinct grams (packed), and get
 back: a count join that moves each gram once per block and no text. Perplexity is two to the mean
 of -log2 P over the characters and the end mark.
 
-A document is kept if its perplexity is at most the limit of its language: the median of the trusted
-documents' log2 perplexity there plus ``REACH`` times the distance from the median up to the ``HIGH``
-quantile. Quantiles are exact over log2 perplexities rounded to 1/1000. Languages without trusted
-documents take the limit over all trusted ones; without any trusted text all are kept.
+A document is kept if its perplexity is at most the limit of its language: the ``HIGH`` quantile of the
+held-out trusted documents there, which the model has not seen, just like the documents it judges. Quantiles are
+exact over log2 perplexities rounded to 1/1000. Languages without held-out documents take the
+limit over all held-out ones; without any all are kept.
+
+A shard of the model meets runs of all blocks; beyond ``SALT_BLOCKS`` blocks each shard is copied once per as many
+blocks, so a task's share stays the same while the corpus grows.
 
 Defined results: NULL and empty texts are scored by their end mark; NULL ids stay NULL (and cannot be
 trusted); a NULL language is a language of its own; rows that share an id are scored each; an empty
@@ -25,6 +28,8 @@ table gives an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,12 +43,14 @@ ORDER = 4
 BLOCK_BYTES = 4 << 20
 #: Grams per shard of the model.
 SHARD_GRAMS = 50_000
-HIGH, REACH = 0.9, 8.0
+HIGH, HELD = 0.99, 4
+#: Blocks that one copy of a shard answers.
+SALT_BLOCKS = 4096
 #: No discount is smaller, so that every context leaves something for what it has not seen.
 LEAST = 0.05
 START, STOP = 2, 3  # control characters that stand for the marks
 
-SCORES = "doc_id long, n_chars long, log2_loss double, carried string"
+SCORES = "doc_id long, n_chars long, log2_loss double, held boolean, carried string"
 
 
 class _Chars:
@@ -119,6 +126,12 @@ def _by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return list(zip(used.tolist(), np.split(u[order], at[1:])))
 
 
+def held_out(b: bl.Block) -> np.ndarray:
+    """Which documents of a block are never counted, should they be trusted."""
+    raw, off = b.data.tobytes(), b.offsets.tolist()
+    return np.array([zlib.crc32(raw[s:e]) % HELD == 0 for s, e in zip(off, off[1:])], bool)
+
+
 def _trusted_places(table: DataFrame, trusted: DataFrame) -> DataFrame:
     """``block, place``: which documents of each block are trusted."""
 
@@ -130,14 +143,16 @@ def _trusted_places(table: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def count_grams(table: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``gram, c``: all grams of the highest order in trusted documents, counted per block first."""
+    """``gram, c``: all grams of the highest order in trusted documents that are not held out, counted per block first."""
 
     def count(b: pa.Table, t: pa.Table) -> pa.Table:
         grams, counts = [], []
         for row in b.to_pylist():
-            x = _Chars(bl.Block(row))
+            b = bl.Block(row)
+            x = _Chars(b)
             own = np.zeros(len(x.n), bool)
             own[t["place"].to_numpy()] = True
+            own &= ~held_out(b)
             at = np.flatnonzero(x.real & own[x.doc])
             *_, (_, number, h, place) = x.grams()
             n = np.bincount(number[at], minlength=len(h))
@@ -214,12 +229,15 @@ def sharded(grams: DataFrame, shards: int) -> DataFrame:
     return grams.mapInArrow(task, "shard int, h long, p double, gamma double")
 
 
-def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float) -> DataFrame:
-    """``doc_id, n_chars, log2_loss`` of every document."""
+def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float, salts: int = 1) -> DataFrame:
+    """``doc_id, n_chars, log2_loss, held, carried`` of every document. ``salts``: copies of each shard."""
+    if salts > 1:
+        keyed = keyed.withColumn("shard", F.explode(F.sequence(F.col("shard"), F.col("shard") + shards * (salts - 1), F.lit(shards))))
 
     def send(b: bl.Block) -> pa.Table:
         runs = _by_shard(np.concatenate([h for _, _, h, _ in _Chars(b).grams()]), shards)
-        return pa.table({"shard": pa.array([s for s, _ in runs], pa.int32()), "block": pa.array([b.block] * len(runs), pa.int64()), "run": pa.array([_pack(v) for _, v in runs], pa.binary())})
+        copy = shards * (zlib.crc32(str(b.block).encode()) % salts)
+        return pa.table({"shard": pa.array([s + copy for s, _ in runs], pa.int32()), "block": pa.array([b.block] * len(runs), pa.int64()), "run": pa.array([_pack(v) for _, v in runs], pa.binary())})
 
     def answer(m: pa.Table, t: pa.Table) -> pa.Table:
         h, p, g = m["h"].to_numpy().view(np.uint64), m["p"].to_numpy(), m["gamma"].to_numpy()
@@ -239,7 +257,7 @@ def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float) -> Dat
 
     def finish(b: bl.Block, rows: list[dict]) -> pa.Table:
         x = _Chars(b)
-        got = {r["shard"]: np.frombuffer(bl.unsqueeze(r["run"]), "<f4").reshape(2, -1) for r in rows}
+        got = {r["shard"] % shards: np.frombuffer(bl.unsqueeze(r["run"]), "<f4").reshape(2, -1) for r in rows}
         orders = list(x.grams())
         runs = _by_shard(np.concatenate([o[2] for o in orders]), shards)
         h = np.concatenate([v for _, v in runs])
@@ -257,7 +275,7 @@ def score(table: DataFrame, keyed: DataFrame, shards: int, unseen: float) -> Dat
             loss = np.where(np.isnan(here), loss, here)
         total = np.bincount(x.doc[x.real], weights=-loss[x.real], minlength=len(x.n))
         ids = pa.array(b.ids, mask=b.ids == bl.LAST)
-        return pa.table({"doc_id": ids, "n_chars": x.n.astype(np.int64), "log2_loss": total, "carried": b.carried})
+        return pa.table({"doc_id": ids, "n_chars": x.n.astype(np.int64), "log2_loss": total, "held": held_out(b), "carried": b.carried})
 
     return bl.each_answered(table, answers, finish, SCORES)
 
@@ -274,28 +292,21 @@ def quantile(rows: DataFrame, by: str | None, value: str, q: float, name: str) -
 
 def limits(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The highest log2 perplexity, in thousandths, that is kept: per language, and over all."""
-    t = scored.filter("trusted").select("lang", F.lit(0).alias("one"), "milli")
-    both = []
-    for by in ("lang", "one"):
-        parts = [quantile(t, by, "milli", q, n) for q, n in ((0.5, "mid"), (HIGH, "high"))]
-        mid, high = parts
-        joined = mid.join(high.withColumnRenamed(by, "_k"), F.col(by).eqNullSafe(F.col("_k")))
-        both.append(joined.select(by, (F.col("mid") + REACH * (F.col("high") - F.col("mid"))).alias("limit")))
-    return both[0], both[1]
+    t = scored.filter("trusted and held").select("lang", F.lit(0).alias("one"), "milli")
+    return quantile(t, "lang", "milli", HIGH, "limit"), quantile(t, "one", "milli", HIGH, "limit")
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: ``doc_id, lang, n_chars, perplexity, trusted, kept``."""
     size = bl.text_bytes(docs, text)
     parts = max(1, min(size // (2 * BLOCK_BYTES), 100_000))
-    table = bl.bucketed(bl.make_blocks(docs, doc_id, text, BLOCK_BYTES, carry=F.to_json(F.struct(F.col(lang).alias("lang")))), parts, "chars")
+    table = bl.bucketed(bl.make_blocks(docs, doc_id, text, BLOCK_BYTES, carry=F.col(lang).cast("string")), parts, "chars")
     trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL")
     top = written(count_grams(table, trusted), "grams")
     grams, unseen = model(top)
     grams = written(grams, "model")
     shards = 1 + grams.count() // SHARD_GRAMS
-    lang_of = F.from_json("carried", "lang string")["lang"].alias("lang")
-    plain = score(table, sharded(grams, shards), shards, unseen).select("doc_id", lang_of, "n_chars", (F.col("log2_loss") / (F.col("n_chars") + 1)).alias("rate"))
+    plain = score(table, sharded(grams, shards), shards, unseen, 1 + size // (BLOCK_BYTES * SALT_BLOCKS)).select("doc_id", F.col("carried").alias("lang"), "n_chars", "held", (F.col("log2_loss") / (F.col("n_chars") + 1)).alias("rate"))
     known = trusted.distinct().select(F.col("id").alias("doc_id"), F.lit(True).alias("trusted"))
     scored = plain.join(known, "doc_id", "left").withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "milli": F.round(F.col("rate") * 1000).cast("long")})
     scored = written(scored, "scores")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words
+from tidemark.llm.common import let, private, words
 
 WINDOW = 8
 
@@ -119,18 +119,19 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 
     # exploded from an array of one: a later filter on a measure then reads the value, and is not pushed
     # below it, where the optimizer would repeat the whole computation for each measure it names
-    f = docs.withColumn("_f", F.explode(F.array(let(words(t), lambda w: let(lines(t), lambda ln: facts(w, ln))))))
+    own = private("_facts", docs)
+    f = docs.withColumn(own, F.explode(F.array(let(words(t), lambda w: let(lines(t), lambda ln: facts(w, ln))))))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     return f.withColumns(
         {
-            **{k: F.col(f"_f.{k}") for k in ("n_words", "word_chars", "n_dup_lines", "n_lines", "n_long_words", "n_stop")},
-            **{k: F.col(f"_f.h.{k}") for k in ("n_repeat_words", "n_twice")},
+            **{k: F.col(f"{own}.{k}") for k in ("n_words", "word_chars", "n_dup_lines", "n_lines", "n_long_words", "n_stop")},
+            **{k: F.col(f"{own}.h.{k}") for k in ("n_repeat_words", "n_twice")},
             "n_symbols": count(r"[#*$%&|<>]"),
             "n_upper": count(r"\p{Lu}"),
             "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
             "n_shouts": count(r"!!"),
         }
-    ).drop("_f")
+    ).drop(own)
 
 
 def passes(rule: Rule) -> Column:

@@ -25,6 +25,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import blocks as bl
 from tidemark.session import written
@@ -36,7 +38,7 @@ SHARD_BYTES = 4 << 20
 #: Batches that a shard's family takes.
 BATCHES = 16
 
-RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string, carried string"
+RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string"
 
 
 class Family:
@@ -236,7 +238,9 @@ def _local(b: bl.Block, starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, carry=None) -> DataFrame:
     """One row per document: bytes, removed bytes, removed spans (in bytes), SHA-256 of the
-    remaining bytes and, ``with_text``, the remaining text; ``carry`` comes along as ``carried``."""
+    remaining bytes and, ``with_text``, the remaining text; ``carry`` comes along as ``carried``, as it is."""
+    carry = F.lit(None).cast("string") if carry is None else carry
+    carried = docs.select(carry.alias("carried")).schema
     size = bl.text_bytes(docs, text)
     shards = max(1, size // SHARD_BYTES)
     parts = max(1, min(size // (2 * BLOCK_BYTES), 100_000))
@@ -282,7 +286,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = at[_local(b, at, _rank(b.ids)[c.doc[near]][k])]
         mark(at, at + LENGTH)
         gone = np.cumsum(cover[:-1]) > 0
-        out, off, along = [], b.offsets.tolist(), b.carried
+        out, off = [], b.offsets.tolist()
         for i, (s, e) in enumerate(zip(off, off[1:])):
             g = gone[s:e]
             edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
@@ -296,10 +300,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     "spans": [{"start": int(x), "length": int(y - x)} for x, y in zip(edge[::2], edge[1::2])],
                     "kept_sha256": hashlib.sha256(kept).hexdigest(),
                     "kept_text": kept.decode(errors="ignore") if with_text else None,
-                    "carried": along[i],
                 }
             )
-        return pa.Table.from_pylist(out, schema=schema)
+        return pa.Table.from_pylist(out, schema=own).append_column(last, b.carried.cast(last.type))
 
-    schema = bl.to_arrow(RESULT)
-    return bl.each_answered(table, both, cut, RESULT)
+    result = StructType([*StructType.fromDDL(RESULT).fields, *carried.fields])
+    own, last = bl.to_arrow(RESULT), bl.to_arrow(result).field("carried")
+    return bl.each_answered(table, both, cut, result)
