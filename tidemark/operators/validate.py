@@ -6,12 +6,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
 from tidemark.functions import tails
 from tidemark.operators.ranks import spearman, value_counts, with_group
+from tidemark.session import written
 
 
 def ic_by_date(panel: DataFrame, signal: str, forward: str, date: str = "date") -> DataFrame:
@@ -89,16 +93,49 @@ def residuals(rows: DataFrame, keys: list[str], y: str, xs: list[str], out: str
     return j.withColumn(out, F.col(y) - pred).drop("coef", *[f"_k_{k}" for k in keys])
 
 
-def incremental_ic(panel: DataFrame, signal: str, incumbents: list[str], forward: str, date: str = "date") -> DataFrame:
-    """V03 per date: raw and incremental rank correlation (after removing the incumbents)."""
+def incremental_ic(panel: DataFrame, signal: str, incumbents: list[str], forward: str, date: str | list[str] = "date") -> DataFrame:
+    """V03 per date (or per group of several keys): raw and incremental rank correlation (after removing the incumbents)."""
+    keys = [date] if isinstance(date, str) else date
     cols = [signal, *incumbents, forward]
-    p = panel.where(" and ".join(f"{c} is not null" for c in cols)).select(date, *cols)
-    r = residuals(p, [date], signal, incumbents).where(F.col("_n") >= max(3, len(incumbents) + 2))
-    raw = spearman(r, [date], signal, forward).where("rho is not null").select(date, F.col("rho").alias("raw_ic"))
-    inc = spearman(r, [date], "resid", forward).select(date, F.col("rho").alias("rho"))
-    sc = r.groupBy(date).agg((F.stddev_pop("resid") < 1e-8 * (F.stddev_pop(signal) + 1e-12)).alias("spanned"))
-    return (raw.join(inc, date).join(sc, date)
-            .select(date, "raw_ic", F.when(F.col("spanned"), 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("incr_ic")))
+    p = panel.where(" and ".join(f"{c} is not null" for c in cols)).select(*keys, *cols)
+    r = written(residuals(p, keys, signal, incumbents).where(F.col("_n") >= max(3, len(incumbents) + 2)), "residuals")
+    raw = spearman(r, keys, signal, forward).where("rho is not null").select(*keys, F.col("rho").alias("raw_ic"))
+    inc = spearman(r, keys, "resid", forward).select(*keys, F.col("rho").alias("rho"))
+    sc = r.groupBy(*keys).agg((F.stddev_pop("resid") < 1e-8 * (F.stddev_pop(signal) + 1e-12)).alias("spanned"))
+    return (raw.join(inc, keys).join(sc, keys)
+            .select(*keys, "raw_ic", F.when(F.col("spanned"), 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("incr_ic")))
+
+
+def correlations(rows: DataFrame, group: str, vector: str, width: int) -> DataFrame:
+    """(group, a, b, n, r) for all pairs a < b of a vector's places (from 1), over the rows that have both. A task adds up matrices of sums,
+    one set per group it meets, so what is shuffled does not grow with the rows; NULL vectors are left out. A flat side gives NULL."""
+    kind = dict(rows.dtypes)[group]
+    out = f"{group} {kind}, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+    first, second = np.triu_indices(width, 1)
+
+    def task(batches):
+        sums: dict = {}
+        for t in batches:
+            whole = t.filter(pc.is_valid(t.column(1)))
+            x = np.array(whole.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+            keys = np.array(whole.column(0).to_pylist(), object)
+            for k in dict.fromkeys(keys.tolist()):
+                own = x[keys == k]
+                m = ~np.isnan(own)
+                v = np.where(m, own, 0.0)
+                part = [m.T.astype(float) @ m, v.T @ m, (v * v).T @ m, v.T @ v]
+                sums[k] = part if k not in sums else [a + b for a, b in zip(sums[k], part)]
+        for k, (n, s, ss, sab) in sums.items():
+            cols = [n[first, second], s[first, second], s[second, first], ss[first, second], ss[second, first], sab[first, second]]
+            key = pa.array([k] * len(first), keytype)
+            yield pa.RecordBatch.from_arrays([key, pa.array(first + 1, pa.int32()), pa.array(second + 1, pa.int32()), *map(pa.array, cols)], names=names)
+
+    names, keytype = [c.split()[0] for c in out.split(", ")], to_arrow_type(rows.schema[group].dataType)
+    total = rows.select(group, vector).mapInArrow(task, out).groupBy(group, "a", "b").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    va, vb = (F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.col("n") for x in "ab")
+    flat = (va <= 1e-12 * F.col("saa")) | (vb <= 1e-12 * F.col("sbb"))
+    r = F.when(~flat, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va * vb))
+    return total.select(group, "a", "b", F.col("n").cast("long").alias("n"), r.alias("r"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, alpha: float = 0.05, keys: list[str] | None = None, stop_at_first: bool = False) -> DataFrame:

@@ -247,13 +247,11 @@ def clamped(spark, sf):
 
 
 @query("j13_regional_alpha", ctes=("fwd_dims", "bench", "regional_bench", "dims"), sql="""
-rb AS (SELECT *, row_number() OVER (PARTITION BY regionkey ORDER BY date) AS n FROM regional_bench)
+fw AS MATERIALIZED (SELECT ticker, date, alpha, ret FROM fwd_dims WHERE horizon = 30),
+rb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY regionkey ORDER BY date) AS n FROM regional_bench),
+b AS MATERIALIZED (SELECT q.regionkey, q.date AS d0, r.close, r.n FROM (SELECT DISTINCT d.regionkey, f.date FROM fw f JOIN dims d USING (ticker)) q ASOF JOIN rb r ON q.regionkey = r.regionkey AND q.date <= r.date)
 SELECT f.ticker, f.date, round(f.alpha, 6) AS alpha, round(f.ret - (e.close - b.close) / b.close * 100, 6) AS regional_alpha
-FROM fwd_dims f JOIN dims d ON d.ticker = f.ticker
-LEFT JOIN (SELECT q.regionkey, q.date AS d0, r.close, r.n FROM (SELECT DISTINCT d.regionkey, f.date FROM fwd f JOIN dims d USING (ticker)) q
-   ASOF JOIN rb r ON q.regionkey = r.regionkey AND q.date <= r.date) b ON b.regionkey = d.regionkey AND b.d0 = f.date
-LEFT JOIN rb e ON e.regionkey = b.regionkey AND e.n = b.n + 30
-WHERE f.horizon = 30""")
+FROM fw f JOIN dims d ON d.ticker = f.ticker LEFT JOIN b ON b.regionkey = d.regionkey AND b.d0 = f.date LEFT JOIN rb e ON e.regionkey = b.regionkey AND e.n = b.n + 30""")
 def regional_alpha(spark, sf):
     f = fwd(spark, sf, [30]).join(lens.dims(spark, sf), "ticker")
     rb = ts.with_future_bars(lens.regional_bench(spark, sf), [30], key="regionkey")

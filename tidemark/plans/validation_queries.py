@@ -32,17 +32,30 @@ P_SQL = "p AS (SELECT date, name, " + ", ".join(f"embedding[{i}]::double AS f{i}
 PCT = "quantile_cont({c}, {q}) OVER (PARTITION BY date)"
 
 
-@query("t06_winsorise", ctes=PANEL, sql=P_SQL + f"""
-SELECT date, name, round(greatest(least(f1, {PCT.format(c='f1', q=0.99)}), {PCT.format(c='f1', q=0.01)}), 6) AS f1 FROM p""")
+#: All factors of the panel, one row each; the last number of an embedding is the outcome.
+FACTORS = 63
+LONG_SQL = f"l AS (SELECT date, name, k AS factor, embedding[k]::double AS x, embedding[{FACTORS + 1}]::double AS fwd FROM panel, range(1, {FACTORS + 1}) r(k))"
+LONG_PCT = "quantile_cont(x, {q}) OVER (PARTITION BY date, factor)"
+
+
+def long_panel(spark, sf):
+    """(date, name, factor, x, fwd) of all factors."""
+    p = lens.panel(spark, sf)
+    e = F.posexplode(F.slice("embedding", 1, FACTORS)).alias("i", "x")
+    return p.select("date", "name", F.col("embedding")[FACTORS].cast("double").alias("fwd"), e).select("date", "name", (F.col("i") + 1).cast("long").alias("factor"), F.col("x").cast("double").alias("x"), "fwd")
+
+
+@query("t06_winsorise", ctes=PANEL, sql=LONG_SQL + f"""
+SELECT date, name, factor, round(greatest(least(x, {LONG_PCT.format(q=0.99)}), {LONG_PCT.format(q=0.01)}), 6) AS x FROM l""")
 def winsor(spark, sf):
-    return winsorised(fpanel(spark, sf), ["date"], "f1").select("date", "name", r6("f1"))
+    return winsorised(written(long_panel(spark, sf), "panel"), ["date", "factor"], "x").select("date", "name", "factor", r6("x"))
 
 
-@query("t07_zscore", ctes=PANEL, sql=P_SQL + f""",
-w AS (SELECT date, name, greatest(least(f1, {PCT.format(c='f1', q=0.99)}), {PCT.format(c='f1', q=0.01)}) AS x FROM p)
-SELECT date, name, round((x - avg(x) OVER (PARTITION BY date)) / stddev_pop(x) OVER (PARTITION BY date), 6) AS z FROM w""")
+@query("t07_zscore", ctes=PANEL, sql=LONG_SQL + f""",
+w AS (SELECT date, name, factor, greatest(least(x, {LONG_PCT.format(q=0.99)}), {LONG_PCT.format(q=0.01)}) AS x FROM l)
+SELECT date, name, factor, round((x - avg(x) OVER (PARTITION BY date, factor)) / stddev_pop(x) OVER (PARTITION BY date, factor), 6) AS z FROM w""")
 def zs(spark, sf):
-    return zscored(fpanel(spark, sf), ["date"], "f1", "z").select("date", "name", r6("z"))
+    return zscored(written(long_panel(spark, sf), "panel"), ["date", "factor"], "x", "z").select("date", "name", "factor", r6("z"))
 
 
 @query("t08_zscore_universe_clamped", ctes=("universe",), sql="""
@@ -198,14 +211,19 @@ def v02(spark, sf):
     return g.select(r6("mean_ic"), r6("ic_std"), r6("t_stat"), r6("hit_rate"), "n_dates")
 
 
-@query("v03_incremental_ic", ctes=PANEL, sql=P_SQL + """,
-m AS (SELECT date, covar_pop(f1, f2) AS y1, covar_pop(f1, f3) AS y2, var_pop(f2) AS v1, var_pop(f3) AS v2, covar_pop(f2, f3) AS v12, avg(f1) AS my, avg(f2) AS m1, avg(f3) AS m2 FROM p GROUP BY 1),
+@query("v03_incremental_ic", ctes=PANEL, sql=f"""
+p AS (SELECT date, k AS factor, embedding[k]::double AS f1, embedding[k % {FACTORS} + 1]::double AS f2, embedding[(k + 1) % {FACTORS} + 1]::double AS f3, embedding[{FACTORS + 1}]::double AS fwd FROM panel, range(1, {FACTORS + 1}) r(k)),
+m AS (SELECT date, factor, covar_pop(f1, f2) AS y1, covar_pop(f1, f3) AS y2, var_pop(f2) AS v1, var_pop(f3) AS v2, covar_pop(f2, f3) AS v12, avg(f1) AS my, avg(f2) AS m1, avg(f3) AS m2 FROM p GROUP BY 1, 2),
 b AS (SELECT *, (y1 * v2 - y2 * v12) / (v1 * v2 - v12 * v12) AS b1, (y2 * v1 - y1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM m),
-e AS (SELECT p.date, f1, fwd, f1 - my - b1 * (f2 - m1) - b2 * (f3 - m2) AS resid FROM p JOIN b ON b.date = p.date),
-r AS (SELECT date, """ + ", ".join(f"{RK.format(k='date', c=c)} AS r_{c}" for c in ("f1", "fwd", "resid")) + """ FROM e)
-SELECT date, round(corr(r_f1, r_fwd), 6) AS raw_ic, round(corr(r_resid, r_fwd), 6) AS incr_ic FROM r GROUP BY 1""")
+e AS (SELECT p.date, p.factor, f1, fwd, f1 - my - b1 * (f2 - m1) - b2 * (f3 - m2) AS resid FROM p JOIN b ON b.date = p.date AND b.factor = p.factor),
+r AS (SELECT date, factor, """ + ", ".join(f"{RK.format(k='date, factor', c=c)} AS r_{c}" for c in ("f1", "fwd", "resid")) + """ FROM e)
+SELECT date, factor, round(corr(r_f1, r_fwd), 6) AS raw_ic, round(corr(r_resid, r_fwd), 6) AS incr_ic FROM r GROUP BY 1, 2""")
 def v03(spark, sf):
-    return va.incremental_ic(fpanel(spark, sf), "f1", ["f2", "f3"], "fwd").select("date", r6("raw_ic"), r6("incr_ic"))
+    """Every factor against the two that follow it (the last ones against the first): one pass keyed by date and factor."""
+    at = lambda i: F.col("embedding")[i % FACTORS].cast("double")
+    rows = F.explode(F.array(*[F.struct(F.lit(i + 1).cast("long").alias("factor"), at(i).alias("f1"), at(i + 1).alias("f2"), at(i + 2).alias("f3")) for i in range(FACTORS)]))
+    p = lens.panel(spark, sf).select("date", F.col("embedding")[FACTORS].cast("double").alias("fwd"), rows.alias("r")).select("date", "fwd", "r.*")
+    return va.incremental_ic(written(p, "panel"), "f1", ["f2", "f3"], "fwd", ["date", "factor"]).select("date", "factor", r6("raw_ic"), r6("incr_ic"))
 
 
 @query("v04_ic_decay", ctes=REV, sql="""
@@ -489,27 +507,26 @@ def v18(spark, sf):
     return p.select(F.col("split").cast("long").alias("split"), "best", r6("omega"), "overfit", "n_configs")
 
 
-@query("v22_factor_redundancy", ctes=PANEL, sql=P_SQL + """,
-c AS (""" + " UNION ALL ".join(f"SELECT date, 'f{a}' AS a, 'f{b}' AS b, corr(f{a}, f{b}) AS r FROM p GROUP BY date" for a in range(1, 5) for b in range(a + 1, 5)) + """)
+@query("v22_factor_redundancy", ctes=PANEL, sql=f"""
+c AS (SELECT date, a.k AS a, b.k AS b, corr(embedding[a.k]::double, embedding[b.k]::double) AS r FROM panel, range(1, {FACTORS + 1}) a(k), range(1, {FACTORS + 1}) b(k) WHERE a.k < b.k GROUP BY 1, 2, 3)
 SELECT a, b, round(avg(r), 6) AS mean_corr, count(*) AS n_dates, abs(avg(r)) > 0.7 AS redundant FROM c GROUP BY 1, 2""")
 def v22(spark, sf):
-    """Factor pairs are columns of one row, so the pair table is a projection and not a self join."""
-    p = fpanel(spark, sf)
-    g = p.groupBy("date").agg(*[moments_corr(f"f{a}", f"f{b}").alias(f"{a}_{b}") for a in range(1, 5) for b in range(a + 1, 5)])
-    x = g.select("date", F.explode(F.array(*[F.struct(F.lit(f"f{a}").alias("a"), F.lit(f"f{b}").alias("b"), F.col(f"{a}_{b}").alias("r")) for a in range(1, 5) for b in range(a + 1, 5)])).alias("e")).select("e.*")
+    """All pairs of factors from one Gram matrix per date: rows are never paired."""
+    x = va.correlations(lens.panel(spark, sf).select("date", F.slice("embedding", 1, FACTORS).alias("x")), "date", "x", FACTORS)
     return x.where("r is not null").groupBy("a", "b").agg(r6(F.avg("r"), "mean_corr"), F.count("*").alias("n_dates"), (F.abs(F.avg("r")) > 0.7).alias("redundant"))
 
 
-@query("v22_single_vs_combo_ic", ctes=PANEL, sql=P_SQL + """,
-x AS (""" + " UNION ALL ".join(f"SELECT date, 'f{a}' AS factor, f{a} AS v, fwd FROM p" for a in range(1, 5)) + """ UNION ALL SELECT date, 'combo', (f1 + f2 + f3 + f4) / 4, fwd FROM p),
+@query("v22_single_vs_combo_ic", ctes=PANEL, sql=LONG_SQL + """,
+x AS (SELECT date, factor, x AS v, fwd FROM l UNION ALL SELECT date, 0, sum(x) / """ + str(FACTORS) + """, max(fwd) FROM l GROUP BY date, name),
 r AS (SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY v) + (count(*) OVER (PARTITION BY factor, date, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor, date ORDER BY fwd) + (count(*) OVER (PARTITION BY factor, date, fwd) - 1) / 2.0 AS b FROM x),
 ic AS (SELECT factor, date, corr(a, b) AS ic FROM r GROUP BY 1, 2)
 SELECT factor, round(avg(ic), 6) AS mean_ic, count(*) AS n_dates FROM ic GROUP BY 1""")
 def v22_ic(spark, sf):
-    p = fpanel(spark, sf, 4)
-    fs = {f"f{i}": F.col(f"f{i}") for i in range(1, 5)} | {"combo": (F.col("f1") + F.col("f2") + F.col("f3") + F.col("f4")) / 4}
-    x = p.select("date", "fwd", F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), c.alias("v")) for n, c in fs.items()])).alias("e")).select("date", "fwd", "e.*")
-    ics = spearman(x, ["factor", "date"], "v", "fwd").where("rho is not null").withColumnRenamed("rho", "ic")
+    """Each factor's correlation of ranks with the outcome, and that of the mean of all (factor 0)."""
+    mean = F.aggregate(F.slice("embedding", 1, FACTORS), F.lit(0.0), lambda a, x: a + x.cast("double")) / FACTORS
+    combo = lens.panel(spark, sf).select("date", "name", F.lit(0).cast("long").alias("factor"), mean.alias("x"), F.col("embedding")[FACTORS].cast("double").alias("fwd"))
+    x = written(long_panel(spark, sf).unionByName(combo), "panel")
+    ics = spearman(x, ["factor", "date"], "x", "fwd").where("rho is not null").withColumnRenamed("rho", "ic")
     return va.ic_summary(ics, ["factor"]).select("factor", r6("mean_ic"), "n_dates")
 
 
