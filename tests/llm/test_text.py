@@ -99,6 +99,7 @@ words &lt;in&gt; it.<br>Next line<aside>Related: other things to read</aside><di
 
 def test_html():
     assert html.main_text(PAGE, {}) == "Big & News First paragraph with several words <in> it. Next line Second paragraph goes on here. One item Two"
+    assert html.main_text("<p>&nbsp;a\x85 </p>", {}) == "\xa0a\x85"  # space beyond ASCII is text
     assert html.main_text("", {}) == "" and html.main_text("just <text &amp; more", {}).startswith("just")
     assert html.main_text("<nav><a>x</a></nav>", {}) == ""
     assert html.main_text("<p>" + "word " * 50_000, {}) == ("word " * 50_000).strip()
@@ -118,6 +119,64 @@ def test_html_pages_give_their_articles(spark, sf):
     assert html.extract(d.limit(0), {}).count() == 0
 
 
+def test_the_region_decides():
+    """A block that looks like content by itself is dropped when what lies between costs more than it brings."""
+    article = "<div>" + "<p>" + "good words of the story " * 20 + "</p></div>"
+    menu = "<nav>" + "<a>some other page here</a> " * 30 + "</nav>"
+    lone = "<div>All rights are reserved</div>"
+    page = article + menu + lone
+    assert html.main_text(page, {}) == ("good words of the story " * 20).strip()
+    runs, scores = html.scored(page, {})
+    assert sum(s > 0 for s in scores) == 2 and html.region(scores) != (0, len(scores))
+    near = article + "<nav><a>one</a></nav>" + lone  # little lies between: it belongs to the region
+    assert html.main_text(near, {}).endswith("All rights are reserved")
+    assert html.region([1.0, -2.0, 1.0]) == (0, 1) and html.region([-1.0]) == (0, 0) and html.region([2.0, -1.0, 3.0, -9.0, 4.0]) == (0, 3)
+
+
+def test_the_weights_decide(spark):
+    """Labelled pages teach that a class nobody has heard of holds no content, and that one that sounds like a widget does."""
+    r = random.Random(6)
+    say = lambda k: " ".join(r.choices("river stone mill house bread water road field".split(), k=k))
+    pages, docs = [], []
+    for i in range(30):
+        text = say(40)
+        docs.append((i, text))
+        pages.append((i, f"http://x/{i}", f"<div class='q7'>{say(25)}</div><div class='widget-main'><p>{text}</p></div><div class='q7'>{say(12)}</div>"))
+    p, d = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string")
+    weights = html.fit(p.filter("page_id < 15"), d)
+    assert weights["div.q7"] < -1 and weights["div.widget-main"] > 0
+    for i, _, page in pages[15:]:
+        assert html.main_text(page, weights) == docs[i][1]
+        assert html.main_text(page, {}) != docs[i][1]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 333_000 + '"', "<p>x" * 200_000, "<a b='" * 160_000, "</x>" * 200_000, "<li><ul>" * 100_000 + "x", "<div class='" + "advert_" * 140_000 + "'>x", "<div>x" * 150_000):
+        t = time.time()
+        html.main_text(page, {"div.": -0.1})
+        sum(1 for _ in html._blocks(page))
+        assert time.time() - t < 30, page[:12]  # the quadratic reading took hours
+
+
+def test_held_out_pages(spark):
+    """Token F1 of pages that no weight was fitted on."""
+    import re
+    from html import unescape
+
+    sf = "/root/testdata/sf0.01"
+    pages, docs = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    weights = html.fit(pages.filter("page_id % 2 = 0"), docs)
+    both = found = true = 0
+    for r in pages.filter("page_id % 2 = 1").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = Counter(unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        got = Counter(html.main_text(r.html, weights).split())
+        both, found, true = both + sum((want & got).values()), found + sum(got.values()), true + sum(want.values())
+    assert 2 * both / (found + true) > 0.99
+
+
 # --- packing
 
 PARTS = [" ", "  ", "\n", "\t", "a", "the", "é", " ", "　", "\x1c", "\x85", "1", "'s", "!", "<|", "<|endoftext|>", "ü", "中", "\r\n", "\x7f", "ß ", "🙂", " word", ". "]
