@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from tidemark.session import written
 
 
-def word_sets(rows: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
-    """``key, words, n``: distinct words of the normalised headline; shorter ones are left out."""
+#: Words that a text needs to be judged.
+LEAST = 3
+
+
+def word_sets(rows: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """``key, words, n``: distinct words of the normalised text, if it has at least ``least``."""
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_\s]", "")
     words = F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
     return rows.select(key, F.array_sort(words).alias("words"), F.size(words).alias("n")).where(F.col("n") >= least)
@@ -35,9 +39,9 @@ def alike(sets: DataFrame, key: str) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, kept`` of the headlines that have enough words; order is that of ``key``."""
-    every = written(word_sets(rows, key, text), "headlines")
-    first = every.groupBy("words", "n").agg(F.min(key).alias(key))
+    """``key, n_words, kept`` of every row; order is that of ``key``. Rows with too few words are not judged and stay."""
+    every = written(word_sets(rows, key, text, 0), "headlines")
+    first = every.where(F.col("n") >= LEAST).groupBy("words", "n").agg(F.min(key).alias(key))
     sets = written(first, "headline-sets")
     edges = written(alike(sets, key), "headline-pairs")
     state = sets.select(F.col(key).alias("k"), F.lit(None).cast("boolean").alias("kept"))
@@ -49,4 +53,4 @@ def keep_first(rows: DataFrame, key: str, text: str) -> DataFrame:
         if not state.where("kept is null").limit(1).count():
             break
     firsts = state.where("kept").select(F.col("k").alias(key), F.lit(True).alias("kept"))
-    return every.select(key, "n").join(firsts, key, "left").select(key, F.col("n").cast("long").alias("n_words"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    return every.select(key, "n").join(firsts, key, "left").select(key, F.col("n").cast("long").alias("n_words"), (F.coalesce("kept", F.lit(False)) | (F.col("n") < LEAST)).alias("kept"))

@@ -68,15 +68,21 @@ def p32(spark, sf):
     return u.select("ticker", s.alias("score")).withColumn("level", rules.risk_level(c("score")))
 
 
+#: Policy rates of the currency blocs; the book is held in euro.
+RATES, HOME = {"us": 4.5, "uk": 4.25, "eu": 2.0, "hk": 4.75}, "eu"
+
+
 @query("p57_p58_hedge_and_budget", ctes=("portfolio",), sql="""
-e AS (SELECT CASE WHEN ticker LIKE '%.L' THEN 'uk' WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS region, sum(pct) / 100 AS exposure FROM portfolio GROUP BY 1)
-SELECT region, round(exposure, 6) AS exposure, CASE WHEN exposure <= 0.4::double THEN 'WITHIN_CAP' WHEN length(region) % 2 = 1 THEN 'UNHEDGED' ELSE 'PARTIAL_HEDGE' END AS advice,
- round(greatest(0, exposure - 0.07::double) * 0.75::double, 6) AS budget FROM e""")
+e AS (SELECT CASE WHEN ticker LIKE '%.L' THEN 'uk' WHEN ticker LIKE '%.HK' THEN 'hk' WHEN ticker LIKE '%.DE' OR ticker LIKE '%.PA' OR ticker LIKE '%.ST' OR ticker LIKE '%.CO' THEN 'eu' ELSE 'us' END AS region, sum(pct) / 100 AS exposure FROM portfolio GROUP BY 1),
+r AS (SELECT * FROM (VALUES ('us', 4.5), ('uk', 4.25), ('eu', 2.0), ('hk', 4.75)) t(region, rate))
+SELECT region, round(exposure, 6) AS exposure, round(rate - 2.0, 2)::DOUBLE AS carry, CASE WHEN exposure <= 0.1::DOUBLE THEN 'WITHIN_CAP' WHEN rate > 2.0 THEN 'UNHEDGED' ELSE 'PARTIAL_HEDGE' END AS advice,
+ round(greatest(0, exposure - 0.07::double) * 0.75::double, 6) AS budget FROM e JOIN r USING (region)""")
 def p57(spark, sf):
-    """Exposure per currency bloc, the advice on it, and the budget its surplus would give."""
+    """Exposure per currency bloc, what holding its currency earns over the home rate, the advice on it, and the budget its surplus would give."""
     p = lens.portfolio(spark, sf).groupBy(parse.region(F.col("ticker")).alias("region")).agg((F.sum("pct") / 100).alias("exposure"))
-    carry = (F.length("region") % 2).cast("double")
-    return p.select("region", r6("exposure"), rules.hedge(F.col("exposure"), carry).alias("advice"), r6(rules.deployable(F.col("exposure"), F.lit(0.75)), "budget"))
+    rates = spark.createDataFrame([(k, v, RATES[HOME]) for k, v in RATES.items()], "region string, rate double, home double")
+    p = p.join(F.broadcast(rates), "region").withColumn("carry", F.col("rate") - F.col("home"))  # a literal of four rows
+    return p.select("region", r6("exposure"), F.round("carry", 2).alias("carry"), rules.hedge(F.col("exposure"), F.col("carry"), 0.1).alias("advice"), r6(rules.deployable(F.col("exposure"), F.lit(0.75)), "budget"))
 
 
 @query("x09_headline_near_duplicates", sql=r"""
@@ -87,8 +93,8 @@ e AS (SELECT a.i AS a, b.i AS b FROM wd a JOIN wd b ON a.w = b.w AND a.i < b.i G
 ea AS (SELECT o.i, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.i GROUP BY 1),
 g(i, kept) AS (SELECT 0::bigint, []::bigint[] UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(g.kept, ea.before) THEN g.kept ELSE list_append(g.kept, g.i + 1) END FROM g JOIN ea ON ea.i = g.i + 1),
 k AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))
-SELECT h.doc_id, len(h.ws)::bigint AS n_words, kk.doc_id IS NOT NULL AS kept FROM h LEFT JOIN (SELECT o.doc_id FROM k JOIN o USING (i)) kk ON kk.doc_id = h.doc_id WHERE len(h.ws) >= 3""")
+SELECT h.doc_id, len(h.ws)::bigint AS n_words, len(h.ws) < 3 OR kk.doc_id IS NOT NULL AS kept FROM h LEFT JOIN (SELECT o.doc_id FROM k JOIN o USING (i)) kk ON kk.doc_id = h.doc_id""")
 def x09(spark, sf):
-    """First lines of all documents as headlines."""
+    """The first lines of all documents are their headlines; what has too few words to be judged stays."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.split("text", "\n")[0].alias("headline"))
     return hl.keep_first(d, "doc_id", "headline")
