@@ -93,8 +93,8 @@ e AS (SELECT a.i AS a, b.i AS b FROM wd a JOIN wd b ON a.w = b.w AND a.i < b.i G
 ea AS (SELECT o.i, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.i GROUP BY 1),
 g(i, kept) AS (SELECT 0::bigint, []::bigint[] UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(g.kept, ea.before) THEN g.kept ELSE list_append(g.kept, g.i + 1) END FROM g JOIN ea ON ea.i = g.i + 1),
 k AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))
-SELECT h.doc_id, len(h.ws)::bigint AS n_words, len(h.ws) < 3 OR kk.doc_id IS NOT NULL AS kept FROM h LEFT JOIN (SELECT o.doc_id FROM k JOIN o USING (i)) kk ON kk.doc_id = h.doc_id""")
+SELECT h.doc_id, len(h.ws)::bigint AS n_words, kk.doc_id IS NOT NULL AS kept FROM h LEFT JOIN (SELECT o.doc_id FROM k JOIN o USING (i)) kk ON kk.doc_id = h.doc_id WHERE len(h.ws) >= 3""")
 def x09(spark, sf):
-    """The first lines of all documents are their headlines; what has too few words to be judged stays."""
+    """The first lines of all documents are their headlines."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.split("text", "\n")[0].alias("headline"))
     return hl.keep_first(d, "doc_id", "headline")
