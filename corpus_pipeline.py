@@ -45,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays; rows of one id (or none) and one text stay
     or go together."""
     stay = minhash.components_of(docs.select("doc_id", "text"), share=NEAR, with_digest=True).filter("kept").select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx")).distinct()
-    row, d = _whole(docs, "doc_id", "text")
-    return d.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (minhash.digest("text") == F.col("_tx")), "left_semi").select(f"{row}.*")
+    row, d = _whole(docs)
+    return d.join(stay, F.col(f"{row}.doc_id").eqNullSafe(F.col("_id")) & (minhash.digest(f"{row}.text") == F.col("_tx")), "left_semi").select(f"{row}.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
