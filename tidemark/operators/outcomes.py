@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import _safe_join, moments_corr, percentiles, spearman
+from tidemark.operators.ranks import _safe_join, moments_corr, order_statistics, percentiles, spearman
 
 # Spread in basis points per tier, one way.
 ROUND_TRIP_BPS = {"mega": 9.0, "large": 12.0, "mid": 18.0, "small": 30.0, "micro": 60.0}
@@ -39,7 +39,7 @@ def by_action_hit(action: Column, x: Column, band: float) -> Column:
 
 
 def grouping_report(rows: DataFrame) -> DataFrame:
-    """Statistics per horizon by signal, tier, region and signal x tier in one GROUPING SETS pass.
+    """Statistics per horizon by signal, tier, region and signal x tier, from one GROUPING SETS pass over cells.
 
     Groups that mix signals are judged by their most frequent one (smallest label on ties), so
     the hits under each of the three readings are counted side by side and one is picked.
@@ -48,16 +48,18 @@ def grouping_report(rows: DataFrame) -> DataFrame:
     cols = ["horizon", "signal", "tier", "region"]
     sets = [["horizon", "signal"], ["horizon", "tier"], ["horizon", "region"], ["horizon", "signal", "tier"]]
     readings = {s: (is_hit(F.lit(s), F.col("ret"), 5.0), is_hit(F.lit(s), F.col("alpha"), 2.0)) for s in "BHS"}
-    aggs = [F.count("*").alias("n"), F.avg("ret").alias("mean_return"), F.avg("alpha").alias("avg_alpha"), F.avg("net").alias("net_alpha")]
+    means = {"mean_return": F.col("ret"), "avg_alpha": F.col("alpha"), "net_alpha": F.col("net")}
     for s, (h, a) in readings.items():
-        aggs += [F.count(F.when(F.col("signal") == s, 1)).alias(f"c_{s}"), rate(h).alias(f"h_{s}"), rate(a).alias(f"a_{s}")]
-    g = r.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(*aggs)
+        means |= {f"h_{s}": F.when(h, 100.0).when(~h, 0.0), f"a_{s}": F.when(a, 100.0).when(~a, 0.0)}
+    counts = {"n": F.lit(1), **{f"c_{s}": F.when(F.col("signal") == s, 1) for s in readings}}
+    # rows are summed per cell once; the groupings add up cells
+    cells = r.groupBy(*cols).agg(*[F.count(c).alias(k) for k, c in counts.items()], *[f(c).alias(f"{f.__name__}_{k}") for k, c in means.items() for f in (F.sum, F.count)])
+    g = cells.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
+        *[F.sum(k).alias(k) for k in counts], *[F.try_divide(F.sum(f"sum_{k}"), F.sum(f"count_{k}")).alias(k) for k in means])
     top = F.greatest("c_B", "c_H", "c_S")
     mode = F.when(F.col("c_B") == top, "B").when(F.col("c_H") == top, "H").otherwise("S")
     g = g.withColumn("mode", mode)
-    # one exploded pass gives the medians of all four groupings
-    arms = F.explode(F.array(*[F.struct(*[(F.col(c) if c in s else F.lit(None).cast("string")).alias(c) for c in cols[1:]]) for s in sets]))
-    m = percentiles(r.select("horizon", "ret", arms.alias("g")).select("horizon", "g.*", "ret"), cols, "ret", {"median_return": 0.5}).drop("n")
+    m = percentiles(r, cols, "ret", {"median_return": 0.5}, sets).drop("n")
     j = _safe_join(g, m, cols)
     return j.select(*cols, "n", lookup(F.col("mode"), {s: F.col(f"h_{s}") for s in "BHS"}).alias("hit_rate"),
                     lookup(F.col("mode"), {s: F.col(f"a_{s}") for s in "BHS"}).alias("alpha_hit_rate"),
@@ -83,7 +85,4 @@ def action_performance(rows: DataFrame, horizon_days: int = 30) -> DataFrame:
 
 def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Element ``n div 2`` of the sorted values (the upper one of two middles)."""
-    from tidemark.operators.ranks import value_counts
-    vc = value_counts(rows, keys, value)
-    at = F.floor(F.col("n") / 2)
-    return vc.groupBy(*keys).agg(F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("cnt")), F.col(value))).alias("upper_median"))
+    return order_statistics(rows, keys, value, {"upper_median": lambda n: F.floor(n / 2)}).drop("n")

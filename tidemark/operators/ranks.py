@@ -9,9 +9,13 @@ row per bucket is summed along the group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import small, written
+
 GRID = 256
 
 
@@ -57,20 +61,57 @@ def _safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(r, cond, how).drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _step(v: Column, per: int) -> Column:
+    """Non-decreasing in ``v`` over all doubles: ``per`` steps for each factor of e, zero and NaN (the largest) apart."""
+    size = F.floor(F.least(F.ln(F.abs(v)), F.lit(1000.0)) * per) + 750 * per
+    return F.when(F.isnan(v), 2000 * per).when(v > 0, size).when(v < 0, -size).otherwise(0)
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], sets: list[list[str]] | None = None) -> DataFrame:
+    """(keys, n, one column per name): the values at exact places (from 0, given the group size) of each group in order.
+
+    Two passes. The first counts rows per step of a fixed grid, map-side; running counts tell which steps hold the places. The
+    second counts distinct values in those steps alone, so neither all rows nor all values are shuffled. ``sets``:
+    groupings by a part of the keys each, the other keys being NULL; counts, not rows, are multiplied by them in the first pass."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_s", _step(F.col("_v"), 64))
+    kinds = dict(rows.dtypes)
+
+    def arms(d: DataFrame, *rest: str) -> DataFrame:
+        if not sets:
+            return d
+        a = F.array(*[F.struct(*[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for s in sets])
+        return d.select(F.explode(a).alias("_a"), *rest).select("_a.*", *rest)
+
+    hist = rows.groupBy(*keys, "_s").agg(F.count("*").alias("cnt"))
+    if sets:
+        hist = arms(hist, "_s", "cnt").groupBy(*keys, "_s").agg(F.sum("cnt").alias("cnt"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per step of the grid
+    hist = hist.withColumn("_n", F.sum("cnt").over(whole)).withColumn("_base", F.sum("cnt").over(whole.orderBy("_s")) - F.col("cnt"))
+    inside = F.lit(False)
+    for at in places.values():
+        inside |= (F.col("_base") <= at(F.col("_n"))) & (at(F.col("_n")) < F.col("_base") + F.col("cnt"))
+    wanted = hist.where(inside).select(*keys, "_s", "_n", "_base")
+    wanted = small(written(wanted, "steps")) if keys else F.broadcast(wanted)  # one group: at most a row per place
+    if sets:
+        rows = arms(rows.join(F.broadcast(wanted.select("_s").distinct()), "_s", "left_semi"), "_v", "_s")  # steps of the grid
+    vc = value_counts(_safe_join(rows, wanted, [*keys, "_s"]), [*keys, "_s", "_n", "_base"], "_v")
+    aggs = [F.max("_n").alias("n")]
+    for name, at in places.items():
+        i = at(F.col("_n")) - F.col("_base")
+        aggs.append(F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("cnt")), F.col("_v"))).alias(name))
+    return vc.groupBy(*keys).agg(*aggs)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], sets: list[list[str]] | None = None) -> DataFrame:
     """(keys, n, one column per name): exact percentiles with linear interpolation."""
-    vc = value_counts(df, keys, value)
-    aggs, outs = [F.max("n").alias("n")], []
+    places, outs = {}, []
     for name, p in probs.items():
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        for side, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (F.col("below") <= idx) & (idx < F.col("below") + F.col("cnt"))
-            aggs.append(F.max(F.when(inside, F.col(value))).alias(f"_{name}_{side}"))
+        places[f"_{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
+        places[f"_{name}_hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
         fp = (F.col("n") - 1) * F.lit(float(p))
         outs.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
                      * (fp - F.floor(fp))).alias(name))
-    g = vc.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, "n", *outs)
+    return order_statistics(df, keys, value, places, sets).select(*keys, "n", *outs)
 
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
@@ -147,10 +188,45 @@ def moments_corr(x: str, y: str, how: str = "pearson") -> Column:
     return F.when(~flat, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def _ranked(d: DataFrame, keys: list[str], value: str, weights: dict[str, str]) -> DataFrame:
+    """Add, per name, the average rank of ``value`` in its group less the mean rank, where a row counts as often as
+    the column of the name says. Rows are shuffled once: by a step of a fixed grid inside the group, whose
+    running counts say what lies below."""
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per step of the grid
+    d = d.withColumn("_s", _step(F.col(value), 256))
+    below = d.groupBy(*keys, "_s").agg(*[F.sum(c).alias(f"_c{o}") for o, c in weights.items()])
+    below = below.select(*keys, "_s", *[(F.sum(f"_c{o}").over(whole.orderBy("_s")) - F.col(f"_c{o}")).alias(f"_b{o}") for o in weights],
+                         *[F.sum(f"_c{o}").over(whole).alias(f"_n{o}") for o in weights])
+    part = Window.partitionBy(*keys, "_s")
+    j = _safe_join(d, below, [*keys, "_s"])
+    upto = {o: F.sum(c).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) for o, c in weights.items()}
+    j = j.withColumns({f"_l{o}": c for o, c in upto.items()}).withColumns({f"_t{o}": F.sum(c).over(Window.partitionBy(*keys, "_s", value)) for o, c in weights.items()})
+    ranks = {o: F.col(f"_b{o}") + F.col(f"_l{o}") - (F.col(f"_t{o}") - 1) / 2.0 - (F.col(f"_n{o}") + 1) / 2.0 for o in weights}
+    return j.withColumns(ranks).drop("_s", *[f"_{k}{o}" for k in "bnlt" for o in weights])
+
+
+def spearman_each(df: DataFrame, keys: list[str], xs: list[str], y: str, min_n: int = 3) -> DataFrame:
+    """V01 for several columns against one: (keys, name, n, rho) from average ranks of the pairs that are complete for
+    the column; NULL when n < ``min_n`` or flat.
+
+    Rows are ranked by ``y`` once, for all columns side by side, and then summed per value of a column: the products
+    need no more of them, and a column with few values shuffles next to nothing."""
+    some = F.lit(False)
+    for x in xs:
+        some |= F.col(x).isNotNull()
+    d = df.where(F.col(y).isNotNull() & some).select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+    d = d.withColumns({f"_w{i}": F.col(f"_x{i}").isNotNull().cast("long") for i in range(len(xs))})
+    d = _ranked(d, keys, "_y", {f"_r{i}": f"_w{i}" for i in range(len(xs))})
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("_name"), F.col(f"_x{i}").alias("_x"), F.col(f"_r{i}").alias("_r")) for i, x in enumerate(xs)]))
+    d = d.select(*keys, each.alias("_e")).select(*keys, "_e.*").where("_x is not null")
+    d = d.groupBy(*keys, "_name", "_x").agg(F.count("*").alias("_w"), F.sum("_r").alias("_r"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"))
+    d = _ranked(d, [*keys, "_name"], "_x", {"_q": "_w"})
+    g = d.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum("_w").alias("n"), F.sum(F.col("_q") * F.col("_r")).alias("_xy"),
+                                                           F.sum(F.col("_w") * F.col("_q") * F.col("_q")).alias("_xx"), F.sum("_rr").alias("_yy"))
+    ok = (F.col("n") >= min_n) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    return g.select(*keys, "name", "n", F.when(ok, F.col("_xy") / (F.sqrt("_xx") * F.sqrt("_yy"))).alias("rho"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """(keys, n, rho) from average ranks of complete pairs; NULL when n < ``min_n`` or flat."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = with_rank(d, keys, x, "rx_")
-    d = with_rank(d, keys, y, "ry_")
-    g = d.groupBy(*keys).agg(F.count("*").alias("n"), moments_corr("rx_rank", "ry_rank").alias("_c"))
-    return g.select(*keys, "n", F.when(F.col("n") >= min_n, F.col("_c")).alias("rho"))
+    return spearman_each(df, keys, [x], y, min_n).drop("name")

@@ -20,8 +20,8 @@ def hit_expr(sig="signal", r="ret", band=5.0):
 
 
 def fwd(spark, sf, horizons=ts.HORIZONS):
-    px = lens.prices(spark, sf)
-    return ts.forward_returns(lens.priced(lens.signals(spark, sf), px), px, lens.bench(spark, sf), horizons)
+    f = ts.forward_returns(lens.signals(spark, sf), lens.prices(spark, sf), lens.bench(spark, sf), horizons, lens.signal_days(spark, sf))
+    return f.withColumn("logged_price", lens.logged_price())
 
 
 @query("j11_forward_returns_hit_rate", ctes=("fwd",), sql="""

@@ -68,22 +68,30 @@ def dims(spark, sf) -> DataFrame:
 
 
 def signals(spark, sf) -> DataFrame:
-    """One row per (ticker, day): the order with the largest key wins. The key alone is reduced (a hash
-    aggregate, map-side), then the winner's other columns are looked up by it."""
+    """One row per (ticker, day): the order with the largest key wins. What is needed of it is reduced beside the key as
+    numbers, so that this is a hash aggregate (map-side) and nothing is looked up after it."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("date"), "o_custkey")
-    best = (lines.join(orders.select("o_orderkey", "date"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("l_suppkey").alias("ticker"), "date").agg(F.max("o_orderkey").alias("okey")))
-    return best.join(orders.drop("date"), F.col("okey") == F.col("o_orderkey")).select(
-        "ticker", "date",
-        F.when(F.col("o_orderstatus") == "F", "B").when(F.col("o_orderstatus") == "O", "H").otherwise("S").alias("signal"),
-        (F.col("okey") % 101).alias("conviction"), "okey", F.col("o_custkey").alias("custkey"))
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"), "o_custkey", status.alias("code"))
+    best = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("ticker"), "date")
+            .agg(F.max("o_orderkey").alias("okey"), F.max_by("code", "o_orderkey").alias("code"), F.max_by("o_custkey", "o_orderkey").alias("custkey")))
+    return best.select("ticker", "date", F.when(F.col("code") == 0, "B").when(F.col("code") == 1, "H").otherwise("S").alias("signal"),
+                       (F.col("okey") % 101).alias("conviction"), "okey", "custkey")
 
 
 def priced(sig: DataFrame, px: DataFrame) -> DataFrame:
     """Signals with the last close on or before their day; ``logged_price`` has gaps to fill."""
     out = asof_backward(sig, px, "ticker", "date", {"close": "asof_close"})
-    return out.withColumn("logged_price", F.when(F.col("okey") % 10 != 0, F.col("asof_close")))
+    return out.withColumn("logged_price", logged_price())
+
+
+def logged_price() -> Column:
+    return F.when(F.col("okey") % 10 != 0, F.col("asof_close"))
+
+
+def signal_days(spark, sf) -> DataFrame:
+    """The days of all orders; those of the signals are among them."""
+    return table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
 
 
 def log(spark, sf) -> DataFrame:
