@@ -10,6 +10,7 @@ from tidemark.operators.timeseries import asof_backward
 from tidemark.plans.timeseries_queries import ROT_SQL, r6, rotation
 from tidemark.plans.universe_queries import CASCADE_SQL, classified
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources import lens
 
 # --- the chain: inputs that the given tables lack are stand-ins by key
@@ -27,14 +28,14 @@ fc AS (SELECT *, 2500.0::DOUBLE * CASE tier WHEN 'mega' THEN 5 WHEN 'large' THEN
   CASE WHEN var95 IS NULL OR var95 <= 2.5 THEN 1 WHEN var95 >= 10 THEN 0 WHEN var95 >= 5 THEN 0.5 ELSE round(1 - (var95 - 2.5::DOUBLE) / 2.5::DOUBLE * 0.5::DOUBLE, 2) END::DOUBLE AS var_factor FROM ch)"""
 
 
-def chained(spark, sf):
-    """Review rows with what the chain reads."""
+def chained(spark, sf, sig=None, *keep):
+    """Review rows (of the signals ``sig``, with their columns ``keep``) with what the chain reads."""
     d = lens.dims(spark, sf)
     cl = d.where("ticker % 7 = 2").groupBy("sector").agg(F.count("*").alias("n"))
     rot = rotation(spark, sf).select("sector", F.col("state").alias("rotation"), F.col("delta_pp").alias("rotation_pp"))
     d = d.join(cl, "sector", "left").join(rot, "sector", "left").select("ticker", "tier", "region", "rotation", "rotation_pp", F.when(F.col("ticker") % 7 == 2, F.col("n")).alias("cluster_size"))
     k = F.col("okey")
-    return lens.reviews(spark, sf).join(d, "ticker").withColumns({
+    return lens.review_columns(lens.signals(spark, sf) if sig is None else sig, *keep).join(d, "ticker").withColumns({
         "freshness": F.when(k % 11 == 0, "dead").when(k % 11 == 1, "stale").when(k % 11 == 2, "aging").otherwise("fresh"), "fx": F.when(F.col("region") == "eu", 1.0).otherwise(0.928),
         "var95": F.when(k % 13 != 0, k % 120 / 10.0), "review_regime": F.col("regime"), "regime": sz.lookup(F.col("regime"), sz.REGIME_OF_REVIEW, "normal"), "net_return": F.col("exret") - 2.0,
         "daily_volume": F.when(k % 9 != 0, (k % 1000 * 1000).cast("double"))})
@@ -60,8 +61,10 @@ SELECT ticker, date, action, CASE WHEN action NOT IN ('BUY', 'ADD') THEN NULL WH
   CASE WHEN action NOT IN ('BUY', 'ADD') THEN NULL WHEN cool THEN 0 ELSE round(own / 450000 * 100, 2) END::DOUBLE AS size_pct FROM a""")
 def c13(spark, sf):
     """BUY and ADD rows sized under cooldowns (28 days after a weak S of the ticker, as of the row's day), breaker and risk budget."""
-    stops = lens.signals(spark, sf).where("signal = 'S' and conviction < 30").select("ticker", "date")
-    d = asof_backward(chained(spark, sf), stops, "ticker", "date", {}, keep_date="stop")
+    sig = written(lens.signals(spark, sf).drop("custkey"), "signals")
+    stops = sig.where("signal = 'S' and conviction < 30").select("ticker", "date")
+    # signals meet their stops while they are narrow; all else follows from the row and its ticker
+    d = chained(spark, sf, asof_backward(sig, stops, "ticker", "date", {}, keep_date="stop"), "stop")
     year = F.year("date")
     d = d.withColumns({"in_cooldown": F.coalesce(F.datediff("date", "stop") <= 28, F.lit(False)), "vol_scale": F.when(F.col("okey") % 5 == 0, 0.7).otherwise(1.2), "breaker": F.when(year == 1994, 0.5).otherwise(1.0), "new_allowed": year != 1996})
     return sz.with_suggested_size(d).select("ticker", "date", "action", "suggested_usd", "size_pct")
