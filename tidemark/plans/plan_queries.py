@@ -50,7 +50,7 @@ def action_log(spark, rows):
 SELECT ticker, date, action, conviction, CASE WHEN date >= {CUT} AND okey % 3 <> 0 THEN 'live' ELSE 'backfill' END AS source FROM reviews""")
 def g04(spark, sf):
     """A log that its writer has kept in part is filled from the history, twice: the second time adds nothing."""
-    r = lens.reviews(spark, sf).select("ticker", "date", "action", "conviction", "okey")
+    r = lens.reviews(spark, sf).select("ticker", "date", "action", "conviction", "okey")  # lies by ticker and day, as an append needs it
     row = lambda d, source: d.select("ticker", "date", "action", "conviction", F.lit(source).alias("source"))
     live, history = row(r.where(f"date >= {CUT} and okey % 3 <> 0"), "live"), row(r, "backfill")
     log = action_log(spark, live)

@@ -65,9 +65,9 @@ class KeyedLog:
         names = self.schema.fieldNames()
         for _ in range(tries):
             version = len(self.folders())
-            whole = F.struct(*names)
-            d = rows.withColumn("_first", F.struct(first.isNull(), first)).groupBy(*self.keys).agg(F.min_by(whole, F.col("_first")).alias("_r")).select("_r.*")
-            d = d.join(self.read().select(*self.keys).distinct(), self.keys, "left_anti").select(*names)
+            rest = [c for c in names if c not in self.keys]
+            d = rows.withColumn("_first", F.struct(first.isNull(), first)).groupBy(*self.keys).agg(F.min_by(F.struct(*rest), F.col("_first")).alias("_r")).select(*self.keys, "_r.*")
+            d = d.join(self.read().select(*self.keys), self.keys, "left_anti").select(*names)  # the log has a key once
             null = F.lit(False)
             for k in self.keys:
                 null |= F.col(k).isNull()
