@@ -29,7 +29,8 @@ def book_history(names: DataFrame, rets: DataFrame, book: str, date: str = "mont
     """Returns of each book's names up to the book's date, on the dates on which every one of its names
     (that has any return) has one. Adds ``n_names`` and ``n_dates``; books with fewer than ``least`` complete
     dates have no rows here (see ``thin_books``)."""
-    h = written(names.join(rets, "ticker").where(F.col(date) <= F.col(book)), "book-history")  # read three times
+    # names: twenty or so a book, so the returns of all other names stay where they are
+    h = written(rets.join(F.broadcast(names), "ticker").where(F.col(date) <= F.col(book)), "book-history")  # read three times
     size = h.groupBy(book).agg(F.count_distinct("ticker").alias("n_names"))
     full = h.groupBy(book, date).agg(F.count("*").alias("c")).join(size, book).where("c = n_names").drop("c")
     dates = full.groupBy(book).agg(F.count("*").alias("n_dates")).where(F.col("n_dates") >= least)
@@ -121,7 +122,7 @@ def risk_parity_books(cands: DataFrame, rets: DataFrame, book: str, top_n: int =
 
     ``top_n`` bounds a book, so its pair table has at most top_n^2 rows; books run in parallel.
     """
-    hist = top_names(cands, book, top_n).join(rets, "ticker").where(F.col("month") <= F.col(book)).select(book, "ticker", "month", "ret")
+    hist = rets.join(F.broadcast(top_names(cands, book, top_n)), "ticker").where(F.col("month") <= F.col(book)).select(book, "ticker", "month", "ret")
 
     def build(pdf):
         x = pdf.pivot_table(index="month", columns="ticker", values="ret").dropna()

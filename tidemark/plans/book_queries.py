@@ -269,8 +269,8 @@ cr AS (SELECT h.*, n_dates FROM h JOIN fm USING (book, month) JOIN nd USING (boo
 
 def _books(spark, sf):
     """Candidates of every month and the monthly returns."""
-    c = price_factor_panel(spark, sf).select(F.col("month").alias("book"), "ticker", F.col("mom").alias("score"))
-    return written(c, "candidates"), written(monthly_returns(spark, sf), "returns")
+    c = price_factor_panel(spark, sf, ("mom",)).select(F.col("month").alias("book"), "ticker", F.col("mom").alias("score"))
+    return c, monthly_returns(spark, sf)
 
 
 def _histories(spark, sf):
