@@ -80,3 +80,18 @@ def test_poisson_weights_follow_the_distribution():
 
     h = validate._mix(np.arange(200_000, dtype=np.uint64))
     assert (validate._poisson(h) == validate._by_number(h)).all()
+
+
+def test_headline_pairs_are_judged_where_they_are_found(spark):
+    from tidemark.operators import headlines
+
+    r = np.random.default_rng(9)
+    text = {k: " ".join(f"w{w}" for w in r.choice(40, r.integers(3, 14), replace=False)) for k in range(300)}
+    d = spark.createDataFrame(list(text.items()), "k long, t string")
+    sets = headlines.word_sets(d, "k", "t").groupBy("words", "n").agg({"k": "min"}).withColumnRenamed("min(k)", "k").localCheckpoint()
+    near = headlines.alike(sets, "k")
+    joins = [x for x in plan(near).split("\n") if "Join" in x]
+    assert len(joins) == 1 and "array_intersect" in joins[0]  # no pair that is not alike is shuffled
+    w = {x["k"]: set(x["words"]) for x in sets.collect()}
+    want = {(a, b) for a in w for b in w if a < b and len(w[a] & w[b]) * 10 > min(len(w[a]), len(w[b])) * 6}
+    assert {(x["a"], x["b"]) for x in near.collect()} == want and want

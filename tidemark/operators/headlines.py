@@ -3,13 +3,15 @@ words; in order, a headline is kept unless it is alike to a kept one.
 
 Candidates come from an inverted index, rarest words first: a pair with over 60 % in common shares at
 least one of the smaller set's ``n - floor(0.6 n)`` rarest words, so frequent words are seldom keys.
-Equal word sets are one entry. The keep-first rule is decided in rounds: a headline is settled once
-all earlier ones alike to it are, which needs as many rounds as the longest chain of such decisions.
+An index row carries the words that come after its own, so a pair is judged where it is found and only
+pairs that are alike leave the join. Equal word sets are one entry. The keep-first rule is decided in rounds: who has no
+earlier one alike to it is kept, those alike to it go, and pairs of the settled are left out of the
+next round; there are as many rounds as the longest chain of such decisions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import written
@@ -22,15 +24,35 @@ def word_sets(rows: DataFrame, key: str, text: str, least: int = 3) -> DataFrame
     return rows.select(key, F.array_sort(words).alias("words"), F.size(words).alias("n")).where(F.col("n") >= least)
 
 
+def coded(sets: DataFrame, key: str) -> DataFrame:
+    """``key, need, ids, lo, hi``: the words that other sets have too, as numbers that rise with their frequency (as int: up to 2^31 such
+    words), how many of them at least a larger set must share beyond the rarest shared one, and the numbers as a 128-bit map."""
+    long = sets.select(key, "n", F.explode("words").alias("w"))
+    often = long.groupBy("w").agg(F.count("*").alias("often")).where("often > 1")
+    order = written(often.orderBy("often", "w").select("w", F.monotonically_increasing_id().alias("m")), "headline-words")
+    part = F.shiftright("m", 33).alias("part")
+    ends = order.groupBy(part).agg(F.count("*").alias("c"))  # one row per task of the sort
+    start = ends.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("start"))
+    words = order.select("w", "m", part).join(F.broadcast(start), "part").select("w", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).cast("int").alias("id"))
+    sets = long.join(words, "w").groupBy(key, "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    bits = {c: F.expr(f"aggregate(filter(ids, x -> x % 128 div 64 = {i}), 0L, (a, x) -> a | shiftleft(1L, x % 64))").alias(c) for i, c in enumerate(("lo", "hi"))}
+    return written(sets.select(key, "n", F.floor(F.col("n") * 6 / 10).cast("int").alias("need"), "ids", *bits.values()), "headline-codes")
+
+
 def alike(sets: DataFrame, key: str) -> DataFrame:
-    """``a, b`` with a < b: pairs of different entries that are alike."""
-    long = sets.select(key, "n", "words", F.explode("words").alias("w"))
-    often = long.groupBy("w").agg(F.count("*").alias("often"))
-    ranked = long.select(key, "n", "w").join(often, "w").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
-    few = ranked.select(F.col(key).alias("s"), F.col("n").alias("sn"), F.explode(F.slice("ws", 1, (F.col("n") - F.floor(F.col("n") * 6 / 10)).cast("int"))["w"]).alias("w"))
-    pairs = few.join(long.select(F.col(key).alias("l"), F.col("n").alias("ln"), "w"), "w").where((F.col("s") != F.col("l")) & (F.col("sn") <= F.col("ln"))).select("s", "l").distinct()
-    left, right = (sets.select(F.col(key).alias(k), F.col("words").alias(f"{k}w")) for k in ("s", "l"))
-    near = pairs.join(left, "s").join(right, "l").where(F.size(F.array_intersect("sw", "lw")) * 10 > F.least(F.size("sw"), F.size("lw")) * 6)
+    """``a, b`` with a < b: pairs of different entries that are alike.
+
+    At the rarest word a pair shares, all others that it shares come after that word in both sets. The map bounds
+    from above how many are shared, so the words themselves are compared for few pairs that are not alike."""
+    d = coded(sets, key)
+    rest = F.expr("slice(ids, i + 2, size(ids))")
+    few = d.select("*", F.posexplode(F.slice("ids", 1, F.greatest(F.lit(0), F.size("ids") - F.col("need")))).alias("i", "id"))
+    few = few.select("id", F.col(key).alias("s"), F.col("n").alias("sn"), "need", F.size("ids").alias("most"), rest.alias("sr"), F.col("lo").alias("slo"), F.col("hi").alias("shi"))
+    every = d.select("*", F.posexplode("ids").alias("i", "id")).where(F.col("i") + 1 < F.size("ids"))  # any pair shares two words
+    every = every.select("id", F.col(key).alias("l"), F.col("n").alias("ln"), rest.alias("lr"), F.col("lo").alias("llo"), F.col("hi").alias("lhi"))
+    apart = F.bit_count(F.col("slo").bitwiseAND(F.bitwise_not("llo"))) + F.bit_count(F.col("shi").bitwiseAND(F.bitwise_not("lhi")))
+    near = few.join(every, (few["id"] == every["id"]) & (F.col("s") != F.col("l")) & (F.col("sn") <= F.col("ln")) & (F.size("lr") >= F.col("need"))
+                    & (F.col("most") - apart > F.col("need")) & (F.size(F.array_intersect("sr", "lr")) >= F.col("need")))
     return near.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
@@ -40,13 +62,11 @@ def keep_first(rows: DataFrame, key: str, text: str) -> DataFrame:
     first = every.groupBy("words", "n").agg(F.min(key).alias(key))
     sets = written(first, "headline-sets")
     edges = written(alike(sets, key), "headline-pairs")
-    state = sets.select(F.col(key).alias("k"), F.lit(None).cast("boolean").alias("kept"))
-    while True:
-        before = edges.join(state.select(F.col("k").alias("a"), F.col("kept").alias("was")), "a")
-        seen = before.groupBy("b").agg(F.bool_or("was").alias("hit"), F.bool_and(F.coalesce(~F.col("was"), F.lit(False))).alias("clear"))
-        judged = F.when(F.col("hit"), False).when(F.coalesce("clear", F.lit(True)), True)
-        state = written(state.join(seen, F.col("k") == F.col("b"), "left").select("k", F.coalesce("kept", judged).alias("kept")), "headline-state")
-        if not state.where("kept is null").limit(1).count():
-            break
-    firsts = state.where("kept").select(F.col("k").alias(key), F.lit(True).alias("kept"))
+    gone = sets.select(F.col(key).alias("_k")).limit(0)
+    while edges.limit(1).count():
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        hit = written(edges.join(kept, "a", "left_semi").select(F.col("b").alias("_k")).distinct(), "headline-gone")
+        gone = gone.unionByName(hit)
+        edges = written(edges.join(hit, F.col("a") == F.col("_k"), "left_anti").join(hit, F.col("b") == F.col("_k"), "left_anti"), "headline-pairs")
+    firsts = sets.select(key).join(gone, F.col(key) == F.col("_k"), "left_anti").select(key, F.lit(True).alias("kept"))
     return every.select(key, "n").join(firsts, key, "left").select(key, F.col("n").cast("long").alias("n_words"), F.coalesce("kept", F.lit(False)).alias("kept"))
