@@ -72,3 +72,46 @@ def test_heartbeat_closes_open_sessions(spark):
     build = lambda s: jobs.sessions(s.selectExpr("user_id AS ticker", "cast(ts AS timestamp) AS ts", "event_type AS signal", "value"))
     out = arrivals.run(spark, [e, arrivals.heartbeat(e)], build, "test-sessions", "append")["all"].where("ticker <> -1")
     assert sorted((r.start, r.n) for r in out.collect()) == [(T(2024, 1, 1), 2), (T(2024, 1, 4), 1)]
+
+
+def test_alerts_of_a_bucket_are_those_of_its_tickers_in_one_call(spark):
+    import numpy as np
+    import pandas as pd
+
+    class Cell:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+    r = np.random.default_rng(4)
+    names, each, whole = [None, "9007199254740993", "9007199254740994", "5"], {}, jobs.ChangeAlertsOfBucket()
+    whole.last = Cell()
+    for day in (9, 5, 12):
+        d = pd.DataFrame({"ticker": pd.Series(r.choice(np.array(names, object), 40), dtype=object), "ts": pd.Timestamp(2024, 1, day) + pd.to_timedelta(r.permutation(40) * 7, unit="h"),
+                          "signal": pd.Series(r.choice(np.array(["B", "S", None], object), 40), dtype=object)})
+        d["ts"] = d["ts"].astype("datetime64[ns]")
+        got, want = pd.concat(whole.handleInputRows((3,), iter([d[:25], d[25:]]), None)), []
+        for n in names:
+            one = each.setdefault(n, jobs.ChangeAlerts())
+            one.last = getattr(one, "last", Cell())
+            rows = d[d["ticker"].isna() if n is None else d["ticker"] == n]
+            if len(rows):
+                want += list(one.handleInputRows((n,), iter([rows]), None))
+        plain = lambda x: sorted(str([None if pd.isna(v) else v for v in (*row[:1], pd.Timestamp(row[1]), *row[2:])]) for row in x.astype(object).values.tolist())
+        assert plain(got) == plain(pd.concat(want))
+        assert got["late"].sum() > 0 or day != 5
+    assert {x[0] for x in whole.last.value} == set(names) and {x[0]: x[1:] for x in whole.last.value} == {n: one.last.value for n, one in each.items()}
+
+
+def test_alerts_are_grouped_by_bucket(spark):
+    log = spark.readStream.schema(jobs.EVENTS).parquet("/root/testdata/sf0.001").selectExpr("user_id AS ticker", "cast(ts AS timestamp) AS ts", "event_type AS signal")
+    assert "bucket" in jobs.change_alerts(log)._jdf.queryExecution().analyzed().toString()

@@ -109,7 +109,7 @@ def r01(spark, sf):
 SELECT ticker, ts, prev AS previous_signal, signal AS current_signal FROM (SELECT *, lag(signal) OVER (PARTITION BY ticker ORDER BY ts) AS prev FROM log) WHERE prev <> signal""")
 def r02(spark, sf):
     s = jobs.log_stream(spark, sf).withWatermark("ts", "2 days")
-    a = s.groupBy("ticker").transformWithStateInPandas(jobs.ChangeAlerts(), jobs.CHANGE_SCHEMA, "append", "none")
+    a = jobs.change_alerts(s)
     with jobs.rocksdb_state(spark):
         out = jobs.run(a, "alerts", "append")
     return out.where("current_signal is not null").drop("batch", "late")

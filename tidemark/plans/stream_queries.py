@@ -87,7 +87,7 @@ def r06_timers(spark, sf):
 
 
 def alerts_and_late(spark, sf):
-    build = lambda s: labelled(s).withWatermark("ts", "2 days").groupBy("ticker").transformWithStateInPandas(jobs.ChangeAlerts(), jobs.CHANGE_SCHEMA, "append", "none")
+    build = lambda s: jobs.change_alerts(labelled(s).withWatermark("ts", "2 days"))
     return arrivals.run(spark, with_late_files(spark, sf), build, "alerts", "append", {"late": F.col("late") > 0, "alerts": F.col("current_signal").isNotNull()})
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,22 +97,81 @@ class ChangeAlerts(StatefulProcessor):
         self.last = handle.getValueState("last", "ts timestamp, signal string")
 
     def handleInputRows(self, key, rows, timer_values):
-        ts, sig = self.last.get() if self.last.exists() else (None, None)
-        d = pd.concat(list(rows)).sort_values("ts", kind="stable")[["ts", "signal"]]
-        fresh = d if ts is None else d[d["ts"] >= ts]
-        late = len(d) - len(fresh)
-        prev = fresh["signal"].shift(1)
-        if len(fresh):
-            prev.iloc[0] = sig
-            self.last.update((fresh["ts"].iloc[-1].to_pydatetime(), fresh["signal"].iloc[-1]))
-        hit = prev.notna() & (prev != fresh["signal"])
-        out = pd.DataFrame({"ticker": key[0], "ts": fresh["ts"][hit], "previous_signal": prev[hit], "current_signal": fresh["signal"][hit], "late": 0})
+        # most calls see a few rows: plain arrays, as the fixed cost of pandas would be most of the time of a stream with many keys
+        before, sig = self.last.get() or (None, None)
+        parts = [(c["ts"].to_numpy(), c["signal"].to_numpy(object)) for c in rows]
+        ts, label = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ts, kind="stable")
+        ts, label = ts[order], label[order]
+        first = ts[0]
+        if before is not None:
+            fresh = ts >= np.datetime64(before)
+            ts, label = ts[fresh], label[fresh]
+        late = len(order) - len(ts)
+        prev = np.empty(len(ts), object)
+        if len(ts):
+            prev[0], prev[1:] = sig, label[:-1]
+            self.last.update((pd.Timestamp(ts[-1]).to_pydatetime(), label[-1]))
+        hit = ~pd.isna(prev) & (prev != label)
+        out = [ts[hit], prev[hit], label[hit], np.zeros(hit.sum(), "int64")]
         if late:
-            out.loc[len(d)] = [key[0], d["ts"].iloc[0], None, None, late]
-        yield out
+            out = [np.append(a, np.array([x], a.dtype)) for a, x in zip(out, (first, None, None, late))]
+        if len(out[0]):
+            yield pd.DataFrame({"ticker": key[0], "ts": out[0], "previous_signal": out[1], "current_signal": out[2], "late": out[3]})
 
     def close(self):
         pass
 
 
 CHANGE_SCHEMA = "ticker bigint, ts timestamp, previous_signal string, current_signal string, late bigint"
+
+
+#: Groups of tickers that share a call and a list of states.
+BUCKETS = 1024
+
+
+class ChangeAlertsOfBucket(StatefulProcessor):
+    """``ChangeAlerts`` for all tickers of a bucket side by side: one call, one read and one write of state per bucket and batch,
+    where a call per ticker would be most of the time of a stream with many tickers. The state is a list with one entry per ticker.
+    Tickers come as text, so that NULL is one of them and no number is rounded."""
+
+    def init(self, handle):
+        self.last = handle.getListState("last", "ticker string, ts timestamp, signal string")
+
+    def handleInputRows(self, key, rows, timer_values):
+        held = [tuple(x) for x in self.last.get()] if self.last.exists() else []
+        d = pd.concat(list(rows))
+        code, names = pd.factorize(np.concatenate([np.array([h[0] for h in held], object), d["ticker"].to_numpy(object)]), use_na_sentinel=False)
+        known, at, label = np.zeros(len(names), bool), np.full(len(names), "NaT", "datetime64[us]"), np.empty(len(names), object)
+        old, code = code[: len(held)], code[len(held) :]
+        known[old], at[old] = True, np.array([h[1] for h in held], "datetime64[us]")
+        label[old] = [h[2] for h in held]
+        ts, sig = d["ts"].to_numpy().astype("datetime64[us]"), d["signal"].to_numpy(object)
+        order = np.lexsort((ts, code))
+        code, ts, sig = code[order], ts[order], sig[order]
+        first = np.r_[True, code[1:] != code[:-1]]
+        begins = dict(zip(code[first].tolist(), ts[first]))
+        late = known[code] & ~(ts >= at[code])
+        dropped = np.bincount(code[late], minlength=len(names))
+        code, ts, sig = code[~late], ts[~late], sig[~late]
+        new = np.r_[True, code[1:] != code[:-1]][: len(code)]
+        end = np.r_[code[1:] != code[:-1], True][: len(code)]
+        prev = np.where(new, label[code], np.r_[sig[:1], sig[:-1]])
+        hit = ~pd.isna(prev) & (prev != sig)
+        at[code[end]], label[code[end]] = ts[end], sig[end]
+        self.last.put(list(zip([None if pd.isna(n) else n for n in names], at.tolist(), label)))
+        gone = np.flatnonzero(dropped)
+        none = np.full(len(gone), None, object)
+        out = {"ticker": (names[code[hit]], names[gone]), "ts": (ts[hit], np.array([begins[g] for g in gone.tolist()], "datetime64[us]")),
+               "previous_signal": (prev[hit], none), "current_signal": (sig[hit], none), "late": (np.zeros(hit.sum(), "int64"), dropped[gone])}
+        yield pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
+
+    def close(self):
+        pass
+
+
+def change_alerts(log: DataFrame) -> DataFrame:
+    """R02, R08 over (ticker, ts, signal): label changes and how many late rows were dropped."""
+    d = log.select(F.col("ticker").cast("string").alias("ticker"), "ts", "signal").withColumn("bucket", F.pmod(F.hash("ticker"), F.lit(BUCKETS)))
+    out = d.groupBy("bucket").transformWithStateInPandas(ChangeAlertsOfBucket(), CHANGE_SCHEMA.replace("ticker bigint", "ticker string"), "append", "none")
+    return out.withColumn("ticker", F.col("ticker").cast("bigint"))
