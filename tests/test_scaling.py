@@ -131,3 +131,17 @@ def test_outcomes_on_and_between_the_days_of_bars(spark):
 def test_families_take_one_pass_over_the_outcomes(spark, sf):
     p = plan(queries()["v19_family_analysis"](spark, sf)).split("\n")
     assert sum("FileScan" in x and "o_orderstatus" in x for x in p) == 1
+
+
+def test_rank_correlations_move_rows_once(spark, monkeypatch):
+    plans, write = {}, ranks.written
+
+    def watched(df, name):
+        plans[name] = plan(df)
+        return write(df, name)
+
+    monkeypatch.setattr(ranks, "written", watched)
+    d = spark.range(500).selectExpr("id % 3 AS g", "id % 7 AS a", "cast(id * 37 % 101 AS double) AS y")
+    ranks.spearman(d, ["g"], "a", "y").collect()
+    p = plans["values"].split("\n")  # the ranked rows, summed per value
+    assert sum("Exchange hashpartitioning" in x for x in p) == 2 and sum("Sort [" in x for x in p) == 1

@@ -190,17 +190,18 @@ def moments_corr(x: str, y: str, how: str = "pearson") -> Column:
 
 def _ranked(d: DataFrame, keys: list[str], value: str, weights: dict[str, str]) -> DataFrame:
     """Add, per name, the average rank of ``value`` in its group less the mean rank, where a row counts as often as
-    the column of the name says. Rows are shuffled once: by a step of a fixed grid inside the group, whose
-    running counts say what lies below."""
+    the column of the name says. Rows are shuffled and sorted once: by a step of a fixed grid inside the group, whose
+    running counts (one row per group and step, written once) say what lies below."""
     whole = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per step of the grid
     d = d.withColumn("_s", _step(F.col(value), 256))
     below = d.groupBy(*keys, "_s").agg(*[F.sum(c).alias(f"_c{o}") for o, c in weights.items()])
     below = below.select(*keys, "_s", *[(F.sum(f"_c{o}").over(whole.orderBy("_s")) - F.col(f"_c{o}")).alias(f"_b{o}") for o in weights],
                          *[F.sum(f"_c{o}").over(whole).alias(f"_n{o}") for o in weights])
-    part = Window.partitionBy(*keys, "_s")
-    j = _safe_join(d, below, [*keys, "_s"])
-    upto = {o: F.sum(c).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) for o, c in weights.items()}
-    j = j.withColumns({f"_l{o}": c for o, c in upto.items()}).withColumns({f"_t{o}": F.sum(c).over(Window.partitionBy(*keys, "_s", value)) for o, c in weights.items()})
+    below = small(written(below, "steps"))
+    part = Window.partitionBy(*keys, "_s").orderBy(value)
+    upto, tied = part.rangeBetween(Window.unboundedPreceding, 0), part.rangeBetween(0, 0)
+    j = d.select("*", *[F.sum(c).over(upto).alias(f"_l{o}") for o, c in weights.items()], *[F.sum(c).over(tied).alias(f"_t{o}") for o, c in weights.items()])
+    j = _safe_join(j, below, [*keys, "_s"])
     ranks = {o: F.col(f"_b{o}") + F.col(f"_l{o}") - (F.col(f"_t{o}") - 1) / 2.0 - (F.col(f"_n{o}") + 1) / 2.0 for o in weights}
     return j.withColumns(ranks).drop("_s", *[f"_{k}{o}" for k in "bnlt" for o in weights])
 
@@ -220,6 +221,7 @@ def spearman_each(df: DataFrame, keys: list[str], xs: list[str], y: str, min_n:
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("_name"), F.col(f"_x{i}").alias("_x"), F.col(f"_r{i}").alias("_r")) for i, x in enumerate(xs)]))
     d = d.select(*keys, each.alias("_e")).select(*keys, "_e.*").where("_x is not null")
     d = d.groupBy(*keys, "_name", "_x").agg(F.count("*").alias("_w"), F.sum("_r").alias("_r"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"))
+    d = written(d, "values")  # ranked next, in two passes
     d = _ranked(d, [*keys, "_name"], "_x", {"_q": "_w"})
     g = d.groupBy(*keys, F.col("_name").alias("name")).agg(F.sum("_w").alias("n"), F.sum(F.col("_q") * F.col("_r")).alias("_xy"),
                                                            F.sum(F.col("_w") * F.col("_q") * F.col("_q")).alias("_xx"), F.sum("_rr").alias("_yy"))
