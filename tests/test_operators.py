@@ -231,6 +231,48 @@ def test_headlines_keep_the_first_of_each_chain(spark):
     assert sorted(k for k, v in got.items() if v) == kept and set(got) == {k for k, w in sets.items() if len(w) >= 3}
 
 
+def test_headlines_are_kept_the_same_whatever_the_first_part(spark, monkeypatch):
+    from tidemark.operators import headlines
+
+    r = np.random.default_rng(4)
+    p = 1 / np.arange(1, 401)
+    size = [*r.integers(3, 9, 200), *r.integers(9, 60, 150), 300, 310, 320]
+    text = [" ".join(f"w{w}" for w in r.choice(400, n, replace=False, p=p / p.sum())) for n in size]
+    text += [" ".join(reversed(t.split())) for t in text[::9]] + [f"{t} more{i}" for i, t in enumerate(text[::7])] + [f"one{i} two{i} three{i}" for i in range(9)]
+    d = {int(k): t for k, t in zip(r.permutation(len(text)), text)}
+    kept, sets = [], {k: set(t.split()) for k, t in sorted(d.items())}
+    for k, w in sets.items():
+        if all(len(w & sets[j]) * 10 <= min(len(w), len(sets[j])) * 6 for j in kept):
+            kept.append(k)
+    rows = spark.createDataFrame([*d.items(), (None, "of no key at all")], "k long, t string")
+    for first, words in ((40, 1 << 20), (1, 1 << 20), (1000, 700)):
+        monkeypatch.setattr(headlines, "FIRST", first, raising=False)
+        monkeypatch.setattr(headlines, "FIRST_WORDS", words, raising=False)
+        got = {x["k"]: x["kept"] for x in headlines.keep_first(rows, "k", "t").collect()}
+        assert not got.pop(None) and got == {k: k in set(kept) for k in sets}, (first, words)
+
+
+def test_words_of_headlines_are_counted_in_blocks(monkeypatch):
+    from tidemark.operators import headlines
+
+    r = np.random.default_rng(5)
+    sets, word = [], []
+    for w, n in enumerate([1, 2, 7, 8, 9, 60, 70, 300]):
+        sets += [np.sort(r.choice(np.arange(10, 700), r.integers(2, 600 if i % 40 == 0 else 30), replace=False)) for i in range(n)]
+        word += [w] * n
+    need, few = np.array([len(x) // 3 for x in sets], np.int32).clip(1), r.random(len(sets)) < 0.5
+    o = np.lexsort((~few, word))
+    sets, word, need, few = [sets[i] for i in o], np.array(word)[o], need[o], few[o]
+    off = np.r_[0, np.cumsum([len(x) for x in sets])]
+    want = {(i, j) for i in np.flatnonzero(few) for j in np.flatnonzero(word == word[i]) if i != j and len(np.intersect1d(sets[i], sets[j])) >= need[i]}
+    for shift in (0, 1 << 25):  # word numbers too large for a table
+        for wide, deep, gather in ((1024, 1 << 16, 1 << 20), (16, 90, 200)):
+            for k, v in (("WIDE", wide), ("DEEP", deep), ("GATHER", gather)):
+                monkeypatch.setattr(headlines, k, v)
+            s, other = headlines._near_in_words(word, few, need, off, np.concatenate(sets) + shift, headlines._Find())
+            assert len(s) == len(want) and set(zip(s.tolist(), other.tolist())) == want
+
+
 def test_position_size_and_risk_rules(spark):
     from tidemark.operators import rules
 

@@ -98,6 +98,25 @@ def test_headline_pairs_are_judged_where_they_are_found(spark):
     assert {(x["a"], x["b"]) for x in near.collect()} == want and want
 
 
+def test_short_headlines_make_no_pair_with_every_long_one(spark, monkeypatch):
+    from tidemark.operators import headlines
+
+    rows, writes = {}, headlines.written
+
+    def written(df, name):
+        out = writes(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    r = np.random.default_rng(6)
+    text = {int(k): " ".join(f"w{w}" for w in r.choice(12, 5, replace=False)) if k % 3 == 1 else "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 " + " ".join(f"x{w}" for w in r.choice(900, 25, replace=False)) for k in range(900)}
+    monkeypatch.setattr(headlines, "written", written)
+    monkeypatch.setattr(headlines, "FIRST", 30, raising=False)
+    d = spark.createDataFrame(list(text.items()), "k long, t string")
+    assert headlines.keep_first(d, "k", "t").where("kept").count() > 500
+    assert sum(rows["headline-pairs"]) < 900  # over 100 000 if a short headline meets every long one
+
+
 def test_categories_are_summed_inside_the_row(spark, sf):
     p = plan(queries()["x03_waterfall_categories"](spark, sf))
     p = p[p.index("== Initial Plan ==") :] if "== Initial Plan ==" in p else p

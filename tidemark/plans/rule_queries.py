@@ -96,5 +96,5 @@ k AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
 SELECT h.doc_id, len(h.ws)::bigint AS n_words, kk.doc_id IS NOT NULL AS kept FROM h LEFT JOIN (SELECT o.doc_id FROM k JOIN o USING (i)) kk ON kk.doc_id = h.doc_id WHERE len(h.ws) >= 3""")
 def x09(spark, sf):
     """The first lines of all documents are their headlines."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.split("text", "\n")[0].alias("headline"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring_index("text", "\n", 1).alias("headline"))
     return hl.keep_first(d, "doc_id", "headline")
