@@ -246,7 +246,9 @@ def struck(sets: DataFrame, key: str, first: pa.Table) -> DataFrame:
             gone[left] = False
             yield pa.RecordBatch.from_arrays([b[key], b["need"], b["ids"], pa.array(gone)], names=[key, "need", "ids", "gone"])
 
-    d = sets.select(key, "need", "ids")
+    # many rows are few bytes, by which tasks would be cut; each task builds its tables anew
+    parts = max(1, min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets.count() // FIRST))
+    d = sets.select(key, "need", "ids").repartition(parts, key)
     return d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField("gone", T.BooleanType())]))
 
 
